@@ -592,12 +592,12 @@ def q_missing_expected(spark, sf):
 
 def _vparts(col):
     return (f"list_transform(string_split(regexp_replace(regexp_replace({col}, '^v', ''), '-.*$', ''), '.'), "
-            f"x -> try_cast(x as integer))")
+            f"lambda x: try_cast(x as integer))")
 
 
 @register("version_drift", with_views(f"""
 , p as (select service, pinned, newest, {_vparts('pinned')} as pl, {_vparts('newest')} as nl from v_versions)
-, q as (select *, len(list_filter(pl, x -> x is null)) > 0 as p_bad, len(list_filter(nl, x -> x is null)) > 0 as n_bad from p)
+, q as (select *, len(list_filter(pl, lambda x: x is null)) > 0 as p_bad, len(list_filter(nl, lambda x: x is null)) > 0 as n_bad from p)
 select service, pinned, newest,
        case when newest is null or p_bad or n_bad then 'unknown' when pl = nl then 'latest'
             when pl < nl then 'update_available' else 'ahead' end as status
