@@ -39,13 +39,34 @@ def allowed(value) -> F.Column:
     return reduce(lambda a, b: a | b, [value.rlike(p) for p in ALLOW_PATTERNS])
 
 
+# Literal text every match of a rule must contain (any one of them).
+# A plain substring test is far cheaper than a regex, so lines and whole
+# documents without any of these skip the regexes entirely.  None of them
+# contains a line break, so a document-level test is exact.
+RULE_NEEDLES = {
+    "public_key": ("pk-lf-",), "secret_key": ("sk-lf-",), "db_url_password": ("postgres",),
+    "clickhouse_password": ("CLICKHOUSE_PASSWORD",), "object_store_secret": ("SECRET",),
+    "redis_auth": ("REDIS_AUTH", "REDIS_PASSWORD"), "encryption_key": ("ENCRYPTION_KEY", "SALT", "NEXTAUTH_SECRET"),
+    "private_key": ("PRIVATE KEY-----",),
+}
+
+
+def _has_needle(col, rules=SECRET_RULES):
+    needles = sorted({n for r, *_ in rules for n in RULE_NEEDLES.get(r, ("",))})
+    return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
+
+
 def scan_lines(lines: DataFrame, id_cols: Sequence[str], line: str = "line", line_no: str = "line_no",
                rules=SECRET_RULES, keep_allowed: bool = False) -> DataFrame:
     """SC1 on a table that already has one row per line."""
-    any_rule = "|".join(f"(?:{p})" for _, p, _, _ in rules)
-    cand = lines.filter(F.col(line).rlike(any_rule))  # cheap pre-filter: most lines hold no secret
+    cand = lines.filter(_has_needle(F.col(line), rules))  # cheap pre-filter: most lines hold no secret
+
+    def test(r, p):
+        near = reduce(lambda a, b: a | b, [F.col(line).contains(n) for n in RULE_NEEDLES.get(r, ("",))])
+        return near & F.col(line).rlike(p)
+
     hits = F.array(*[
-        F.when(F.col(line).rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(sev).alias("severity"),
+        F.when(test(r, p), F.struct(F.lit(r).alias("rule"), F.lit(sev).alias("severity"),
                                                F.lit(vp).alias("value_pattern"),
                                                F.regexp_extract_all(F.col(line), F.lit(p), 0).alias("matches")))
         for r, p, sev, vp in rules])
@@ -67,6 +88,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
     Whole texts are split into lines inside each task; nothing is truncated.
     """
+    docs = docs.filter(_has_needle(F.col(text), rules))  # whole documents without a needle are skipped
     lines = docs.select(doc_id, F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "line")).select(
         doc_id, (F.col("_pos") + 1).alias("line_no"), "line")
     return scan_lines(lines, [doc_id], rules=rules, keep_allowed=keep_allowed)

@@ -30,7 +30,8 @@ def live_errors(spark: SparkSession, path: str, service_from: str = "parent") ->
     The service is the log file's parent folder (``service_from='parent'``)
     or its base name without extension (``'file'``).
     """
-    raw = spark.readStream.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.readStream.text(path, recursiveFileLookup=True).select(
+        "value", F.col("_metadata.file_path").alias("path"))
     parts = F.split(F.col("path"), "/")
     service = (F.element_at(parts, -2) if service_from == "parent"
                else F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", ""))
