@@ -15,6 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .materialize import materialize
 from .ordered import running_sum
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -47,7 +48,9 @@ def v_tokens(spark, sf_dir) -> DataFrame:
                      F.col("value").cast("decimal(12,2)").alias("_v"),
                      F.to_date("ts").alias("_day"))
     out = running_sum(base, ["model", "instance", "_day"], ["ts"], "_v", "value", chunk_seconds=3600)
-    return out.select("event_id", "model", "instance", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    # counter operators read their input twice; cut the running-sum lineage once
+    return materialize(out.select("event_id", "model", "instance", "ts",
+                                  F.col("value").cast("decimal(18,2)").alias("value")))
 
 
 def v_spans(spark, sf_dir) -> DataFrame:
@@ -107,8 +110,8 @@ def v_cpu(spark, sf_dir) -> DataFrame:
     base = ev.select("event_id", (F.col("event_id") % 300).alias("_series"), "ts",
                      F.col("value").cast("decimal(12,2)").alias("_v"))
     out = running_sum(base, ["_series"], ["ts"], "_v", "value", chunk_seconds=86400)
-    return out.select("event_id", F.md5((F.col("_series") * 70).cast("string")).alias("trace_id"), "ts",
-                      F.col("value").cast("decimal(18,2)").alias("value"))
+    return materialize(out.select("event_id", F.md5((F.col("_series") * 70).cast("string")).alias("trace_id"), "ts",
+                                  F.col("value").cast("decimal(18,2)").alias("value")))
 
 
 def v_obs(spark, sf_dir) -> DataFrame:

@@ -1,0 +1,31 @@
+"""Materialise a derived table that several passes will read.
+
+Two-pass operators (``plans.ordered``) read their input twice.  When that
+input is itself an expensive derivation, it is written once as a parquet
+table into the cluster's shared ``spark.checkpoint.dir`` and read back: one
+job computes it, lineage is cut, the files survive executor loss, and later
+reads get column pruning and filter pushdown.  A fallback folder is used only
+when the session has none set, as in local tests.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+from ..session import checkpoint_dir
+
+
+def shared_dir(spark) -> str:
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return checkpoint_dir(spark)
+    return checkpoint_dir(spark, tempfile.mkdtemp(prefix="fleetscope-ckpt-"))
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -12,8 +12,10 @@ What crosses a chunk boundary is carried by a small per-chunk summary:
 
 The summaries have one row per (series, chunk), are built with partial
 aggregation (map-side combine), and their own window runs over chunks, not
-rows.  The join back is on (series, chunk), the same keys the row-level window
-partitions by, so the big side is shuffled once.
+rows.  The join back is on one struct key ``(series, chunk)``, the same key
+the row-level window partitions by, so the big side is shuffled once.  The
+input is read twice (once narrowed, for the summaries); an expensive derived
+input should be materialised first (see ``plans.materialize``).
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
 
 
 def epoch_seconds(col: str | Column) -> Column:
@@ -37,15 +38,23 @@ def time_chunk(ts: str | Column, chunk_seconds: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(int(chunk_seconds)))
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    how: str) -> DataFrame:
-    """Join on ``keys`` treating null = null, keeping one copy of each key."""
-    renamed = right
-    for i, k in enumerate(keys):
-        renamed = renamed.withColumnRenamed(k, f"__rk{i}")
-    cond = [left[k].eqNullSafe(renamed[f"__rk{i}"]) for i, k in enumerate(keys)]
-    out = left.join(renamed, cond, how)
-    return out.drop(*[f"__rk{i}" for i in range(len(keys))])
+SKEY = "_sk"
+
+
+def _series_chunk_key(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Add ``_sk = struct(keys..., chunk)``.
+
+    One struct column is both the join key and the window partition key, so
+    the join's shuffle already satisfies the window and the big side is
+    shuffled once.  Struct equality matches null fields, so null keys form a
+    series of their own (as ``partitionBy`` does).
+    """
+    return df.withColumn(SKEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
+                                        chunk.alias("c")))
+
+
+def _key_cols(keys: Sequence[str]):
+    return [F.col(f"{SKEY}.k{i}") for i in range(len(keys))]
 
 
 def lag_in_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -59,17 +68,16 @@ def lag_in_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order, cols = list(keys), list(order), list(cols)
     carried = order + [c for c in cols if c not in order]
     rec = F.struct(*[F.col(c) for c in carried])
-    d = df.withColumn(CHUNK, chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
-    last = d.groupBy(*keys, CHUNK).agg(F.max(rec).alias("_last"))
-    over_chunks = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = last.select(*keys, CHUNK, F.lag("_last").over(over_chunks).alias("_carry"))
-    joined = _null_safe_join(d, carry, keys + [CHUNK], "left")
-    w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    prev = F.coalesce(F.lag(rec).over(w), F.col("_carry"))
-    out = joined.withColumn("_prev", prev)
+    d = _series_chunk_key(df, keys, chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
+    last = d.groupBy(SKEY).agg(F.max(rec).alias("_last"))
+    over_chunks = Window.partitionBy(*_key_cols(keys)).orderBy(F.col(f"{SKEY}.c"))
+    carry = last.select(SKEY, F.lag("_last").over(over_chunks).alias("_carry"))
+    joined = d.join(carry, SKEY, "left")
+    w = Window.partitionBy(SKEY).orderBy(*order)
+    out = joined.withColumn("_prev", F.coalesce(F.lag(rec).over(w), F.col("_carry")))
     for c in carried:
         out = out.withColumn(prefix + c, F.col("_prev")[c])
-    return out.drop("_prev", "_carry", CHUNK)
+    return out.drop("_prev", "_carry", SKEY)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -78,16 +86,17 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """``sum(value) over (partition by keys order by order)`` (default RANGE frame)."""
     keys, order = list(keys), list(order)
     v = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_v", v).withColumn(
-        CHUNK, chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
-    totals = d.groupBy(*keys, CHUNK).agg(F.sum("_v").alias("_tot"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, CHUNK, F.sum("_tot").over(before).alias("_off"))
-    joined = _null_safe_join(d, offsets, keys + [CHUNK], "left")
-    w = (Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    d = _series_chunk_key(df.withColumn("_v", v), keys,
+                          chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
+    totals = d.groupBy(SKEY).agg(F.sum("_v").alias("_tot"))
+    before = (Window.partitionBy(*_key_cols(keys)).orderBy(F.col(f"{SKEY}.c"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(SKEY, F.sum("_tot").over(before).alias("_off"))
+    joined = d.join(offsets, SKEY, "left")
+    w = (Window.partitionBy(SKEY).orderBy(*order)
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     res = joined.withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.sum("_v").over(w))
-    return res.drop("_v", "_off", CHUNK)
+    return res.drop("_v", "_off", SKEY)
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -98,12 +107,13 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     non-increasing when ``descending_chunks``); ``order`` should be unique.
     """
     keys = list(keys)
-    d = df.withColumn(CHUNK, chunk)
-    counts = d.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    chunk_order = F.col(CHUNK).desc() if descending_chunks else F.col(CHUNK).asc()
-    before = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, CHUNK, F.sum("_n").over(before).alias("_off"))
-    joined = _null_safe_join(d, offsets, keys + [CHUNK], "left")
-    w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    d = _series_chunk_key(df, keys, chunk)
+    counts = d.groupBy(SKEY).agg(F.count(F.lit(1)).alias("_n"))
+    c = F.col(f"{SKEY}.c")
+    before = (Window.partitionBy(*_key_cols(keys)).orderBy(c.desc() if descending_chunks else c.asc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(SKEY, F.sum("_n").over(before).alias("_off"))
+    joined = d.join(offsets, SKEY, "left")
+    w = Window.partitionBy(SKEY).orderBy(*order)
     res = joined.withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(w)).cast("bigint"))
-    return res.drop("_off", CHUNK)
+    return res.drop("_off", SKEY)
