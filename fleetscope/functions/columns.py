@@ -95,6 +95,35 @@ def image_parts(image: str | Column) -> Column:
                     F.when(tag == "", F.lit("latest")).otherwise(tag).alias("tag"))
 
 
+def port_rows(ports: str | Column) -> Column:
+    """``"0.0.0.0:7473-7474->7473-7474/tcp, 7687/tcp"`` -> array of struct(port, protocol) (SF7).
+
+    Use with ``explode``/``inline``: one row per container port, ranges expanded
+    with ``sequence``.  The container side of a ``host->container`` mapping is used.
+    """
+    items = F.split(F.coalesce(_c(ports), F.lit("")), r",\s*")
+
+    def one(item):
+        target = F.element_at(F.split(item, "->"), -1)
+        proto = F.coalesce(F.nullif(F.regexp_extract(target, r"/(\w+)$", 1), F.lit("")), F.lit("tcp"))
+        lo = F.nullif(F.regexp_extract(target, r"^(\d+)", 1), F.lit("")).try_cast("int")
+        hi = F.coalesce(F.nullif(F.regexp_extract(target, r"^\d+-(\d+)", 1), F.lit("")).try_cast("int"), lo)
+        return F.when(lo.isNull(), F.array()).otherwise(
+            F.transform(F.sequence(lo, hi), lambda p: F.struct(p.alias("port"), proto.alias("protocol"))))
+
+    return F.flatten(F.transform(items, one))
+
+
+def setting_value(text: str | Column, kind: str = "int") -> Column:
+    """A configuration value as a number or boolean; anything else is null (SF15)."""
+    t = F.trim(_c(text))
+    if kind == "bool":
+        low = F.lower(t)
+        return (F.when(low.isin("true", "yes", "on", "1"), F.lit(True))
+                .when(low.isin("false", "no", "off", "0"), F.lit(False)))
+    return t.try_cast({"int": "bigint", "float": "double"}[kind])
+
+
 def id_hex(x: str | Column, width: int = 32) -> Column:
     """Normalise an id to lower-case hex left-padded to ``width`` (SF8)."""
     return F.lpad(F.lower(F.trim(_c(x))), width, "0")

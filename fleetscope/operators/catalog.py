@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import as_of_literal, glob_to_regex, whole_units_between
+from ..functions import as_of_literal, base_name, glob_to_regex, stamp_from_name, whole_units_between
 from ..plans.ordered import lag_in_series, ordered_index
 
 # Base names never mirrored, and the archive glob.
@@ -35,6 +35,15 @@ def match_names(files: DataFrame, include: str | None = None, exclude: Sequence[
     return files.filter(cond)
 
 
+def archive_stamps(files: DataFrame, name: str = "name") -> DataFrame:
+    """SF1/SF2 on a catalog: stamp written in the file name, ``manual`` flag, and the
+    whole seconds between the stamp and the file's mtime."""
+    stamp = stamp_from_name(base_name(F.col(name)))
+    return files.select("host", name, "mtime", stamp.alias("stamp"),
+                        base_name(F.col(name)).contains("-manual-").alias("manual"),
+                        (F.unix_timestamp("mtime") - F.unix_timestamp(stamp)).alias("stamp_lag_seconds"))
+
+
 def oversize(files: DataFrame, limit: int = OVERSIZE_BYTES, size: str = "size_bytes") -> DataFrame:
     """FL11: files larger than ``limit`` bytes."""
     return files.filter(F.col(size) > F.lit(limit))
@@ -173,7 +182,7 @@ def missed_runs(files: DataFrame, start: str, end: str, hour: int = 2, key: str
     h = (hosts if hosts is not None else files).select(key).distinct()
     days = h.select(key, F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
                                               F.expr("INTERVAL 1 DAY"))).alias("day"))
-    done = _regular(files).select(key, F.to_date("mtime").alias("day"))
+    done = _regular(files).select(key, F.to_date("mtime").alias("day")).distinct()  # reduced map-side
     missed = days.join(done, [key, "day"], "left_anti")
     slot = F.to_timestamp_ntz(F.concat(F.col("day").cast("string"), F.lit(f" {int(hour):02d}:00:00")))
     return missed.select(key, "day", slot.alias("slot_ts"))

@@ -68,7 +68,7 @@ def missing_expected(expected: Sequence[str], observed: DataFrame, host: str = "
     """
     h = (hosts if hosts is not None else observed).select(host).distinct()
     want = h.select(host, F.explode(F.array(*[F.lit(x) for x in expected])).alias(name))
-    seen = observed.select(host, name)
+    seen = observed.select(host, name).distinct()  # reduced map-side before the shuffle
     return want.join(seen, [host, name], "left_anti")
 
 

@@ -384,6 +384,17 @@ def q_match_names(spark, sf):
     return catalog.match_names(fx.v_files(spark, sf), prefix="backup")
 
 
+@register("archive_stamps", with_views(r"""
+, s as (select host, name, mtime,
+               try_strptime(nullif(regexp_extract(name, '(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})', 1), ''),
+                            '%Y-%m-%d_%H-%M-%S') as stamp from v_files)
+select host, name, mtime, stamp, contains(name, '-manual-') as manual,
+       cast(floor(epoch(mtime)) - floor(epoch(stamp)) as bigint) as stamp_lag_seconds
+from s""", "v_files"))
+def q_archive_stamps(spark, sf):
+    return catalog.archive_stamps(fx.v_files(spark, sf))
+
+
 @register("oversize", with_views("select * from v_files where size_bytes > 1048576", "v_files"))
 def q_oversize(spark, sf):
     return catalog.oversize(fx.v_files(spark, sf))

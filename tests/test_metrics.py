@@ -39,8 +39,8 @@ def test_rate_bucket_without_delta_has_no_row(spark):
 
 
 def test_match_labels_anchored_and_absent(spark):
-    df = spark.createDataFrame([("langfuse1", "x"), ("xlangfuse1", "y"), (None, "z")], "name string, job string")
-    assert rows(metrics.match_labels(df, re={"name": "langfuse.*"}), "job") == [("x",)]
+    df = spark.createDataFrame([("webapp1", "x"), ("xwebapp1", "y"), (None, "z")], "name string, job string")
+    assert rows(metrics.match_labels(df, re={"name": "webapp.*"}), "job") == [("x",)]
     assert rows(metrics.match_labels(df, eq={"name": ""}), "job") == [("z",)]
     m = spark.createDataFrame([({"name": "a"},), ({},)], "labels map<string,string>")
     assert metrics.match_labels(m, eq={"name": ""}, labels="labels").count() == 1
