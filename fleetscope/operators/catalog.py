@@ -203,7 +203,12 @@ def prune(files: DataFrame, as_of, days: int, leeway: int = 0, prefix: str | Non
     now = as_of_literal(files, "mtime", as_of)
     shifted = now - F.expr(f"INTERVAL {int(leeway)} SECONDS") if leeway else now
     age = whole_units_between(shifted, F.col("mtime"), 86400)
-    return f.withColumn("age_days", age).filter(F.col("age_days") > days)
+    # floor((A - floor(m)) / 86400) > days  <=>  m < A - (days + 1) * 86400 + 1 s  (A in whole seconds):
+    # the same condition as a literal bound, so the scan can skip row groups.
+    a = as_of if isinstance(as_of, _dt.datetime) else _dt.datetime.fromisoformat(str(as_of))
+    bound = a.replace(microsecond=0) - _dt.timedelta(seconds=int(leeway) + (days + 1) * 86400 - 1)
+    return (f.filter(F.col("mtime") < as_of_literal(files, "mtime", bound))
+            .withColumn("age_days", age).filter(F.col("age_days") > days))
 
 
 def _monday(d):
