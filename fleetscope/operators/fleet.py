@@ -28,7 +28,8 @@ def classify_status(snap: DataFrame, status: str = "status") -> DataFrame:
              .otherwise("pending"))
     sev = F.when(state == "healthy", OK).when(state == "pending", WARNING).otherwise(ERROR)
     code = F.nullif(F.regexp_extract(s, r"^Exited \((\d+)\)", 1), F.lit("")).try_cast("int")
-    return snap.withColumn("state", state).withColumn("exit_code", code).withColumn("severity", sev)
+    return snap.withColumns({"state": state, "exit_code": code}).withColumn(
+        "severity", F.when(F.col("state") == "healthy", OK).when(F.col("state") == "pending", WARNING).otherwise(ERROR))
 
 
 def project_containers(snap: DataFrame, project: str, by: str = "name", labels: str = "labels",
@@ -56,7 +57,7 @@ def classify_endpoint(probes: DataFrame, accepted: Mapping[str, Sequence[int]] =
     ok = F.coalesce(F.array_contains(F.try_element_at(codes, F.col(component)), F.col(code)), F.lit(False))
     outcome = F.when(F.col(code).isNull(), "no_answer").when(ok, "ok").otherwise("failed")
     severity = F.when(ok, OK).otherwise(F.coalesce(F.try_element_at(sev, F.col(component)), F.lit(ERROR)))
-    return probes.withColumn("accepted", ok).withColumn("outcome", outcome).withColumn("severity", severity)
+    return probes.withColumns({"accepted": ok, "outcome": outcome, "severity": severity})
 
 
 def missing_expected(expected: Sequence[str], observed: DataFrame, host: str = "host", name: str = "name",

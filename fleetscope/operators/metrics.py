@@ -37,9 +37,8 @@ def counter_delta(metrics: DataFrame, series: Sequence[str], ts: str = "ts", val
     v, p = F.col(value), F.col("prev_" + value)
     vtype = metrics.schema[value].dataType
     delta = F.when(p.isNull(), F.lit(None)).when(v >= p, v - p).otherwise(v).cast(vtype)
-    return (lagged.drop("prev_" + ts)
-            .withColumn("delta", delta)
-            .withColumn("is_reset", F.when(p.isNull(), F.lit(None)).otherwise(v < p)))
+    return lagged.drop("prev_" + ts).withColumns(
+        {"delta": delta, "is_reset": F.when(p.isNull(), F.lit(None)).otherwise(v < p)})
 
 
 def counter_increase(metrics: DataFrame, series: Sequence[str], window: str = "1 hour",

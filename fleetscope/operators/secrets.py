@@ -34,11 +34,6 @@ ALLOW_PATTERNS = [r"^[\x22\x27]?op://", r"^[\x22\x27]?\$\{[A-Za-z_][A-Za-z0-9_]*
                   r"^[\x22\x27]?PLACEHOLDER_", r"CHANGE_ME", r"-test-"]
 
 
-def allowed(value) -> F.Column:
-    """SC2: true when the captured value is an allowed, non-secret form."""
-    return reduce(lambda a, b: a | b, [value.rlike(p) for p in ALLOW_PATTERNS])
-
-
 # Literal text every match of a rule must contain (any one of them).
 # A plain substring test is far cheaper than a regex, so lines and whole
 # documents without any of these skip the regexes entirely.  None of them
@@ -51,34 +46,58 @@ RULE_NEEDLES = {
 }
 
 
-def _has_needle(col, rules=SECRET_RULES):
-    needles = sorted({n for r, *_ in rules for n in RULE_NEEDLES.get(r, ("",))})
-    return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
+def _sql_str(x: str) -> str:
+    """A Spark SQL raw string literal (patterns and needles never contain a quote)."""
+    assert "'" not in x
+    return f"r'{x}'"
+
+
+def _needle_sql(col: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_sql_str(n)})" for n in needles) + ")"
+
+
+def _all_needles(rules):
+    return sorted({n for r, *_ in rules for n in RULE_NEEDLES.get(r, ("",))})
+
+
+def _has_needle(col: str, rules=SECRET_RULES) -> F.Column:
+    return F.expr(_needle_sql(f"`{col}`", _all_needles(rules)))
+
+
+def allowed(value: F.Column | str) -> F.Column:
+    """SC2: true when the captured value is an allowed, non-secret form."""
+    v = value if isinstance(value, str) else None
+    if v is None:
+        return reduce(lambda a, b: a | b, [value.rlike(p) for p in ALLOW_PATTERNS])
+    return F.expr("(" + " OR ".join(f"`{v}` RLIKE {_sql_str(p)}" for p in ALLOW_PATTERNS) + ")")
 
 
 def scan_lines(lines: DataFrame, id_cols: Sequence[str], line: str = "line", line_no: str = "line_no",
                rules=SECRET_RULES, keep_allowed: bool = False) -> DataFrame:
-    """SC1 on a table that already has one row per line."""
-    cand = lines.filter(_has_needle(F.col(line), rules))  # cheap pre-filter: most lines hold no secret
-
-    def test(r, p):
-        near = reduce(lambda a, b: a | b, [F.col(line).contains(n) for n in RULE_NEEDLES.get(r, ("",))])
-        return near & F.col(line).rlike(p)
-
-    hits = F.array(*[
-        F.when(test(r, p), F.struct(F.lit(r).alias("rule"), F.lit(sev).alias("severity"),
-                                               F.lit(vp).alias("value_pattern"),
-                                               F.regexp_extract_all(F.col(line), F.lit(p), 0).alias("matches")))
-        for r, p, sev, vp in rules])
-    per_rule = cand.select(*id_cols, line_no, line, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h"))
+    """SC1 on a table that already has one row per line.
+
+    The rule projection is one SQL expression (a single parse), not a tree
+    of client-side column calls.
+    """
+    cand = lines.filter(_has_needle(line, rules))  # cheap pre-filter: most lines hold no secret
+    ln = f"`{line}`"
+    arms = []
+    for r, p, sev, vp in rules:
+        cond = f"{_needle_sql(ln, RULE_NEEDLES.get(r, ('',)))} AND {ln} RLIKE {_sql_str(p)}"
+        vps = _sql_str(vp) if vp else "CAST(NULL AS STRING)"
+        arms.append(f"CASE WHEN {cond} THEN named_struct('rule', '{r}', 'severity', '{sev}', 'value_pattern', {vps}, "
+                    f"'matches', regexp_extract_all({ln}, {_sql_str(p)}, 0)) END")
+    hits = F.expr(f"filter(array({', '.join(arms)}), x -> x IS NOT NULL)")
+    per_rule = cand.select(*id_cols, line_no, line, F.explode(hits).alias("h"))
     found = per_rule.select(*id_cols, line_no, line, "h.rule", "h.severity", "h.value_pattern",
                             F.explode("h.matches").alias("m"))
-    value = F.coalesce(*[F.when(F.col("rule") == r, F.regexp_extract("m", vp, 1)) for r, _, _, vp in rules if vp],
-                       F.col("m")) if any(vp for *_, vp in rules) else F.col("m")
-    out = found.select(*id_cols, line_no, "rule", "severity",
-                       F.instr(F.col(line), F.col("m")).alias("offset"),
-                       F.sha2(F.col("m"), 256).alias("match_hash"),
-                       allowed(value).alias("allowed"))
+    # The part checked against the allow list: group 1 of the rule's value pattern, else the whole match.
+    # Findings are rare, so a per-row pattern here costs little and keeps the plan small.
+    value = F.expr("CASE WHEN value_pattern IS NULL THEN m ELSE regexp_extract(m, value_pattern, 1) END")
+    valued = found.select(*id_cols, line_no, line, "rule", "severity", "m", value.alias("v"))
+    out = valued.select(*id_cols, line_no, "rule", "severity",
+                        F.expr(f"instr({ln}, m)").alias("offset"), F.expr("sha2(m, 256)").alias("match_hash"),
+                        allowed("v").alias("allowed"))
     return out if keep_allowed else out.filter(~F.col("allowed")).drop("allowed")
 
 
@@ -88,7 +107,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
     Whole texts are split into lines inside each task; nothing is truncated.
     """
-    docs = docs.filter(_has_needle(F.col(text), rules))  # whole documents without a needle are skipped
+    docs = docs.filter(_has_needle(text, rules))  # whole documents without a needle are skipped
     lines = docs.select(doc_id, F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "line")).select(
         doc_id, (F.col("_pos") + 1).alias("line_no"), "line")
     return scan_lines(lines, [doc_id], rules=rules, keep_allowed=keep_allowed)

@@ -75,9 +75,8 @@ def lag_in_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     joined = d.join(carry, SKEY, "left")
     w = Window.partitionBy(SKEY).orderBy(*order)
     out = joined.withColumn("_prev", F.coalesce(F.lag(rec).over(w), F.col("_carry")))
-    for c in carried:
-        out = out.withColumn(prefix + c, F.col("_prev")[c])
-    return out.drop("_prev", "_carry", SKEY)
+    keep = [c for c in df.columns]
+    return out.select(*keep, *[F.col("_prev")[c].alias(prefix + c) for c in carried])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
