@@ -10,8 +10,6 @@ ever one task.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +39,16 @@ def v_logs(spark, sf_dir) -> DataFrame:
                      message.alias("message"))
 
 
-def v_tokens(spark, sf_dir) -> DataFrame:
+def v_tokens(spark, sf_dir, materialized: bool = False) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", F.col("event_type").alias("model"),
                      (F.col("user_id") % 5).cast("string").alias("instance"), "ts",
                      F.col("value").cast("decimal(12,2)").alias("_v"),
                      F.to_date("ts").alias("_day"))
     out = running_sum(base, ["model", "instance", "_day"], ["ts"], "_v", "value", chunk_seconds=3600)
-    # counter operators read their input twice; cut the running-sum lineage once
-    return materialize(out.select("event_id", "model", "instance", "ts",
-                                  F.col("value").cast("decimal(18,2)").alias("value")))
+    out = out.select("event_id", "model", "instance", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    # two-pass counter operators read their input twice: then cut the running-sum lineage once
+    return materialize(out, "v_tokens") if materialized else out
 
 
 def v_spans(spark, sf_dir) -> DataFrame:
@@ -105,13 +103,14 @@ def v_traces(spark, sf_dir) -> DataFrame:
         (F.col("o_orderkey") * 37 % 10000).alias("latency_ms"))
 
 
-def v_cpu(spark, sf_dir) -> DataFrame:
+def v_cpu(spark, sf_dir, materialized: bool = False) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", (F.col("event_id") % 300).alias("_series"), "ts",
                      F.col("value").cast("decimal(12,2)").alias("_v"))
     out = running_sum(base, ["_series"], ["ts"], "_v", "value", chunk_seconds=86400)
-    return materialize(out.select("event_id", F.md5((F.col("_series") * 70).cast("string")).alias("trace_id"), "ts",
-                                  F.col("value").cast("decimal(18,2)").alias("value")))
+    out = out.select("event_id", F.md5((F.col("_series") * 70).cast("string")).alias("trace_id"), "ts",
+                     F.col("value").cast("decimal(18,2)").alias("value"))
+    return materialize(out, "v_cpu") if materialized else out
 
 
 def v_obs(spark, sf_dir) -> DataFrame:

@@ -66,7 +66,7 @@ select trace_id, link_id as tempo_trace_id, llm_cost, coalesce(cpu_seconds, cast
        concat('/trace/', trace_id) as trace_url, concat('/explore?traceID=', link_id) as explore_url
 from j""", "v_cpu", "v_traces"))
 def q_attribute_cost(spark, sf):
-    return costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf))
+    return costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf, materialized=True))
 
 
 @register("reconcile_cost", with_views("""
@@ -110,7 +110,7 @@ select event_id, model, instance, ts, value, prev_value, delta,
        case when prev_value is null then null else value < prev_value end as is_reset
 from dd""", "v_tokens"))
 def q_counter_delta(spark, sf):
-    return metrics.counter_delta(fx.v_tokens(spark, sf), ["model", "instance"])
+    return metrics.counter_delta(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"])
 
 
 @register("counter_increase", with_views(_TOKEN_DELTAS + """
@@ -118,7 +118,7 @@ select model, instance, date_trunc('hour', ts) as window_start, date_trunc('hour
        cast(sum(delta) as decimal(18,2)) as increase
 from dd where delta is not null group by all""", "v_tokens"))
 def q_counter_increase(spark, sf):
-    return metrics.counter_increase(fx.v_tokens(spark, sf), ["model", "instance"], "1 hour")
+    return metrics.counter_increase(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "1 hour")
 
 
 @register("counter_increase_stepped", with_views(_TOKEN_DELTAS + """
@@ -128,7 +128,7 @@ select model, instance, window_start, window_start + interval 2 hour as window_e
        cast(sum(delta) as decimal(18,2)) as increase
 from b group by all""", "v_tokens"))
 def q_counter_increase_stepped(spark, sf):
-    return metrics.counter_increase(fx.v_tokens(spark, sf), ["model", "instance"], "2 hours", "1 hour")
+    return metrics.counter_increase(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "2 hours", "1 hour")
 
 
 _RATE5 = _TOKEN_DELTAS + """
@@ -143,14 +143,14 @@ select model, instance, window_start, window_end, increase, 300 as window_second
        round(cast(increase as double) / 300, 6) as rate
 from r""", "v_tokens"))
 def q_counter_rate(spark, sf):
-    return metrics.counter_rate(fx.v_tokens(spark, sf), ["model", "instance"], "5 minutes")
+    return metrics.counter_rate(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "5 minutes")
 
 
 @register("sum_by_model", with_views(_RATE5 + """
 select model, window_start, window_end, round(cast(sum(increase) as double) / 300, 6) as rate
 from r group by all""", "v_tokens"))
 def q_sum_by_model(spark, sf):
-    rates = metrics.counter_rate(fx.v_tokens(spark, sf), ["model", "instance"], "5 minutes")
+    rates = metrics.counter_rate(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "5 minutes")
     return metrics.sum_by(rates, ["model"])
 
 
@@ -164,14 +164,14 @@ _HOURLY = _TOKEN_DELTAS + """
 select window_start, window_end, cast(sum(increase) as decimal(18,2)) as cost_per_hour from h group by all""",
                                       "v_tokens"))
 def q_cost_per_hour(spark, sf):
-    return metrics.cost_per_hour(fx.v_tokens(spark, sf), ["model", "instance"])
+    return metrics.cost_per_hour(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"])
 
 
 @register("daily_cost", with_views(_HOURLY.format(unit="day") + """
 select window_start, window_end, cast(sum(increase) as decimal(18,2)) as daily_cost from h group by all""",
                                    "v_tokens"))
 def q_daily_cost(spark, sf):
-    return metrics.daily_cost(fx.v_tokens(spark, sf), ["model", "instance"])
+    return metrics.daily_cost(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"])
 
 
 @register("infra_cost", with_views(f"""
@@ -182,7 +182,7 @@ select window_start, window_start + interval 1 day as window_end,
        round(cast(sum(increase) as double) / 86400 * 0.024, 6) as infra_cost
 from h group by all""", "v_cpu"))
 def q_infra_cost(spark, sf):
-    return metrics.infra_cost(fx.v_cpu(spark, sf), ["trace_id"])
+    return metrics.infra_cost(fx.v_cpu(spark, sf, materialized=True), ["trace_id"])
 
 
 @register("match_labels", with_views("""
@@ -200,7 +200,7 @@ def q_match_labels(spark, sf):
          and s.ts <= t.eval_ts and s.ts > t.eval_ts - interval 3600 second)
 select model, instance, eval_ts, sample_ts, value from c where rn = 1""", "v_tokens"))
 def q_instant_value(spark, sf):
-    tok = fx.v_tokens(spark, sf)
+    tok = fx.v_tokens(spark, sf, materialized=True)
     times = tok.select("model", "instance", F.window("ts", "1 hour").end.alias("eval_ts")).distinct()
     return metrics.instant_value(tok, times, ["model", "instance"], lookback=3600)
 
