@@ -95,8 +95,9 @@ def scan_lines(lines: DataFrame, id_cols: Sequence[str], line: str = "line", lin
     # Findings are rare, so a per-row pattern here costs little and keeps the plan small.
     value = F.expr("CASE WHEN value_pattern IS NULL THEN m ELSE regexp_extract(m, value_pattern, 1) END")
     valued = found.select(*id_cols, line_no, line, "rule", "severity", "m", value.alias("v"))
-    out = valued.select(*id_cols, line_no, "rule", "severity",
-                        F.expr(f"instr({ln}, m)").alias("offset"), F.expr("sha2(m, 256)").alias("match_hash"),
+    out = valued.select(*id_cols, F.col(line_no).cast("bigint").alias(line_no), "rule", "severity",
+                        F.expr(f"cast(instr({ln}, m) as bigint)").alias("offset"),
+                        F.expr("sha2(m, 256)").alias("match_hash"),
                         allowed("v").alias("allowed"))
     return out if keep_allowed else out.filter(~F.col("allowed")).drop("allowed")
 
