@@ -53,3 +53,33 @@ def test_ordered_index_descending_chunks(spark):
     got = ordered_index(df, ["k"], [F.col("name").desc()], "n", chunk=F.substring("name", 1, 9),
                         descending_chunks=True)
     assert rows(got, "id", "n") == sorted((299 - i, i + 1) for i in range(300))
+
+
+def _hot(spark):
+    base = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([("hot", base + dt.timedelta(seconds=60 * i), i) for i in range(48 * 60)],
+                                 "k string, ts timestamp_ntz, v long")
+
+
+def _partitions_used(df, col):
+    """Distinct tasks that produced ``col`` (the column is kept, so its window is not pruned away)."""
+    return len(df.select(F.spark_partition_id().alias("_pid"), F.col(col)).groupBy("_pid")
+               .agg(F.count(col).alias("n")).collect())
+
+
+def test_one_hot_key_is_spread_over_tasks(spark):
+    """All rows share one key: a plain window uses one task, the chunked helpers use many."""
+    df = _hot(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plain = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("ts")))
+        assert _partitions_used(plain, "p") == 1
+        assert _partitions_used(lag_in_series(df, ["k"], ["ts"], ["v"], chunk_seconds=3600), "prev_v") >= 4
+        assert _partitions_used(running_sum(df, ["k"], ["ts"], "v", "rs", chunk_seconds=3600), "rs") >= 4
+        assert _partitions_used(ordered_index(df, ["k"], [F.col("ts")], "n", chunk=time_chunk("ts", 3600)), "n") >= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # and the answers are still those of the plain window
+    got = lag_in_series(df, ["k"], ["ts"], ["v"], chunk_seconds=3600)
+    assert got.filter("prev_v is null").count() == 1
+    assert got.filter("prev_v != v - 1").count() == 0
