@@ -36,8 +36,13 @@ FLAT_SAMPLE = T.StructType([T.StructField("metric", T.StringType()),
                             T.StructField("ts", T.DoubleType()), T.StructField("value", T.StringType())])
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
 def _epoch_to_ts(x):
-    return F.timestamp_micros((x.try_cast("double") * 1_000_000).cast("bigint")).cast("timestamp_ntz")
+    """Epoch seconds (possibly fractional) -> UTC wall-clock ``timestamp_ntz``, whatever the session zone."""
+    micros = (x.try_cast("double") * 1_000_000).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.expr(_EPOCH_NTZ))
 
 
 def read_metric_samples(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:
@@ -73,7 +78,8 @@ def read_spans(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.schema(SPAN_SEARCH).option("multiLine", "true").json(path)
     t = r.select(F.inline("traces"))
     s = t.select("traceID", "rootServiceName", F.inline("spans"))
-    start = F.timestamp_micros((F.col("startTimeUnixNano").try_cast("decimal(38,0)") / 1000).cast("bigint"))
+    start = F.timestamp_add("MICROSECOND", (F.col("startTimeUnixNano").try_cast("decimal(38,0)") / 1000).cast("bigint"),
+                           F.expr(_EPOCH_NTZ))
     return s.select(F.lower(F.lpad("traceID", 32, "0")).alias("trace_id"), F.lower(F.lpad("spanID", 16, "0")).alias("span_id"),
                     "name", F.coalesce(F.try_element_at("attributes", F.lit("service.name")), F.col("rootServiceName")).alias("service"),
-                    start.cast("timestamp_ntz").alias("start_ts"), F.col("durationMs").alias("duration_ms"), "attributes")
+                    start.alias("start_ts"), F.col("durationMs").alias("duration_ms"), "attributes")

@@ -1,5 +1,6 @@
 """Sources and sinks on small literal files in a fresh temporary folder."""
 
+import datetime as dt
 import json
 import os
 
@@ -61,13 +62,14 @@ def test_api_responses(spark, tmp_path):
         {"metric": {"__name__": "cpu", "trace_id": "y"}, "value": [1704067200, "NaNx"]}]}}
     _write(f"{tmp_path}/prom/r1.json", json.dumps(prom))
     _write(f"{tmp_path}/prom/r2.json", json.dumps({"status": "success", "data": {"resultType": "vector", "result": []}}))
-    m = rows(sources.read_metric_samples(spark, f"{tmp_path}/prom"), "metric", "value")
-    assert m == [("cpu", 1.5), ("cpu", None)]
+    m = rows(sources.read_metric_samples(spark, f"{tmp_path}/prom"), "metric", "value", "ts")
+    assert m == [("cpu", 1.5, dt.datetime(2024, 1, 1, 0, 0, 0, 500000)), ("cpu", None, dt.datetime(2024, 1, 1))]
     spans = {"traces": [{"traceID": "ABC", "rootServiceName": "web", "spans": [
         {"spanID": "1", "name": "memory_search", "startTimeUnixNano": "1704067200000000000", "durationMs": 12.0}]}]}
     _write(f"{tmp_path}/spans/s1.json", json.dumps(spans))
     s = sources.read_spans(spark, f"{tmp_path}/spans").collect()[0]
     assert (s.trace_id, s.span_id, s.service) == ("0" * 29 + "abc", "0" * 15 + "1", "web")
+    assert s.start_ts == dt.datetime(2024, 1, 1)
 
 
 def test_file_catalog_reads_no_content(spark, tmp_path):
