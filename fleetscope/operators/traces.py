@@ -126,13 +126,18 @@ def latency_targets(df: DataFrame, ms: float = LATENCY_TARGET_MS, latency: str =
     return g
 
 
-def attribute_hygiene(spans: DataFrame, attributes: str = "attributes") -> DataFrame:
-    """AG16 (attributes): per attribute key, spans with and without it and distinct values (exact)."""
+def attribute_hygiene(spans: DataFrame, attributes: str = "attributes", exact: bool = True) -> DataFrame:
+    """AG16 (attributes): per attribute key, spans with and without it and distinct values.
+
+    ``exact=False`` uses ``approx_count_distinct`` (HyperLogLog++, fixed memory
+    per key) instead of an exact distinct count.
+    """
     kv = spans.select(F.explode(attributes).alias("key", "value"))
+    distinct = F.countDistinct("value") if exact else F.approx_count_distinct("value")
     return kv.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.countDistinct("value").alias("n_distinct"))
+        distinct.alias("n_distinct"))
 
 
 def bad_ids(spans: DataFrame, trace_id: str = "trace_id", span_id: str = "span_id") -> DataFrame:

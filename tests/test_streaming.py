@@ -86,3 +86,28 @@ def test_merge_updates_stream_equals_batch(spark):
     latest = s.groupBy("trace_id", "meta_key").agg(F.max_by("meta_value", "version").alias("meta_value"))
     assert rows(latest, "trace_id", "meta_key", "meta_value") == rows(
         traces.merge_trace_updates(batch), "trace_id", "meta_key", "meta_value")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    """A row older than the watermark, arriving in a later file, does not reach the windows."""
+    base = dt.datetime(2024, 1, 10, 12)
+    on_time = [(1, base, "web", "ERROR: a"), (2, base + dt.timedelta(minutes=1), "web", "ERROR: b")]
+    late = [(3, base - dt.timedelta(days=2), "web", "ERROR: late")]
+    schema = "line_id long, ts timestamp_ntz, service string, message string"
+    spark.createDataFrame(on_time, schema).write.parquet(f"{tmp_path}/in/f1")
+    spark.createDataFrame(late, schema).write.parquet(f"{tmp_path}/in/f2")
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(f"{tmp_path}/in"))
+    out = _run(spark, batch_forms.error_alerts(stream, "5 minutes", watermark="1 hour"), mode="update")
+    days = {r.window_start.day for r in out.collect()}
+    assert days == {10}
+
+
+def test_ingest_events_into_a_table(spark, tmp_path):
+    from fleetscope.streaming.sinks import write_stream_table
+    ev = fx.table(spark, SF, "events")
+    stream, _ = _as_stream(spark, ev.unionByName(ev.filter(F.col("event_id") % 5 == 0)))
+    q = write_stream_table(batch_forms.ingest_events(stream, watermark="40 days"), f"{tmp_path}/clean",
+                           f"{tmp_path}/ck", available_now=True)
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/clean").count() == ev.count()
