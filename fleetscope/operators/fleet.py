@@ -109,15 +109,42 @@ def ready_services(deps: DataFrame, status: DataFrame, service: str = "service",
     return g
 
 
+# Severity of the other checks when they fail.
+BACKUP_SEVERITY = WARNING       # stale or missing backups only warn
+LOG_ERRORS_SEVERITY = WARNING   # recent error lines only warn
+DATABASE_SEVERITY = ERROR       # a database that does not answer is an error
+
+
 def build_checks(containers: DataFrame | None = None, endpoints: DataFrame | None = None,
-                 host: str = "host") -> DataFrame:
-    """The ``checks`` table: host, ts, component, check_name, severity."""
+                 freshness: DataFrame | None = None, log_errors: DataFrame | None = None,
+                 databases: DataFrame | None = None, host: str = "host") -> DataFrame:
+    """The ``checks`` table: host, ts, component, check_name, severity.
+
+    * ``containers``: output of ``classify_status`` (state and severity per snapshot);
+    * ``endpoints``: output of ``classify_endpoint``;
+    * ``freshness``: output of ``catalog.backup_freshness`` (``warn`` / ``no_backups`` warn);
+    * ``log_errors``: error lines with ``host`` and ``ts`` (each host with any is a warning);
+    * ``databases``: probe rows ``host, ts, component, ok`` (a failed probe is an error).
+    Every check is evaluated and kept; the roll-up comes after.
+    """
     parts = []
     if containers is not None:
         parts.append(containers.select(host, F.col("snapshot_ts").alias("ts"), F.lit("container").alias("component"),
                                        F.col("state").alias("check_name"), "severity"))
     if endpoints is not None:
         parts.append(endpoints.select(host, "ts", "component", F.col("outcome").alias("check_name"), "severity"))
+    if freshness is not None:
+        parts.append(freshness.select(host, F.col("mtime").alias("ts"), F.lit("backup").alias("component"),
+                                      F.col("status").alias("check_name"),
+                                      F.when(F.col("status") == "ok", OK).otherwise(BACKUP_SEVERITY).alias("severity")))
+    if log_errors is not None:
+        g = log_errors.groupBy(host).agg(F.max("ts").alias("ts"))
+        parts.append(g.select(host, "ts", F.lit("logs").alias("component"), F.lit("errors_found").alias("check_name"),
+                              F.lit(LOG_ERRORS_SEVERITY).alias("severity")))
+    if databases is not None:
+        parts.append(databases.select(host, "ts", "component",
+                                      F.when(F.col("ok"), "ok").otherwise("failed").alias("check_name"),
+                                      F.when(F.col("ok"), OK).otherwise(DATABASE_SEVERITY).alias("severity")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

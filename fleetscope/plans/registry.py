@@ -646,15 +646,22 @@ def q_ready_services(spark, sf):
     return fleet.ready_services(fx.v_deps(spark, sf), status)
 
 
-@register("fleet_health", with_views(_CLASSIFIED + _ENDPOINTS + """
-, checks as (select host, severity from cs union all select host, severity from ep)
+@register("fleet_health", with_views(_CLASSIFIED + _ENDPOINTS + f"""
+, l as (select host, max(mtime) as mtime from v_primary where mtime <= timestamp '{FRESH_AS_OF}' group by host)
+, h as (select distinct host from v_status)
+, fr as (select h.host, case when l.mtime is not null and {_AGE_H} < 25 then 0 else 1 end as severity
+         from h left join l on h.host = l.host)
+, checks as (select host, severity from cs union all select host, severity from ep
+             union all select host, severity from fr)
 select host, max(severity) as worst, count(*) as n_checks, count_if(severity = 2) as n_errors,
        count_if(severity = 1) as n_warnings,
        case when max(severity) >= 2 then 'error' when max(severity) = 1 then 'warning' else 'healthy' end as overall
-from checks group by host""", "v_status", "v_probes"))
+from checks group by host""", "v_status", "v_probes", "v_primary"))
 def q_fleet_health(spark, sf):
-    checks = fleet.build_checks(fleet.classify_status(fx.v_status(spark, sf)),
-                                fleet.classify_endpoint(fx.v_probes(spark, sf)))
+    status = fx.v_status(spark, sf)
+    fresh = catalog.backup_freshness(fx.primary_catalog(spark, sf), status, FRESH_AS_OF, 25)
+    checks = fleet.build_checks(fleet.classify_status(status), fleet.classify_endpoint(fx.v_probes(spark, sf)),
+                                freshness=fresh)
     return fleet.fleet_health(checks)
 
 

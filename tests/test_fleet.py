@@ -59,3 +59,19 @@ def test_missing_expected_and_roll_up(spark):
     checks = spark.createDataFrame([("h1", 0), ("h1", 1), ("h2", 2), ("h3", 0)], "host string, severity int")
     got = rows(fleet.fleet_health(checks), "host", "overall", "n_warnings", "n_errors")
     assert got == [("h1", "warning", 1, 0), ("h2", "error", 0, 1), ("h3", "healthy", 0, 0)]
+
+
+def test_checks_from_every_source_roll_up(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    containers = fleet.classify_status(spark.createDataFrame(
+        [("h1", t, "Up 1 minute (healthy)"), ("h2", t, "Up 1 minute (healthy)"), ("h3", t, "Up 1 minute (healthy)")],
+        "host string, snapshot_ts timestamp_ntz, status string"))
+    fresh = spark.createDataFrame([("h1", t, "ok"), ("h2", None, "no_backups"), ("h3", t, "ok")],
+                                  "host string, mtime timestamp_ntz, status string")
+    logs = spark.createDataFrame([("h3", t)], "host string, ts timestamp_ntz")
+    dbs = spark.createDataFrame([("h1", t, "postgres", False), ("h3", t, "redis", True)],
+                                "host string, ts timestamp_ntz, component string, ok boolean")
+    checks = fleet.build_checks(containers, freshness=fresh, log_errors=logs, databases=dbs)
+    got = rows(fleet.fleet_health(checks), "host", "overall", "n_errors", "n_warnings")
+    assert got == [("h1", "error", 1, 0), ("h2", "warning", 0, 1), ("h3", "warning", 0, 1)]
