@@ -26,10 +26,38 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
+    """Settings sized for a large cluster reading ``input_bytes``.
+
+    Scans split at ``target_partition_bytes``.  Shuffles start with enough
+    partitions for the whole input at that size (at least 3 waves of the
+    cluster's cores), and AQE coalesces small ones back toward the advisory
+    size, so no reducer has to hold more than a few hundred MiB before
+    spilling.  A partition 5x the median and above 1 GiB counts as skewed and
+    is split.
+    """
+    cores = executors * cores_per_executor
+    initial = max(3 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 ** 3),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+    }
+
+
 def build_session(master: str | None = None, app: str = "fleetscope",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Return a session with UTC time, AQE and skew handling switched on."""
+    """Return a session with UTC time, AQE and skew handling switched on.
+
+    On a cluster pass ``extra=cluster_conf(input_bytes)``; tests use a few
+    shuffle partitions on ``local[*]``.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
