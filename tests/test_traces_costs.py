@@ -70,3 +70,15 @@ def test_latency_targets_exact(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 101)], "latency_ms double")
     r = traces.latency_targets(df, ms=50).collect()[0]
     assert (r.n, r.share_below, r.p50, r.p95) == (100, 0.49, 50.5, 95.05)
+
+
+def test_attribute_cost_as_written_mode(spark):
+    import pytest
+    tr = spark.createDataFrame([("t1", D("1.00"), '{"tempo_trace_id": "ab"}')],
+                               "trace_id string, total_cost decimal(12,2), metadata string")
+    cpu = spark.createDataFrame([("0" * 30 + "ab", T0, D("0")), ("0" * 30 + "ab", T0 + dt.timedelta(seconds=100), D("50"))],
+                                "trace_id string, ts timestamp_ntz, value decimal(18,2)")
+    r = costs.attribute_cost(tr, cpu, mode="as_written").collect()[0]
+    assert r.infra_cost == round(50 / 100 * 0.024, 6)   # average rate times the price, as documented
+    with pytest.raises(ValueError):
+        costs.attribute_cost(tr, cpu, mode="nope")
