@@ -1,6 +1,5 @@
 """Status classification, endpoint codes, version drift, readiness and the fleet roll-up."""
 
-from pyspark.sql import functions as F
 
 from fleetscope.operators import fleet
 from tests.conftest import rows

@@ -3,7 +3,6 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from fleetscope.operators import metrics
 from tests.conftest import rows
