@@ -133,9 +133,9 @@ def instant_value(metrics: DataFrame, times: DataFrame, series: Sequence[str], l
     size = max(int(lookback), 3600)
     samples = metrics.select(*series, F.col(ts).alias("_t"), F.col(value).alias("_v"),
                              F.lit(0).alias("_kind"), time_chunk(ts, size).alias("_c"))
-    carry = (samples.groupBy(*series, "_c").agg(F.max(F.struct("_t", "_v")).alias("_l"))
-             .select(*series, F.col("_l._t").alias("_t"), F.col("_l._v").alias("_v"), F.lit(0).alias("_kind"),
-                     (F.col("_c") + 1).alias("_c")))
+    # last sample of each chunk; max / max_by keep fixed-width buffers, so this is a hash aggregate
+    carry = (samples.groupBy(*series, "_c").agg(F.max("_t").alias("_t"), F.max_by("_v", "_t").alias("_v"))
+             .select(*series, "_t", "_v", F.lit(0).alias("_kind"), (F.col("_c") + 1).alias("_c")))
     asks = times.select(*series, F.col(time).alias("_t"), F.lit(None).cast(metrics.schema[value].dataType).alias("_v"),
                         F.lit(1).alias("_kind"), time_chunk(time, size).alias("_c"))
     allrows = samples.unionByName(carry).unionByName(asks)

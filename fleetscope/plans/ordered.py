@@ -69,7 +69,14 @@ def lag_in_series(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     carried = order + [c for c in cols if c not in order]
     rec = F.struct(*[F.col(c) for c in carried])
     d = _series_chunk_key(df, keys, chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
-    last = d.groupBy(SKEY).agg(F.max(rec).alias("_last"))
+    if len(order) == 1:
+        # max / max_by keep fixed-width buffers for numeric and time columns, so Spark can hash-aggregate
+        # (a struct buffer forces a sort-based aggregate, i.e. a sort of every map task's input)
+        o = order[0]
+        parts = [F.max(o).alias(o)] + [F.max_by(c, o).alias(c) for c in carried[1:]]
+        last = d.groupBy(SKEY).agg(*parts).select(SKEY, F.struct(*carried).alias("_last"))
+    else:
+        last = d.groupBy(SKEY).agg(F.max(rec).alias("_last"))
     over_chunks = Window.partitionBy(*_key_cols(keys)).orderBy(F.col(f"{SKEY}.c"))
     carry = last.select(SKEY, F.lag("_last").over(over_chunks).alias("_carry"))
     joined = d.join(carry, SKEY, "left")
