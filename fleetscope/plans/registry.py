@@ -87,6 +87,24 @@ def q_attribute_cost(spark, sf):
     return costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf, materialized=True))
 
 
+@register("attribute_cost_as_written", with_views(f"""
+, d as (select trace_id, ts, value, lag(value) over (partition by trace_id order by ts) as prev_value from v_cpu)
+, inc as (select {ID.format('trace_id')} as link_id, cast(coalesce(sum({DELTA}), 0) as decimal(18,2)) as cpu_seconds,
+                 count(*) as n_samples, cast(floor(epoch(max(ts))) - floor(epoch(min(ts))) as double) as span
+          from d group by 1)
+, t as (select trace_id, cast(total_cost as decimal(18,2)) as llm_cost, {TEMPO} as link_id from v_traces)
+, j as (select t.*, inc.cpu_seconds, inc.n_samples,
+               round(coalesce(case when inc.span > 0 then cast(inc.cpu_seconds as double) / inc.span * 0.024 end, 0.0), 6)
+                 as infra_cost
+        from t left join inc on t.link_id = inc.link_id)
+select trace_id, link_id as tempo_trace_id, llm_cost, coalesce(cpu_seconds, cast(0 as decimal(18,2))) as cpu_seconds,
+       infra_cost, round(cast(llm_cost as double) + infra_cost, 6) as total_cost, n_samples is not null as infra_found,
+       concat('/trace/', trace_id) as trace_url, concat('/explore?traceID=', link_id) as explore_url
+from j""", "v_cpu", "v_traces"))
+def q_attribute_cost_as_written(spark, sf):
+    return costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf, materialized=True), mode="as_written")
+
+
 @register("reconcile_cost", with_views("""
 , t as (select model, cast(sum(cost) as decimal(18,2)) as tracked_cost from v_obs group by model)
 , j as (select coalesce(t.model, a.model) as model, cast(t.tracked_cost as double) as t, a.actual_cost as a
@@ -210,6 +228,19 @@ def q_match_labels(spark, sf):
     return metrics.match_labels(fx.v_tokens(spark, sf), eq={"model": "view"}, re={"instance": "[0-2]"})
 
 
+@register("match_labels_map", with_views("""
+select event_id, ts, value, model as label_model, instance as label_instance from v_tokens
+where coalesce(model, '') = 'view' and regexp_full_match(coalesce(instance, ''), '(?:[0-2])')
+  and coalesce(cast(null as varchar), '') = ''""", "v_tokens"))
+def q_match_labels_map(spark, sf):
+    tok = fx.v_tokens(spark, sf).select("event_id", "ts", "value", F.create_map(
+        F.lit("model"), F.col("model"), F.lit("instance"), F.col("instance")).alias("labels"))
+    # "job" is absent from every label set, so it equals ''
+    hit = metrics.match_labels(tok, eq={"model": "view", "job": ""}, re={"instance": "[0-2]"}, labels="labels")
+    return hit.select("event_id", "ts", "value", F.col("labels")["model"].alias("label_model"),
+                      F.col("labels")["instance"].alias("label_instance"))
+
+
 @register("instant_value", with_views("""
 , times as (select distinct model, instance, date_trunc('hour', ts) + interval 1 hour as eval_ts from v_tokens)
 , c as (select t.model, t.instance, t.eval_ts, s.ts as sample_ts, s.value,
