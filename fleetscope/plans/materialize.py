@@ -19,8 +19,11 @@ from ..session import checkpoint_dir
 
 
 def shared_dir(spark) -> str:
+    """The cluster's shared checkpoint folder; a scratch folder only for local sessions."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return checkpoint_dir(spark)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on the object store)")
     return checkpoint_dir(spark, tempfile.mkdtemp(prefix="fleetscope-ckpt-"))
 
 
