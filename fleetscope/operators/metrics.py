@@ -149,6 +149,21 @@ def instant_value(metrics: DataFrame, times: DataFrame, series: Sequence[str], l
             .select(*series, F.col("_t").alias(time), F.col("_s.t").alias("sample_ts"), F.col("_s.v").alias(value)))
 
 
+def evaluation_grid(metrics: DataFrame, series: Sequence[str], step: str = "1 hour", ts: str = "ts",
+                    time: str = "eval_ts") -> DataFrame:
+    """Evaluation instants every ``step`` over each series' own span (a range query's grid).
+
+    Instants run from the first step boundary after the series' first sample
+    to the one after its last sample.  Each series makes its own ``sequence``,
+    so no series is crossed with a global calendar.
+    """
+    span = metrics.groupBy(*series).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    # one window() per projection (Spark allows no more)
+    ends = (span.select(*series, F.window("_lo", step).end.alias("_a"), "_hi")
+            .select(*series, "_a", F.window("_hi", step).end.alias("_b")))
+    return ends.select(*series, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL {step}"))).alias(time))
+
+
 # Resource targets (average CPU, normal and peak memory).
 CPU_AVG_LIMIT_PCT = 50.0
 MEM_NORMAL_LIMIT_BYTES = 4 * 1024 ** 3

@@ -254,6 +254,21 @@ def q_instant_value(spark, sf):
     return metrics.instant_value(tok, times, ["model", "instance"], lookback=3600)
 
 
+@register("range_values", with_views("""
+, b as (select model, instance, date_trunc('hour', min(ts)) + interval 1 hour as lo,
+               date_trunc('hour', max(ts)) + interval 1 hour as hi from v_tokens group by all)
+, times as (select model, instance, unnest(generate_series(lo, hi, interval 1 hour)) as eval_ts from b)
+, c as (select t.model, t.instance, t.eval_ts, s.ts as sample_ts, s.value,
+               row_number() over (partition by t.model, t.instance, t.eval_ts order by s.ts desc) as rn
+        from times t join v_tokens s on s.model = t.model and s.instance = t.instance
+         and s.ts <= t.eval_ts and s.ts > t.eval_ts - interval 3600 second)
+select model, instance, eval_ts, sample_ts, value from c where rn = 1""", "v_tokens"))
+def q_range_values(spark, sf):
+    tok = fx.v_tokens(spark, sf, materialized=True)
+    grid = metrics.evaluation_grid(tok, ["model", "instance"], "1 hour")
+    return metrics.instant_value(tok, grid, ["model", "instance"], lookback=3600)
+
+
 @register("resource_targets", with_views("""
 select container, count(*) as n_samples, round(avg(cpu_pct), 4) as avg_cpu_pct, round(max(cpu_pct), 4) as max_cpu_pct,
        count_if(cpu_pct >= 50) as n_cpu_over, round(avg(mem_used_bytes), 1) as avg_mem_bytes,

@@ -69,3 +69,17 @@ def test_resource_targets(spark):
                                "container string, cpu_pct double, mem_used_bytes long")
     r = metrics.resource_targets(df).collect()[0]
     assert (r.avg_cpu_pct, r.cpu_ok, r.n_cpu_over, r.mem_normal_ok, r.mem_peak_ok) == (55.0, False, 1, True, True)
+
+
+def test_evaluation_grid_per_series_span(spark):
+    df = spark.createDataFrame([("a", T0 + dt.timedelta(minutes=10), D("1")), ("a", T0 + dt.timedelta(hours=3, minutes=5), D("2")),
+                                ("b", T0 + dt.timedelta(hours=1, minutes=1), D("5"))],
+                               "model string, ts timestamp_ntz, value decimal(18,2)")
+    grid = rows(metrics.evaluation_grid(df, ["model"], "1 hour"), "model", "eval_ts")
+    hours = [(m, int((t - T0).total_seconds() // 3600)) for m, t in grid]
+    assert hours == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 2)]
+    got = rows(metrics.instant_value(df, metrics.evaluation_grid(df, ["model"], "1 hour"), ["model"], lookback=3600),
+               "model", "eval_ts", "value")
+    # a at 02:00 and 03:00 has no sample in the hour before: no row (no stale values)
+    assert [(m, int((t - T0).total_seconds() // 3600), v) for m, t, v in got] == [
+        ("a", 1, D("1.00")), ("a", 4, D("2.00")), ("b", 2, D("5.00"))]
