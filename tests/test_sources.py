@@ -100,3 +100,10 @@ def test_commits_landing_and_sinks(spark, tmp_path):
     assert os.path.isdir(os.path.join(out, "day=2024-01-01"))
     rep = sources.write_report(c, f"{tmp_path}/report")
     assert spark.read.json(rep).count() == 1
+
+
+def test_service_from_file_name(spark, tmp_path):
+    _write(f"{tmp_path}/all/web.log", "ERROR: a\nfine\n")
+    _write(f"{tmp_path}/all/redis.log", "ok\n")
+    df = sources.read_service_logs(spark, f"{tmp_path}/all", service_from="file")
+    assert rows(df, "service", "message") == [("redis", "ok"), ("web", "ERROR: a"), ("web", "fine")]
