@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
+from .token_files import op1_arrow_sequences
 from .url_rules import OP10_SQL, op10_url_expressions
 
 QUERIES = {
+    "op1_arrow_sequences": op1_arrow_sequences,
     "op5_sampled_splitters": op5_sampled_splitters,
+    "op6_vector_packing": op6_vector_packing,
     "op10_url_expressions": op10_url_expressions,
 }
 
