@@ -5,12 +5,14 @@ from __future__ import annotations
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
 from .token_files import op1_arrow_sequences
+from .toxicity import op7_nb_ngram_svm
 from .url_rules import OP10_SQL, op10_url_expressions
 
 QUERIES = {
     "op1_arrow_sequences": op1_arrow_sequences,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_vector_packing": op6_vector_packing,
+    "op7_nb_ngram_svm": op7_nb_ngram_svm,
     "op10_url_expressions": op10_url_expressions,
 }
 
