@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .tokens import batches_of, texts_of
 
-ORDERS = (4, 5)
+ORDERS = (4, 6)
 
 
 def _buckets(text: bytes, bits: int, scratch: np.ndarray) -> np.ndarray:
     """Distinct n-gram buckets of a text; ``scratch`` has ``2 ** bits`` entries and needs no clearing."""
-    x = np.frombuffer(text.lower(), np.uint8).astype(np.uint64)
+    if not text:
+        return np.zeros(0, np.int64)
+    x = np.frombuffer(b" " + text.lower(), np.uint8).astype(np.uint64)  # a first word starts like any other
     found, code, n = [], x, 1
     for order in range(2, max(ORDERS) + 1):
         if len(x) < order:
@@ -42,9 +44,7 @@ def _buckets(text: bytes, bits: int, scratch: np.ndarray) -> np.ndarray:
         code, n = code[:-1] | x[order - 1:] << np.uint64(8 * (order - 1)), order
         if order in ORDERS:
             found.append((code * np.uint64(0x9E3779B97F4A7C15 + 2 * order)) >> np.uint64(64 - bits))
-    if not found:
-        if not len(x):
-            return np.zeros(0, np.int64)
+    if not found:  # shorter than the shortest n-gram: the text itself
         found = [(code[:1] * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> np.uint64(64 - bits)]
     all_ = np.concatenate(found).astype(np.int64)
     # The last writer of each bucket is its one representative: distinct values without a sort.
@@ -55,27 +55,51 @@ def _buckets(text: bytes, bits: int, scratch: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Bias and, for each bucket, weight times log-count ratio."""
+    """Bias and, for each bucket, weight times log-count ratio; the score is a logistic of the margin."""
 
     bits: int
     bias: float
     weights: np.ndarray
+    scale: float = 2.0
+    shift: float = 0.0
+
+    def margin(self, buckets: np.ndarray) -> float:
+        return self.bias + (float(self.weights[buckets].sum()) / _length(buckets) if len(buckets) else 0.0)
 
     def scorer(self):
         scratch = np.zeros(1 << self.bits, np.int32)
 
         def score(text: bytes) -> float:
-            b = _buckets(text, self.bits, scratch)
-            margin = self.bias
-            if len(b):
-                margin += float(self.weights[b].sum()) / np.sqrt(len(b))
-            return float(1.0 / (1.0 + np.exp(-np.clip(2.0 * margin, -30, 30))))
+            margin = self.margin(_buckets(text, self.bits, scratch))
+            return float(1.0 / (1.0 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30))))
 
         return score
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1.0, cost: float = 1.0,
-        epochs: int = 12) -> Model:
+def _length(buckets: np.ndarray) -> float:
+    """Damps long texts without hiding a few telling n-grams among many plain ones."""
+    return max(1, len(buckets)) ** 0.25
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int) -> Model:
+    """The model on all rows, its logistic fitted to margins of rows held out from a model on the other half."""
+    model, half = _fit(rows, labels, bits), _fit(rows[::2], labels[::2], bits)
+    y = labels[1::2] > 0
+    if half.weights.any() and 0 < y.sum() < len(y):
+        m = np.asarray([half.margin(b) for b in rows[1::2]])
+        # Platt's targets, Newton steps on two parameters.
+        target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
+        x, ab = np.stack([m, np.ones(len(m))]), np.asarray([2.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(ab @ x, -30, 30)))
+            ab = ab - np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2), x @ (p - target))
+        if np.isfinite(ab).all() and 0 < ab[0] < 100:
+            model.scale, model.shift = map(float, ab)
+    return model
+
+
+def _fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1.0, cost: float = 1.0,
+         epochs: int = 12) -> Model:
     """Train on bucket arrays; squared-hinge SVM in the dual, classes weighted by their inverse share."""
     size, y = 1 << bits, np.where(labels > 0, 1.0, -1.0)
     n_pos = int((y > 0).sum())
@@ -87,20 +111,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1.
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     share = {1.0: len(y) / (2 * n_pos), -1.0: len(y) / (2 * (len(y) - n_pos))}
     diag = np.asarray([0.5 / (cost * share[s]) for s in y])
-    value = [ratio[b] / np.sqrt(max(1, len(b))) for b in rows]
+    value = [ratio[b] / _length(b) for b in rows]
     square = np.asarray([float(v @ v) + 1.0 for v in value]) + diag
     w, bias, dual = np.zeros(size), 0.0, np.zeros(len(y))
-    order = np.random.default_rng(0)
-    for _ in range(epochs):
-        for i in order.permutation(len(y)):
+    order, active = np.random.default_rng(0), np.arange(len(y))
+    for epoch in range(epochs):
+        worst, kept = 0.0, []
+        for i in order.permutation(active):
             b, v = rows[i], value[i]
             grad = y[i] * (float(w[b] @ v) + bias) - 1.0 + diag[i] * dual[i]
             new = max(dual[i] - grad / square[i], 0.0)
             step = (new - dual[i]) * y[i]
+            worst = max(worst, abs(new - dual[i]) * square[i])
+            if new > 0 or grad < 0.1:  # texts well beyond the margin rest until the next full pass
+                kept.append(i)
             if step:
                 w[b] += step * v
                 bias += step
                 dual[i] = new
+        full = len(active) == len(y)
+        if worst < 0.05 and full:
+            break
+        active = np.arange(len(y)) if worst < 0.05 or epoch % 4 == 3 else np.asarray(kept)
     return Model(bits, bias, (w * ratio).astype(np.float32))
 
 
