@@ -70,3 +70,9 @@ def bucket_of(df: DataFrame, col: str, splitters: list, out: str) -> DataFrame:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: str, max_broadcast: int, how: str = "left_semi") -> DataFrame:
+    """Semi (or anti) join with distinct ``keys``, broadcast only when counted as at most ``max_broadcast`` rows."""
+    few = keys.limit(max_broadcast + 1).count() <= max_broadcast
+    return df.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), on, how)

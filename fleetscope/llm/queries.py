@@ -5,11 +5,13 @@ from __future__ import annotations
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
 from .token_files import op1_arrow_sequences
+from .substring import OP4_SQL, op4_debruijn_spans
 from .toxicity import op7_nb_ngram_svm
 from .url_rules import OP10_SQL, op10_url_expressions
 
 QUERIES = {
     "op1_arrow_sequences": op1_arrow_sequences,
+    "op4_debruijn_spans": op4_debruijn_spans,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_vector_packing": op6_vector_packing,
     "op7_nb_ngram_svm": op7_nb_ngram_svm,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_debruijn_spans": OP4_SQL,
     "op10_url_expressions": OP10_SQL,
 }
