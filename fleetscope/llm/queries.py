@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_ngram_set
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
 from .token_files import op1_arrow_sequences
@@ -11,6 +12,7 @@ from .url_rules import OP10_SQL, op10_url_expressions
 
 QUERIES = {
     "op1_arrow_sequences": op1_arrow_sequences,
+    "op2_ngram_set": op2_ngram_set,
     "op4_debruijn_spans": op4_debruijn_spans,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_vector_packing": op6_vector_packing,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_set": OP2_SQL,
     "op4_debruijn_spans": OP4_SQL,
     "op10_url_expressions": OP10_SQL,
 }
