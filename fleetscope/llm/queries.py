@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_ngram_set
+from .jaccard import OP9_SQL, op9_count_vector_rtree
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
 from .token_files import op1_arrow_sequences
@@ -17,11 +18,13 @@ QUERIES = {
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_vector_packing": op6_vector_packing,
     "op7_nb_ngram_svm": op7_nb_ngram_svm,
+    "op9_count_vector_rtree": op9_count_vector_rtree,
     "op10_url_expressions": op10_url_expressions,
 }
 
 ORACLES = {
     "op2_ngram_set": OP2_SQL,
     "op4_debruijn_spans": OP4_SQL,
+    "op9_count_vector_rtree": OP9_SQL,
     "op10_url_expressions": OP10_SQL,
 }
