@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_ngram_set
+from .fingerprints import op3_paragraph_sketch
 from .jaccard import OP9_SQL, op9_count_vector_rtree
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
@@ -14,6 +15,7 @@ from .url_rules import OP10_SQL, op10_url_expressions
 QUERIES = {
     "op1_arrow_sequences": op1_arrow_sequences,
     "op2_ngram_set": op2_ngram_set,
+    "op3_paragraph_sketch": op3_paragraph_sketch,
     "op4_debruijn_spans": op4_debruijn_spans,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_vector_packing": op6_vector_packing,
