@@ -175,10 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all but other types than the model's inputs are passed through) plus ``score``."""
+    """``columns`` of ``docs`` (all by default, but for one named ``score``) and the text's ``score``."""
     columns = columns or [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*columns, F.col(text_col).alias("__text"))
+    chosen = docs.select(*columns, *[text_col for _ in range(text_col not in columns)])
+    at = chosen.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
@@ -186,8 +187,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
         one = shared.value.scorer()
         for whole in batches:
             for batch in batches_of(whole):
-                scores = pa.array([one(t) for t in texts_of(batch.column(batch.num_columns - 1))], pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*columns, "score"])
+                scores = pa.array([one(t) for t in texts_of(batch.column(at))], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], scores], names=[*columns, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return chosen.mapInArrow(run, f"{kinds}, score double")
