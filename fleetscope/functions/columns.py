@@ -73,14 +73,22 @@ def tag_version(tag: str | Column) -> Column:
 
 
 def version_parts(v: str | Column) -> Column:
-    """``'15.7-alpine'`` -> ``[15, 7]``; any non-numeric part -> null (SF5).
+    """``'15.7-alpine'`` -> ``[15, 7]``; any non-numeric part, or a date, -> null (SF5).
 
     Arrays compare element by element, so ``version_parts(a) < version_parts(b)``
-    orders versions without a UDF.
+    orders versions without a UDF (see ``version_key`` for versions of unequal length).
     """
     core = F.regexp_replace(F.regexp_replace(_c(v), r"^v", ""), r"-.*$", "")
     parts = F.transform(F.split(core, r"\."), lambda x: x.try_cast("int"))
-    return F.when(F.exists(parts, lambda x: x.isNull()), F.lit(None)).otherwise(parts)
+    dated = _c(v).rlike(r"^v?\d{4}-\d{2}-\d{2}")
+    return F.when(dated | F.exists(parts, lambda x: x.isNull()), F.lit(None)).otherwise(parts)
+
+
+def version_key(v: str | Column) -> Column:
+    """``version_parts`` without zeros at the end, so ``3.97`` and ``3.97.0`` compare as equal."""
+    parts = version_parts(v)
+    keep = F.array_max(F.transform(parts, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    return F.slice(parts, 1, keep)
 
 
 def image_parts(image: str | Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_of_literal, base_name, glob_to_regex, stamp_from_name, whole_units_between
-from ..plans.ordered import lag_in_series, ordered_index
+from ..plans.ordered import lag_in_series, ordered_index, time_chunk
 
 # Base names never mirrored, and the archive glob.
 DEFAULT_EXCLUDES = (".sync-lock", "*.log", ".DS_Store", ".docker-backup-lock")
@@ -92,23 +92,25 @@ def in_both(a: DataFrame, b: DataFrame, cols: Sequence[str] = ("host", "name"))
 
 def list_backups(files: DataFrame, n: int | None = 20, by: str = "mtime", key: str = "host",
                  name_chunk: int = 20) -> DataFrame:
-    """TK1: newest ``n`` by mtime per host, or all by name descending, numbered from 1.
+    """TK1: newest ``n`` by mtime (or greatest ``n`` by name) per host, numbered from 1; all files with ``n=None``.
 
-    ``by='mtime'`` is a top-n (WindowGroupLimit, also applied before the
-    shuffle).  ``by='name'`` numbers every file; that ranking is done per
-    (host, name prefix) chunk with offsets, so a hot host is still split.
+    A top-n is a WindowGroupLimit, also applied before the shuffle.  Numbering
+    every file is done per (host, day) or (host, name prefix) chunk with
+    offsets, so a hot host is still split; ``name_chunk`` should reach into the
+    part of the names that varies.
     """
     f = _regular(files).select(key, "name", "size_bytes", "mtime")
-    if by == "mtime":
-        w = Window.partitionBy(key).orderBy(F.col("mtime").desc(), F.col("name").desc())
-        out = f.withColumn("number", F.row_number().over(w).cast("bigint")).filter(F.col("number") <= n)
+    if by not in ("mtime", "name"):
+        raise ValueError(by)
+    order = [F.col("name").desc()] if by == "name" else [F.col("mtime").desc(), F.col("name").desc()]
+    if n is not None:
+        w = Window.partitionBy(key).orderBy(*order)
+        out = f.withColumn("number", F.row_number().over(w)).filter(F.col("number") <= n)
+        out = out.withColumn("number", F.col("number").cast("bigint"))
     elif by == "name":
-        out = ordered_index(f, [key], [F.col("name").desc()], "number",
-                            chunk=F.substring("name", 1, name_chunk), descending_chunks=True)
-        if n is not None:
-            out = out.filter(F.col("number") <= n)
+        out = ordered_index(f, [key], order, "number", chunk=F.substring("name", 1, name_chunk), descending_chunks=True)
     else:
-        raise ValueError(by)
+        out = ordered_index(f, [key], order, "number", chunk=time_chunk("mtime", 86400), descending_chunks=True)
     return out.select(key, "number", "name", "size_bytes", F.to_date("mtime").alias("date"), "mtime")
 
 
@@ -163,23 +165,26 @@ def storage_growth(volumes: DataFrame, key: str = "host", ts: str = "mtime", siz
                    limit: int = GROWTH_LIMIT_BYTES) -> DataFrame:
     """WN6: bytes per day, change against the previous day with data, over-limit flag.
 
-    The lag runs over the daily totals (one row per key and day).
+    The limit is per day: growth counts as over it when it exceeds ``limit``
+    times the days since the previous total.  The lag runs over the daily totals
+    (one row per key and day).
     """
     daily = volumes.groupBy(key, F.to_date(ts).alias("day")).agg(F.sum(size).cast("bigint").alias("bytes"))
     w = Window.partitionBy(key).orderBy("day")
     prev = F.lag("bytes").over(w)
-    return daily.select(key, "day", "bytes", prev.alias("prev_bytes"), (F.col("bytes") - prev).alias("growth"),
-                        F.coalesce((F.col("bytes") - prev) > limit, F.lit(False)).alias("over_limit"))
+    days = F.date_diff("day", F.lag("day").over(w))
+    return daily.select(key, "day", "bytes", prev.alias("prev_bytes"), days.alias("days"),
+                        (F.col("bytes") - prev).alias("growth"),
+                        F.coalesce((F.col("bytes") - prev) > days * F.lit(limit).cast("bigint"), F.lit(False)).alias("over_limit"))
 
 
-def missed_runs(files: DataFrame, start: str, end: str, hour: int = 2, key: str = "host",
-                hosts: DataFrame | None = None) -> DataFrame:
-    """JN11: daily schedule slots (at ``hour``) with no backup that day, per host.
+def missed_runs(files: DataFrame, start: str, end: str, hosts: DataFrame, hour: int = 2, key: str = "host") -> DataFrame:
+    """JN11: daily schedule slots (at ``hour``) with no backup that day, for every host of ``hosts``.
 
     Each host generates its own calendar (``sequence`` + ``explode``), then a
     left-anti join on (host, day) removes the days with a backup.
     """
-    h = (hosts if hosts is not None else files).select(key).distinct()
+    h = hosts.select(key).distinct()
     days = h.select(key, F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
                                               F.expr("INTERVAL 1 DAY"))).alias("day"))
     done = _regular(files).select(key, F.to_date("mtime").alias("day")).distinct()  # reduced map-side
@@ -189,11 +194,12 @@ def missed_runs(files: DataFrame, start: str, end: str, hour: int = 2, key: str
 
 
 def prune(files: DataFrame, as_of, days: int, leeway: int = 0, prefix: str | None = None,
-          include: str | None = None) -> DataFrame:
+          include: str | None = ARCHIVE_GLOB.format(prefix="backup")) -> DataFrame:
     """RT1/RT3: files whose whole 24-hour periods of age exceed ``days``.
 
-    ``leeway`` seconds are taken off the age (so more is kept); ``prefix``
-    limits pruning to names starting with it.  Regular files only.
+    Only regular files whose name fits the archive glob ``include`` are ever
+    planned for removal.  ``leeway`` seconds are taken off the age (so more is
+    kept); ``prefix`` limits pruning further to names starting with it.
     """
     f = _regular(files)
     if include is not None:
@@ -228,8 +234,8 @@ def tiered_retention(files: DataFrame, as_of, daily: int = 7, weekly: int = 4, m
     week0 = a.date() - _dt.timedelta(days=a.weekday()) - _dt.timedelta(weeks=weekly - 1)
     m = a.year * 12 + (a.month - 1) - (monthly - 1)
     month0 = _dt.date(m // 12, m % 12 + 1, 1)
-    f = _regular(files).filter(F.col("mtime") <= as_of_literal(files, "mtime", a)).select(
-        key, "name", "mtime", F.to_date("mtime").alias("_d"))
+    every = _regular(files).select(key, "name", "mtime", F.to_date("mtime").alias("_d"))
+    f = every.filter(F.col("mtime") <= as_of_literal(files, "mtime", a))
 
     def newest(lo: _dt.date, period, tier: str) -> DataFrame:
         g = (f.filter(F.col("_d") >= F.lit(lo)).groupBy(key, period.alias("_p"))
@@ -243,10 +249,12 @@ def tiered_retention(files: DataFrame, as_of, daily: int = 7, weekly: int = 4, m
         F.bool_or(F.col("tier") == "daily").alias("keep_daily"),
         F.bool_or(F.col("tier") == "weekly").alias("keep_weekly"),
         F.bool_or(F.col("tier") == "monthly").alias("keep_monthly"))
-    j = f.drop("_d").join(flags, [key, "name"], "left")
+    j = every.drop("_d").join(flags, [key, "name"], "left")
     out = j.select(key, "name", "mtime",
                    *[F.coalesce(c, F.lit(False)).alias(c) for c in ("keep_daily", "keep_weekly", "keep_monthly")])
-    return out.withColumn("keep", F.col("keep_daily") | F.col("keep_weekly") | F.col("keep_monthly"))
+    # A file newer than ``as_of`` is outside every tier and is kept.
+    newer = F.col("mtime") > as_of_literal(files, "mtime", a)
+    return out.withColumn("keep", F.col("keep_daily") | F.col("keep_weekly") | F.col("keep_monthly") | F.coalesce(newer, F.lit(True)))
 
 
 def volume_sizes(files: DataFrame, keys: Sequence[str] = ("host",), size: str = "size_bytes") -> DataFrame:

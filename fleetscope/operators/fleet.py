@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import version_parts
+from ..functions import version_key
 
 # Severity levels used by every check.
 OK, WARNING, ERROR = 0, 1, 2
@@ -26,7 +26,6 @@ def classify_status(snap: DataFrame, status: str = "status") -> DataFrame:
              .when(s.contains("(unhealthy)"), "unhealthy")
              .when(s.contains("(healthy)"), "healthy")
              .otherwise("pending"))
-    sev = F.when(state == "healthy", OK).when(state == "pending", WARNING).otherwise(ERROR)
     code = F.nullif(F.regexp_extract(s, r"^Exited \((\d+)\)", 1), F.lit("")).try_cast("int")
     return snap.withColumns({"state": state, "exit_code": code}).withColumn(
         "severity", F.when(F.col("state") == "healthy", OK).when(F.col("state") == "pending", WARNING).otherwise(ERROR))
@@ -77,7 +76,7 @@ def version_drift(pinned: DataFrame, other: DataFrame, key: str = "service", pin
                   other_col: str = "newest", mode: str = "version") -> DataFrame:
     """JN6: ``latest / update_available / ahead / unknown`` per pinned service.
 
-    Versions compare part by part as int arrays; ``-suffix`` is dropped and a
+    Versions compare part by part as int arrays, missing parts as 0; ``-suffix`` is dropped and a
     non-numeric version (``latest``, dated tags) gives ``unknown``.
     ``mode='string'`` keeps the plain "differs means update" rule.
     """
@@ -86,16 +85,18 @@ def version_drift(pinned: DataFrame, other: DataFrame, key: str = "service", pin
     if mode == "string":
         status = F.when(o.isNull(), "unknown").when(p == o, "latest").otherwise("update_available")
     else:
-        pv, ov = version_parts(p), version_parts(o)
+        pv, ov = version_key(p), version_key(o)
         status = (F.when(o.isNull() | pv.isNull() | ov.isNull(), "unknown").when(pv == ov, "latest")
                   .when(pv < ov, "update_available").otherwise("ahead"))
     return j.withColumn("status", status)
 
 
-def latest_state(classified: DataFrame, key: str = "host", ts: str = "snapshot_ts") -> DataFrame:
-    """The newest classified state per key (partial ``max(struct)``)."""
-    g = classified.groupBy(key).agg(F.max(F.struct(ts, "state")).alias("_m"))
-    return g.select(key, F.col("_m.state").alias("state"), F.col(f"_m.{ts}").alias(ts))
+def latest_state(classified: DataFrame, key: str | Sequence[str] = "host", ts: str = "snapshot_ts",
+                 keep: Sequence[str] = ("state",)) -> DataFrame:
+    """The newest row per key, e.g. per (host, container); ``max(struct)`` is partially aggregated."""
+    keys = [key] if isinstance(key, str) else list(key)
+    g = classified.groupBy(*keys).agg(F.max(F.struct(ts, *keep)).alias("_m"))
+    return g.select(*keys, *[F.col(f"_m.{c}").alias(c) for c in (*keep, ts)])
 
 
 def ready_services(deps: DataFrame, status: DataFrame, service: str = "service", dep: str = "depends_on",
@@ -117,14 +118,16 @@ DATABASE_SEVERITY = ERROR       # a database that does not answer is an error
 
 def build_checks(containers: DataFrame | None = None, endpoints: DataFrame | None = None,
                  freshness: DataFrame | None = None, log_errors: DataFrame | None = None,
-                 databases: DataFrame | None = None, host: str = "host") -> DataFrame:
+                 databases: DataFrame | None = None, missing: DataFrame | None = None, host: str = "host") -> DataFrame:
     """The ``checks`` table: host, ts, component, check_name, severity.
 
     * ``containers``: output of ``classify_status`` (state and severity per snapshot);
     * ``endpoints``: output of ``classify_endpoint``;
     * ``freshness``: output of ``catalog.backup_freshness`` (``warn`` / ``no_backups`` warn);
     * ``log_errors``: error lines with ``host`` and ``ts`` (each host with any is a warning);
-    * ``databases``: probe rows ``host, ts, component, ok`` (a failed probe is an error).
+    * ``databases``: probe rows ``host, ts, component, ok`` (a failed probe is an error);
+    * ``missing``: output of ``missing_expected`` (an expected container that is not there is an error).
+    Give the newest row per component (``latest_state``), so that an old failure does not count for ever.
     Every check is evaluated and kept; the roll-up comes after.
     """
     parts = []
@@ -145,6 +148,9 @@ def build_checks(containers: DataFrame | None = None, endpoints: DataFrame | Non
         parts.append(databases.select(host, "ts", "component",
                                       F.when(F.col("ok"), "ok").otherwise("failed").alias("check_name"),
                                       F.when(F.col("ok"), OK).otherwise(DATABASE_SEVERITY).alias("severity")))
+    if missing is not None:
+        parts.append(missing.select(host, F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("container").alias("component"),
+                                    F.lit("missing").alias("check_name"), F.lit(ERROR).alias("severity")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

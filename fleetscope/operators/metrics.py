@@ -26,6 +26,22 @@ def duration_seconds(text: str) -> int:
     return int(n) * _UNITS[unit.lower()]
 
 
+def exact_sum(df: DataFrame, col: str):
+    """Sum that keeps the input's scale: decimals sum to ``decimal(38, scale)``, other types as Spark sums them."""
+    t = df.schema[col].dataType
+    s = F.sum(col)
+    return s.cast(T.DecimalType(38, t.scale)) if isinstance(t, T.DecimalType) else s
+
+
+def with_label(metrics: DataFrame, label: str, labels: str = "labels", series: str = "series") -> DataFrame:
+    """Samples with a label map made joinable: the label as a column, and the whole label set as a series key.
+
+    The series key is the sorted list of the map's entries, because maps cannot be grouped by.
+    """
+    return metrics.withColumns({label: F.try_element_at(F.col(labels), F.lit(label)),
+                                series: F.array_sort(F.map_entries(labels))})
+
+
 def counter_delta(metrics: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value",
                   chunk_seconds: int = 86400) -> DataFrame:
     """WN1: ``prev_value``, ``delta`` and ``is_reset`` for every sample.
@@ -50,11 +66,8 @@ def counter_increase(metrics: DataFrame, series: Sequence[str], window: str = "1
     """
     d = counter_delta(metrics, series, ts, value).filter(F.col("delta").isNotNull())
     w = F.window(ts, window, step) if step else F.window(ts, window)
-    g = d.groupBy(*series, w.alias("w")).agg(F.sum("delta").alias("increase"))
-    vtype = metrics.schema[value].dataType
-    inc_type = T.DecimalType(18, vtype.scale) if isinstance(vtype, T.DecimalType) else vtype
-    return g.select(*series, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    F.col("increase").cast(inc_type).alias("increase"))
+    g = d.groupBy(*series, w.alias("w")).agg(exact_sum(d, "delta").alias("increase"))
+    return g.select(*series, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "increase")
 
 
 def counter_rate(metrics: DataFrame, series: Sequence[str], window: str = "5 minutes",
@@ -63,7 +76,7 @@ def counter_rate(metrics: DataFrame, series: Sequence[str], window: str = "5 min
     secs = duration_seconds(window)
     inc = counter_increase(metrics, series, window, step, ts, value)
     return (inc.withColumn("window_seconds", F.lit(secs))
-            .withColumn("rate", F.round(F.col("increase").cast("double") / F.lit(secs), 6)))
+            .withColumn("rate", F.col("increase").cast("double") / F.lit(secs)))
 
 
 def sum_by(rates: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -74,32 +87,32 @@ def sum_by(rates: DataFrame, by: Sequence[str]) -> DataFrame:
     increases keeps the result independent of row order.
     """
     g = rates.groupBy(*by, "window_start", "window_end", "window_seconds").agg(
-        F.sum("increase").alias("_inc"))
+        exact_sum(rates, "increase").alias("_inc"))
     return g.select(*by, "window_start", "window_end",
-                    F.round(F.col("_inc").cast("double") / F.col("window_seconds"), 6).alias("rate"))
+                    (F.col("_inc").cast("double") / F.col("window_seconds")).alias("rate"))
 
 
 def cost_per_hour(metrics: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """AG4: ``sum(rate[1h]) * 3600`` per hour, i.e. the summed hourly increase."""
     inc = counter_increase(metrics, series, "1 hour", None, ts, value)
     return inc.groupBy("window_start", "window_end").agg(
-        F.sum("increase").cast("decimal(18,2)").alias("cost_per_hour"))
+        exact_sum(inc, "increase").alias("cost_per_hour"))
 
 
 def daily_cost(metrics: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """AG5: ``sum(increase[24h])`` per day."""
     inc = counter_increase(metrics, series, "1 day", None, ts, value)
     return inc.groupBy("window_start", "window_end").agg(
-        F.sum("increase").cast("decimal(18,2)").alias("daily_cost"))
+        exact_sum(inc, "increase").alias("daily_cost"))
 
 
 def infra_cost(cpu: DataFrame, series: Sequence[str], price: float = 0.024, ts: str = "ts",
                value: str = "value") -> DataFrame:
     """AG6: ``sum(rate(cpu_seconds[24h])) * price`` per day, in $ per hour."""
     inc = counter_increase(cpu, series, "1 day", None, ts, value)
-    g = inc.groupBy("window_start", "window_end").agg(F.sum("increase").alias("_inc"))
+    g = inc.groupBy("window_start", "window_end").agg(exact_sum(inc, "increase").alias("_inc"))
     return g.select("window_start", "window_end",
-                    F.round(F.col("_inc").cast("double") / F.lit(86400) * F.lit(price), 6).alias("infra_cost"))
+                    (F.col("_inc").cast("double") / F.lit(86400) * F.lit(price)).alias("infra_cost"))
 
 
 def _label(df: DataFrame, key: str, labels: str | None):

@@ -30,7 +30,7 @@ SECRET_RULES = [
 
 # Allowed forms of a value (vault reference, ${VAR}, placeholders, test credentials).
 # An optional leading quote is written [\x22\x27] so the same text works in Java regex, RE2 and SQL.
-ALLOW_PATTERNS = [r"^[\x22\x27]?op://", r"^[\x22\x27]?\$\{[A-Za-z_][A-Za-z0-9_]*\}", r"your-password-here",
+ALLOW_PATTERNS = [r"^[\x22\x27]?op://", r"^[\x22\x27]?\$\{[A-Za-z_][A-Za-z0-9_]*\}[\x22\x27]?$", r"your-password-here",
                   r"^[\x22\x27]?PLACEHOLDER_", r"CHANGE_ME", r"-test-"]
 
 
@@ -73,9 +73,12 @@ def allowed(value: F.Column | str) -> F.Column:
 
 
 def scan_lines(lines: DataFrame, id_cols: Sequence[str], line: str = "line", line_no: str = "line_no",
-               rules=SECRET_RULES, keep_allowed: bool = False) -> DataFrame:
+               rules=SECRET_RULES, keep_allowed: bool = False, key: str = "") -> DataFrame:
     """SC1 on a table that already has one row per line.
 
+    ``key`` is put before each match when it is hashed: without one, a short
+    secret could be guessed from its hash.
+
     The rule projection is one SQL expression (a single parse), not a tree
     of client-side column calls.
     """
@@ -89,21 +92,26 @@ def scan_lines(lines: DataFrame, id_cols: Sequence[str], line: str = "line", lin
                     f"'matches', regexp_extract_all({ln}, {_sql_str(p)}, 0)) END")
     hits = F.expr(f"filter(array({', '.join(arms)}), x -> x IS NOT NULL)")
     per_rule = cand.select(*id_cols, line_no, line, F.explode(hits).alias("h"))
+    # Matches are in order and do not overlap: each is found from the end of the one before.
+    located = F.expr(f"""aggregate(h.matches, named_struct('next', 1, 'out', cast(array() as array<struct<m:string,pos:int>>)),
+        (a, m) -> named_struct('next', locate(m, {ln}, a.next) + length(m),
+                               'out', concat(a.out, array(named_struct('m', m, 'pos', locate(m, {ln}, a.next))))), a -> a.out)""")
     found = per_rule.select(*id_cols, line_no, line, "h.rule", "h.severity", "h.value_pattern",
-                            F.explode("h.matches").alias("m"))
+                            F.explode(located).alias("at"))
+    found = found.select(*id_cols, line_no, line, "rule", "severity", "value_pattern", "at.m", "at.pos")
     # The part checked against the allow list: group 1 of the rule's value pattern, else the whole match.
     # Findings are rare, so a per-row pattern here costs little and keeps the plan small.
     value = F.expr("CASE WHEN value_pattern IS NULL THEN m ELSE regexp_extract(m, value_pattern, 1) END")
-    valued = found.select(*id_cols, line_no, line, "rule", "severity", "m", value.alias("v"))
+    valued = found.select(*id_cols, line_no, "rule", "severity", "m", "pos", value.alias("v"))
     out = valued.select(*id_cols, F.col(line_no).cast("bigint").alias(line_no), "rule", "severity",
-                        F.expr(f"cast(instr({ln}, m) as bigint)").alias("offset"),
-                        F.expr("sha2(m, 256)").alias("match_hash"),
+                        F.col("pos").cast("bigint").alias("offset"),
+                        F.sha2(F.concat(F.lit(key), F.col("m")), 256).alias("match_hash"),
                         allowed("v").alias("allowed"))
     return out if keep_allowed else out.filter(~F.col("allowed")).drop("allowed")
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=SECRET_RULES,
-                 keep_allowed: bool = False) -> DataFrame:
+                 keep_allowed: bool = False, key: str = "") -> DataFrame:
     """SC1 + SC2: one row per finding: doc, line, rule, severity, offset, hash of the match.
 
     Whole texts are split into lines inside each task; nothing is truncated.
@@ -111,7 +119,7 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     docs = docs.filter(_has_needle(text, rules))  # whole documents without a needle are skipped
     lines = docs.select(doc_id, F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "line")).select(
         doc_id, (F.col("_pos") + 1).alias("line_no"), "line")
-    return scan_lines(lines, [doc_id], rules=rules, keep_allowed=keep_allowed)
+    return scan_lines(lines, [doc_id], rules=rules, keep_allowed=keep_allowed, key=key)
 
 
 def audit_union(**scopes: DataFrame) -> DataFrame:

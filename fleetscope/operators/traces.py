@@ -59,7 +59,11 @@ def correlate(traces: DataFrame, other: DataFrame, other_id: str = "trace_id", m
     """
     t = traces.select(*trace_cols, _tempo_id(traces, metadata, link_key).alias("link_id"))
     o = other.groupBy(id_hex(other_id).alias("link_id")).agg(F.count(F.lit(1)).alias("n_linked"))
-    j = t.join(o, "link_id", "full_outer")
+    # Null ids match nothing; set aside, they do not meet in one partition of the outer join.
+    known = t.filter(F.col("link_id").isNotNull()).join(o.filter(F.col("link_id").isNotNull()), "link_id", "full_outer")
+    loose_t = t.filter(F.col("link_id").isNull()).select("link_id", *trace_cols, F.lit(None).cast("bigint").alias("n_linked"))
+    loose_o = o.filter(F.col("link_id").isNull()).select("link_id", *[F.lit(None).cast(t.schema[c].dataType).alias(c) for c in trace_cols], "n_linked")
+    j = known.select("link_id", *trace_cols, "n_linked").unionByName(loose_t).unionByName(loose_o)
     return j.select("link_id", *trace_cols, F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
                     F.col(trace_cols[-1]).isNotNull().alias("in_traces"),
                     F.col("n_linked").isNotNull().alias("in_other"))
@@ -110,14 +114,23 @@ LATENCY_TARGET_MS = 2000
 
 
 def latency_targets(df: DataFrame, ms: float = LATENCY_TARGET_MS, latency: str = "latency_ms",
-                    keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
+                    keys: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """AG15: share below the target, p50 and p95.
 
-    ``exact`` uses ``percentile`` (value->count map per group, fine while the
-    number of distinct latencies is bounded, e.g. whole milliseconds);
-    otherwise ``percentile_approx`` with bounded memory.
+    Percentiles are approximate with bounded memory (``percentile_approx``).
+    ``exact`` first counts equal latencies in parallel and then interpolates
+    over the counts; use it while the number of distinct latencies is bounded
+    (e.g. whole milliseconds).
     """
-    pct = (lambda p: F.percentile(latency, p)) if exact else (lambda p: F.percentile_approx(latency, p, 10000))
+    if exact:
+        counted = df.groupBy(*keys, latency).agg(F.count(F.lit(1)).alias("_n"))
+        pct = lambda p: F.percentile(F.col(latency), p, F.col("_n"))
+        return counted.groupBy(*keys).agg(
+            F.sum("_n").alias("n"),
+            F.round(F.sum(F.when(F.col(latency) < ms, F.col("_n")).otherwise(0)) / F.sum("_n"), 4).alias("share_below"),
+            F.round(pct(0.5).cast("double"), 4).alias("p50"),
+            F.round(pct(0.95).cast("double"), 4).alias("p95"))
+    pct = lambda p: F.percentile_approx(latency, p, 10000)
     g = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.count_if(F.col(latency) < ms) / F.count(F.lit(1)), 4).alias("share_below"),
@@ -126,13 +139,16 @@ def latency_targets(df: DataFrame, ms: float = LATENCY_TARGET_MS, latency: str =
     return g
 
 
-def attribute_hygiene(spans: DataFrame, attributes: str = "attributes", exact: bool = True) -> DataFrame:
-    """AG16 (attributes): per attribute key, spans with and without it and distinct values.
+def attribute_hygiene(spans: DataFrame, required: Sequence[str], attributes: str = "attributes",
+                      exact: bool = False) -> DataFrame:
+    """AG16 (attributes): per required attribute key, all spans, those without it, and distinct values.
 
-    ``exact=False`` uses ``approx_count_distinct`` (HyperLogLog++, fixed memory
-    per key) instead of an exact distinct count.
+    A span is without a key when its map is null, lacks the key, or holds a null
+    for it.  Distinct values are counted by ``approx_count_distinct``
+    (HyperLogLog++, fixed memory per key) unless ``exact``.
     """
-    kv = spans.select(F.explode(attributes).alias("key", "value"))
+    one = lambda k: F.struct(F.lit(k).alias("key"), F.try_element_at(F.col(attributes), F.lit(k)).alias("value"))
+    kv = spans.select(F.inline(F.array(*[one(k) for k in required])))
     distinct = F.countDistinct("value") if exact else F.approx_count_distinct("value")
     return kv.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_spans"),

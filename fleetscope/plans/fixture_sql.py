@@ -9,11 +9,11 @@ from __future__ import annotations
 VIEW_SQL = {
     "v_logs": """
 select event_id as line_id, ts,
-       case user_id % 6 when 0 then 'web' when 1 then 'worker' when 2 then 'postgres' when 3 then 'clickhouse' when 4 then 'redis' else 'minio' end as service,
+       case user_id % 6 when 0 then 'web' when 1 then 'worker' when 2 then 'postgres' when 3 then 'clickhouse' when 4 then 'redis' else 'minio' end as service, cast(user_id as string) as host,
        case when event_type = 'error' then case event_id % 4 when 0 then 'ERROR: timeout' when 1 then 'Fatal: disk' when 2 then 'panic: nil' else 'Unhandled Exception' end else concat('ok ', event_type) end as message
 from events""",
     "v_tokens": """
-select event_id, event_type as model, cast(user_id % 5 as string) as instance, ts, cast(sum(cast(value as decimal(12,2))) over (partition by event_type, user_id % 5, cast(ts as date) order by ts) as decimal(18,2)) as value
+select event_id, event_type as model, cast(user_id % 5 as string) as instance, ts, cast(sum(cast(cast(value as decimal(12,2)) * cast(0.0001 as decimal(4,4)) as decimal(18,6))) over (partition by event_type, user_id % 5, cast(ts as date) order by ts) as decimal(18,6)) as value
 from events""",
     "v_spans": """
 select event_id as seq,
@@ -33,25 +33,25 @@ select host, name, size_bytes + case when changed then 1 else 0 end as size_byte
     "v_traces": """
 select o_orderkey as seq,
        md5(cast(o_orderkey as string)) as trace_id, o_orderdate as ts,
-       cast(o_totalprice as decimal(12,2)) as total_cost,
+       cast(cast(o_totalprice as decimal(12,2)) * cast(0.0001 as decimal(4,4)) as decimal(18,6)) as total_cost,
        concat('{"tempo_trace_id":"', md5(cast(o_orderkey as string)), '","tempo_span_id":"', substr(md5(cast(o_orderkey as string)),1,16), '"}') as metadata,
        o_orderkey * 37 % 10000 as latency_ms
 from orders""",
     "v_cpu": """
 select event_id,
-       md5(cast((event_id % 300) * 70 as string)) as trace_id, ts,
-       cast(sum(cast(value as decimal(12,2))) over (partition by event_id % 300 order by ts) as decimal(18,2)) as value
+       md5(cast((event_id % 100) * 70 as string)) as trace_id, concat('c', cast((event_id % 300) // 100 as string)) as container, ts,
+       cast(sum(cast(cast(value as decimal(12,2)) * cast(0.0001 as decimal(4,4)) as decimal(18,6))) over (partition by event_id % 300, cast(ts as date) order by ts) as decimal(18,6)) as value
 from events""",
     "v_obs": """
 select l_orderkey as trace_seq,
        md5(cast(l_orderkey as string)) as trace_id, l_shipdate as ts, p_brand as model,
        case when l_quantity = 1 then null else cast(l_quantity as bigint) end as tokens,
-       cast(l_extendedprice as decimal(14,2)) as cost
+       cast(cast(l_extendedprice as decimal(12,2)) * cast(0.0001 as decimal(4,4)) as decimal(18,6)) as cost
 from lineitem
 join part on p_partkey = l_partkey""",
     "v_status": """
 select event_id,
-       cast(user_id as string) as host, ts as snapshot_ts,
+       cast(user_id as string) as host, concat('c', cast(event_id % 4 as string)) as container, ts as snapshot_ts,
        case event_type when 'view' then 'Up 5 minutes (healthy)' when 'error' then 'Up 2 hours (unhealthy)' when 'click' then 'Up 26 minutes' when 'purchase' then 'Exited (143) 29 hours ago' else 'Up 3 seconds (health: starting)' end as status
 from events""",
     "v_config": """
@@ -59,7 +59,7 @@ select c_custkey as line_no,
        concat('host',
        cast(c_nationkey as string), '.env') as file,
        case c_custkey % 6 when 0 then 'DB_PASSWORD=op://vault/db/password' when 1 then concat('API_KEY=',
-       md5(cast(c_custkey as string))) when 2 then '# OLD_SECRET=abc' when 3 then 'LOG_LEVEL=info' when 4 then concat('REDIS_AUTH=$', '{REDIS_AUTH}') else 'AUTH_MODE=' end as line
+       md5(cast(c_custkey as string))) when 2 then '# OLD_SECRET=abc' when 3 then 'LOG_LEVEL=info' when 4 then 'REDIS_AUTH=${REDIS_AUTH}' else 'AUTH_MODE=' end as line
 from customer""",
     "v_scan": """
 select doc_id,
@@ -102,7 +102,7 @@ select event_id as seq, md5(cast(user_id as string)) as trace_id, ts, event_type
 from events""",
     "v_actual_cost": """
 select p_brand as model,
-       cast(sum(cast(l_extendedprice as decimal(14,2)) * (94 + cast(substr(p_brand, 7) as int) % 13)) / 100 as double) as actual_cost
+       cast(sum(cast(l_extendedprice as decimal(14,2)) * (94 + cast(substr(p_brand, 7) as int) % 13)) as double) / 1000000 as actual_cost
 from lineitem
 join part on p_partkey = l_partkey
 group by p_brand""",

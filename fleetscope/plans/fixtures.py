@@ -12,33 +12,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .materialize import materialize
 from .ordered import running_sum
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table.  Its schema is inferred once per process, then given, so later
-    reads skip the footer reads of schema inference (the tables are read-only)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _md5_of(col: str) -> F.Column:
     return F.md5(F.col(col).cast("string"))
 
 
+def _millis(col: str) -> F.Column:
+    """A value in cents as ten-thousandths of it: amounts below a cent, held exactly."""
+    return (F.col(col).cast("decimal(12,2)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(18,6)")
+
+
 def v_logs(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     service = F.expr("case user_id % 6 when 0 then 'web' when 1 then 'worker' when 2 then 'postgres' "
@@ -47,19 +41,16 @@ def v_logs(spark, sf_dir) -> DataFrame:
                      "when 1 then 'Fatal: disk' when 2 then 'panic: nil' else 'Unhandled Exception' end "
                      "else concat('ok ', event_type) end")
     return ev.select(F.col("event_id").alias("line_id"), "ts", service.alias("service"),
-                     message.alias("message"))
+                     F.col("user_id").cast("string").alias("host"), message.alias("message"))
 
 
-def v_tokens(spark, sf_dir, materialized: bool = False) -> DataFrame:
+def v_tokens(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", F.col("event_type").alias("model"),
                      (F.col("user_id") % 5).cast("string").alias("instance"), "ts",
-                     F.col("value").cast("decimal(12,2)").alias("_v"),
-                     F.to_date("ts").alias("_day"))
+                     _millis("value").alias("_v"), F.to_date("ts").alias("_day"))
     out = running_sum(base, ["model", "instance", "_day"], ["ts"], "_v", "value", chunk_seconds=3600)
-    out = out.select("event_id", "model", "instance", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
-    # two-pass counter operators read their input twice: then cut the running-sum lineage once
-    return materialize(out, "v_tokens") if materialized else out
+    return out.select("event_id", "model", "instance", "ts", F.col("value").cast("decimal(18,6)").alias("value"))
 
 
 def v_spans(spark, sf_dir) -> DataFrame:
@@ -108,20 +99,21 @@ def v_traces(spark, sf_dir) -> DataFrame:
     tid = _md5_of("o_orderkey")
     return o.select(
         F.col("o_orderkey").alias("seq"), tid.alias("trace_id"), F.col("o_orderdate").alias("ts"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("total_cost"),
+        _millis("o_totalprice").alias("total_cost"),
         F.concat(F.lit('{"tempo_trace_id":"'), tid, F.lit('","tempo_span_id":"'), F.substring(tid, 1, 16),
                  F.lit('"}')).alias("metadata"),
         (F.col("o_orderkey") * 37 % 10000).alias("latency_ms"))
 
 
-def v_cpu(spark, sf_dir, materialized: bool = False) -> DataFrame:
+def v_cpu(spark, sf_dir) -> DataFrame:
+    """Cpu-second counters: three containers a trace, each reset at midnight."""
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", (F.col("event_id") % 300).alias("_series"), "ts",
-                     F.col("value").cast("decimal(12,2)").alias("_v"))
-    out = running_sum(base, ["_series"], ["ts"], "_v", "value", chunk_seconds=86400)
-    out = out.select("event_id", F.md5((F.col("_series") * 70).cast("string")).alias("trace_id"), "ts",
-                     F.col("value").cast("decimal(18,2)").alias("value"))
-    return materialize(out, "v_cpu") if materialized else out
+                     F.to_date("ts").alias("_day"), _millis("value").alias("_v"))
+    out = running_sum(base, ["_series", "_day"], ["ts"], "_v", "value", chunk_seconds=86400)
+    return out.select("event_id", F.md5((F.col("_series") % 100 * 70).cast("string")).alias("trace_id"),
+                      F.concat(F.lit("c"), F.floor(F.col("_series") / 100).cast("string")).alias("container"), "ts",
+                      F.col("value").cast("decimal(18,6)").alias("value"))
 
 
 def v_obs(spark, sf_dir) -> DataFrame:
@@ -132,13 +124,14 @@ def v_obs(spark, sf_dir) -> DataFrame:
         F.col("l_orderkey").alias("trace_seq"), _md5_of("l_orderkey").alias("trace_id"),
         F.col("l_shipdate").alias("ts"), F.col("p_brand").alias("model"),
         F.when(F.col("l_quantity") == 1, F.lit(None)).otherwise(F.col("l_quantity").cast("bigint")).alias("tokens"),
-        F.col("l_extendedprice").cast("decimal(14,2)").alias("cost"))
+        _millis("l_extendedprice").alias("cost"))
 
 
 def v_status(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
-        "event_id", F.col("user_id").cast("string").alias("host"), F.col("ts").alias("snapshot_ts"),
+        "event_id", F.col("user_id").cast("string").alias("host"),
+        F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("container"), F.col("ts").alias("snapshot_ts"),
         F.expr("case event_type when 'view' then 'Up 5 minutes (healthy)' when 'error' then "
                "'Up 2 hours (unhealthy)' when 'click' then 'Up 26 minutes' when 'purchase' then "
                "'Exited (143) 29 hours ago' else 'Up 3 seconds (health: starting)' end").alias("status"))
@@ -146,12 +139,11 @@ def v_status(spark, sf_dir) -> DataFrame:
 
 def v_config(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    dollar_brace = F.concat(F.lit("$"), F.lit("{REDIS_AUTH}"))
     line = (F.when(F.col("c_custkey") % 6 == 0, F.lit("DB_PASSWORD=op://vault/db/password"))
             .when(F.col("c_custkey") % 6 == 1, F.concat(F.lit("API_KEY="), _md5_of("c_custkey")))
             .when(F.col("c_custkey") % 6 == 2, F.lit("# OLD_SECRET=abc"))
             .when(F.col("c_custkey") % 6 == 3, F.lit("LOG_LEVEL=info"))
-            .when(F.col("c_custkey") % 6 == 4, F.concat(F.lit("REDIS_AUTH="), dollar_brace))
+            .when(F.col("c_custkey") % 6 == 4, F.lit("REDIS_AUTH=${REDIS_AUTH}"))
             .otherwise(F.lit("AUTH_MODE=")))
     return c.select(F.col("c_custkey").alias("line_no"),
                     F.concat(F.lit("host"), F.col("c_nationkey").cast("string"), F.lit(".env")).alias("file"),
@@ -232,7 +224,7 @@ def v_actual_cost(spark, sf_dir) -> DataFrame:
     j = li.join(part, part.p_partkey == li.l_partkey)
     factor = F.lit(94) + F.substring("p_brand", 7, 1 << 20).cast("int") % 13
     return j.groupBy(F.col("p_brand").alias("model")).agg(
-        (F.sum(F.col("l_extendedprice").cast("decimal(14,2)") * factor) / 100).cast("double").alias("actual_cost"))
+        (F.sum(F.col("l_extendedprice").cast("decimal(14,2)") * factor).cast("double") / 1000000).alias("actual_cost"))
 
 
 def v_deps(spark, sf_dir) -> DataFrame:

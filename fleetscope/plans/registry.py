@@ -19,7 +19,7 @@ from .fixture_sql import with_views
 from ..operators import catalog, config, costs, fleet, logs, metrics, releases, secrets, traces
 from ..operators.catalog import DEFAULT_EXCLUDES
 from ..functions import glob_to_regex
-from ..streaming import batch_forms
+from ..streaming import batch_forms, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,7 @@ def register(name: str, sql: str | None):
 LOG_AS_OF = "2024-01-30 23:00:00"
 FRESH_AS_OF = "2024-01-31 00:00:00"
 PRUNE_AS_OF = "2024-02-15 00:00:00"
-RETENTION_AS_OF = _dt.datetime(2024, 1, 31)
+RETENTION_AS_OF = _dt.datetime(2024, 1, 25)
 REPO_URL = "https://example.invalid/ops-kit"
 EXPECTED_COMPONENTS = ["web", "object_store", "analytics"]
 
@@ -69,58 +69,66 @@ def _sql_list(xs):
     return ", ".join(f"'{x}'" for x in xs)
 
 
+def _rounded(df: DataFrame, **places: int) -> DataFrame:
+    """Doubles rounded for the comparison with the oracle; operators themselves do not round."""
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 # --------------------------------------------------------------------------- costs (flagship)
 
 @register("attribute_cost", with_views(f"""
-, d as (select trace_id, ts, value, lag(value) over (partition by trace_id order by ts) as prev_value from v_cpu)
-, inc as (select {ID.format('trace_id')} as link_id, cast(coalesce(sum({DELTA}), 0) as decimal(18,2)) as cpu_seconds,
+, d as (select trace_id, ts, value, lag(value) over (partition by trace_id, container order by ts) as prev_value from v_cpu)
+, inc as (select {ID.format('trace_id')} as link_id, cast(coalesce(sum({DELTA}), 0) as decimal(38,6)) as cpu_seconds,
                  count(*) as n_samples from d group by 1)
-, t as (select trace_id, cast(total_cost as decimal(18,2)) as llm_cost, {TEMPO} as link_id from v_traces)
+, t as (select trace_id, total_cost as llm_cost, {TEMPO} as link_id from v_traces)
 , j as (select t.*, inc.cpu_seconds, inc.n_samples,
-               round(coalesce(cast(inc.cpu_seconds as double) * 0.024 / 3600, 0.0), 6) as infra_cost
+               coalesce(cast(inc.cpu_seconds as double) * 0.024 / 3600, 0.0) as infra_cost
         from t left join inc on t.link_id = inc.link_id)
-select trace_id, link_id as tempo_trace_id, llm_cost, coalesce(cpu_seconds, cast(0 as decimal(18,2))) as cpu_seconds,
-       infra_cost, round(cast(llm_cost as double) + infra_cost, 6) as total_cost, n_samples is not null as infra_found,
+select trace_id, link_id as tempo_trace_id, llm_cost, coalesce(cpu_seconds, cast(0 as decimal(38,6))) as cpu_seconds,
+       round(infra_cost, 12) as infra_cost, round(cast(llm_cost as double) + infra_cost, 9) as total_cost, n_samples is not null as infra_found,
        concat('/trace/', trace_id) as trace_url, concat('/explore?traceID=', link_id) as explore_url
 from j""", "v_cpu", "v_traces"))
 def q_attribute_cost(spark, sf):
-    return costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf, materialized=True))
+    return _rounded(costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf), series=["container"]),
+                    infra_cost=12, total_cost=9)
 
 
 @register("attribute_cost_as_written", with_views(f"""
-, d as (select trace_id, ts, value, lag(value) over (partition by trace_id order by ts) as prev_value from v_cpu)
-, inc as (select {ID.format('trace_id')} as link_id, cast(coalesce(sum({DELTA}), 0) as decimal(18,2)) as cpu_seconds,
+, d as (select trace_id, ts, value, lag(value) over (partition by trace_id, container order by ts) as prev_value from v_cpu)
+, inc as (select {ID.format('trace_id')} as link_id, cast(coalesce(sum({DELTA}), 0) as decimal(38,6)) as cpu_seconds,
                  count(*) as n_samples, cast(floor(epoch(max(ts))) - floor(epoch(min(ts))) as double) as span
           from d group by 1)
-, t as (select trace_id, cast(total_cost as decimal(18,2)) as llm_cost, {TEMPO} as link_id from v_traces)
+, t as (select trace_id, total_cost as llm_cost, {TEMPO} as link_id from v_traces)
 , j as (select t.*, inc.cpu_seconds, inc.n_samples,
-               round(coalesce(case when inc.span > 0 then cast(inc.cpu_seconds as double) / inc.span * 0.024 end, 0.0), 6)
+               coalesce(case when inc.span > 0 then cast(inc.cpu_seconds as double) / inc.span * 0.024 end, 0.0)
                  as infra_cost
         from t left join inc on t.link_id = inc.link_id)
-select trace_id, link_id as tempo_trace_id, llm_cost, coalesce(cpu_seconds, cast(0 as decimal(18,2))) as cpu_seconds,
-       infra_cost, round(cast(llm_cost as double) + infra_cost, 6) as total_cost, n_samples is not null as infra_found,
+select trace_id, link_id as tempo_trace_id, llm_cost, coalesce(cpu_seconds, cast(0 as decimal(38,6))) as cpu_seconds,
+       round(infra_cost, 12) as infra_cost, round(cast(llm_cost as double) + infra_cost, 9) as total_cost, n_samples is not null as infra_found,
        concat('/trace/', trace_id) as trace_url, concat('/explore?traceID=', link_id) as explore_url
 from j""", "v_cpu", "v_traces"))
 def q_attribute_cost_as_written(spark, sf):
-    return costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf, materialized=True), mode="as_written")
+    return _rounded(costs.attribute_cost(fx.v_traces(spark, sf), fx.v_cpu(spark, sf), mode="as_written",
+                                         series=["container"]), infra_cost=12, total_cost=9)
 
 
 @register("reconcile_cost", with_views("""
-, t as (select model, cast(sum(cost) as decimal(18,2)) as tracked_cost from v_obs group by model)
-, j as (select coalesce(t.model, a.model) as model, cast(t.tracked_cost as double) as t, a.actual_cost as a
+, t as (select model, cast(sum(cost) as decimal(38,6)) as tracked_cost from v_obs group by model)
+, j as (select coalesce(t.model, a.model) as model, t.tracked_cost, cast(t.tracked_cost as double) as t, a.actual_cost as a
         from t full outer join v_actual_cost a on t.model = a.model)
-, r as (select *, case when a <> 0 then round(abs(t - a) / a, 6) end as rel_diff from j)
-select model, round(t, 2) as tracked_cost, round(a, 4) as actual_cost, rel_diff,
+, r as (select *, case when a <> 0 then abs(t - a) / a end as rel_diff from j)
+select model, tracked_cost, round(a, 6) as actual_cost, round(rel_diff, 9) as rel_diff,
        case when a is null then 'missing_actual' when t is null then 'missing_tracked' when a = 0 then 'zero_actual'
             when rel_diff <= 0.05 then 'ok' else 'mismatch' end as status
 from r""", "v_obs", "v_actual_cost"))
 def q_reconcile_cost(spark, sf):
-    return costs.reconcile_cost(costs.tracked_cost(fx.v_obs(spark, sf)), fx.v_actual_cost(spark, sf))
+    return _rounded(costs.reconcile_cost(costs.tracked_cost(fx.v_obs(spark, sf)), fx.v_actual_cost(spark, sf)),
+                    actual_cost=6, rel_diff=9)
 
 
 @register("usage_daily", with_views("""
 select cast(ts as date) as day, model, count(*) as calls, cast(sum(tokens) as bigint) as tokens,
-       cast(sum(cost) as decimal(18,2)) as cost
+       cast(sum(cost) as decimal(38,6)) as cost
 from v_obs group by all""", "v_obs"))
 def q_usage_daily(spark, sf):
     return costs.usage_daily(fx.v_obs(spark, sf))
@@ -138,7 +146,7 @@ def q_score_summary(spark, sf):
 
 _TOKEN_DELTAS = """
 , d as (select *, lag(value) over (partition by model, instance order by ts) as prev_value from v_tokens)
-, dd as (select *, cast({delta} as decimal(18,2)) as delta from d)""".format(delta=DELTA)
+, dd as (select *, cast({delta} as decimal(18,6)) as delta from d)""".format(delta=DELTA)
 
 
 @register("counter_delta", with_views(_TOKEN_DELTAS + """
@@ -146,79 +154,79 @@ select event_id, model, instance, ts, value, prev_value, delta,
        case when prev_value is null then null else value < prev_value end as is_reset
 from dd""", "v_tokens"))
 def q_counter_delta(spark, sf):
-    return metrics.counter_delta(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"])
+    return metrics.counter_delta(fx.v_tokens(spark, sf), ["model", "instance"])
 
 
 @register("counter_increase", with_views(_TOKEN_DELTAS + """
 select model, instance, date_trunc('hour', ts) as window_start, date_trunc('hour', ts) + interval 1 hour as window_end,
-       cast(sum(delta) as decimal(18,2)) as increase
+       cast(sum(delta) as decimal(38,6)) as increase
 from dd where delta is not null group by all""", "v_tokens"))
 def q_counter_increase(spark, sf):
-    return metrics.counter_increase(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "1 hour")
+    return metrics.counter_increase(fx.v_tokens(spark, sf), ["model", "instance"], "1 hour")
 
 
 @register("counter_increase_stepped", with_views(_TOKEN_DELTAS + """
 , b as (select model, instance, delta, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as window_start
         from dd where delta is not null)
 select model, instance, window_start, window_start + interval 2 hour as window_end,
-       cast(sum(delta) as decimal(18,2)) as increase
+       cast(sum(delta) as decimal(38,6)) as increase
 from b group by all""", "v_tokens"))
 def q_counter_increase_stepped(spark, sf):
-    return metrics.counter_increase(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "2 hours", "1 hour")
+    return metrics.counter_increase(fx.v_tokens(spark, sf), ["model", "instance"], "2 hours", "1 hour")
 
 
 _RATE5 = _TOKEN_DELTAS + """
 , r as (select model, instance, time_bucket(interval 5 minute, ts) as window_start,
                time_bucket(interval 5 minute, ts) + interval 5 minute as window_end,
-               cast(sum(delta) as decimal(18,2)) as increase
+               cast(sum(delta) as decimal(38,6)) as increase
         from dd where delta is not null group by all)"""
 
 
 @register("counter_rate", with_views(_RATE5 + """
 select model, instance, window_start, window_end, increase, 300 as window_seconds,
-       round(cast(increase as double) / 300, 6) as rate
+       round(cast(increase as double) / 300, 12) as rate
 from r""", "v_tokens"))
 def q_counter_rate(spark, sf):
-    return metrics.counter_rate(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "5 minutes")
+    return _rounded(metrics.counter_rate(fx.v_tokens(spark, sf), ["model", "instance"], "5 minutes"), rate=12)
 
 
 @register("sum_by_model", with_views(_RATE5 + """
-select model, window_start, window_end, round(cast(sum(increase) as double) / 300, 6) as rate
+select model, window_start, window_end, round(cast(sum(increase) as double) / 300, 12) as rate
 from r group by all""", "v_tokens"))
 def q_sum_by_model(spark, sf):
-    rates = metrics.counter_rate(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"], "5 minutes")
-    return metrics.sum_by(rates, ["model"])
+    rates = metrics.counter_rate(fx.v_tokens(spark, sf), ["model", "instance"], "5 minutes")
+    return _rounded(metrics.sum_by(rates, ["model"]), rate=12)
 
 
 _HOURLY = _TOKEN_DELTAS + """
 , h as (select model, instance, date_trunc('{unit}', ts) as window_start,
-               date_trunc('{unit}', ts) + interval 1 {unit} as window_end, cast(sum(delta) as decimal(18,2)) as increase
+               date_trunc('{unit}', ts) + interval 1 {unit} as window_end, cast(sum(delta) as decimal(38,6)) as increase
         from dd where delta is not null group by all)"""
 
 
 @register("cost_per_hour", with_views(_HOURLY.format(unit="hour") + """
-select window_start, window_end, cast(sum(increase) as decimal(18,2)) as cost_per_hour from h group by all""",
+select window_start, window_end, cast(sum(increase) as decimal(38,6)) as cost_per_hour from h group by all""",
                                       "v_tokens"))
 def q_cost_per_hour(spark, sf):
-    return metrics.cost_per_hour(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"])
+    return metrics.cost_per_hour(fx.v_tokens(spark, sf), ["model", "instance"])
 
 
 @register("daily_cost", with_views(_HOURLY.format(unit="day") + """
-select window_start, window_end, cast(sum(increase) as decimal(18,2)) as daily_cost from h group by all""",
+select window_start, window_end, cast(sum(increase) as decimal(38,6)) as daily_cost from h group by all""",
                                    "v_tokens"))
 def q_daily_cost(spark, sf):
-    return metrics.daily_cost(fx.v_tokens(spark, sf, materialized=True), ["model", "instance"])
+    return metrics.daily_cost(fx.v_tokens(spark, sf), ["model", "instance"])
 
 
 @register("infra_cost", with_views(f"""
-, d as (select *, lag(value) over (partition by trace_id order by ts) as prev_value from v_cpu)
-, h as (select trace_id, date_trunc('day', ts) as window_start, cast(sum({DELTA}) as decimal(18,2)) as increase
+, d as (select *, lag(value) over (partition by trace_id, container order by ts) as prev_value from v_cpu)
+, h as (select trace_id, container, date_trunc('day', ts) as window_start, cast(sum({DELTA}) as decimal(38,6)) as increase
         from d where prev_value is not null group by all)
 select window_start, window_start + interval 1 day as window_end,
-       round(cast(sum(increase) as double) / 86400 * 0.024, 6) as infra_cost
+       round(cast(sum(increase) as double) / 86400 * 0.024, 12) as infra_cost
 from h group by all""", "v_cpu"))
 def q_infra_cost(spark, sf):
-    return metrics.infra_cost(fx.v_cpu(spark, sf, materialized=True), ["trace_id"])
+    return _rounded(metrics.infra_cost(fx.v_cpu(spark, sf), ["trace_id", "container"]), infra_cost=12)
 
 
 @register("match_labels", with_views("""
@@ -249,7 +257,7 @@ def q_match_labels_map(spark, sf):
          and s.ts <= t.eval_ts and s.ts > t.eval_ts - interval 3600 second)
 select model, instance, eval_ts, sample_ts, value from c where rn = 1""", "v_tokens"))
 def q_instant_value(spark, sf):
-    tok = fx.v_tokens(spark, sf, materialized=True)
+    tok = fx.v_tokens(spark, sf)
     times = tok.select("model", "instance", F.window("ts", "1 hour").end.alias("eval_ts")).distinct()
     return metrics.instant_value(tok, times, ["model", "instance"], lookback=3600)
 
@@ -264,7 +272,7 @@ def q_instant_value(spark, sf):
          and s.ts <= t.eval_ts and s.ts > t.eval_ts - interval 3600 second)
 select model, instance, eval_ts, sample_ts, value from c where rn = 1""", "v_tokens"))
 def q_range_values(spark, sf):
-    tok = fx.v_tokens(spark, sf, materialized=True)
+    tok = fx.v_tokens(spark, sf)
     grid = metrics.evaluation_grid(tok, ["model", "instance"], "1 hour")
     return metrics.instant_value(tok, grid, ["model", "instance"], lookback=3600)
 
@@ -342,6 +350,35 @@ def q_drop_short_spans(spark, sf):
     return traces.drop_short_spans(fx.v_spans(spark, sf))
 
 
+@register("loop_alerts", with_views("""
+select trace_id, cast(11 as bigint) as n_spans from v_spans where name = 'memory_search' group by trace_id
+having count(*) > 10""", "v_spans"))
+def q_loop_alerts(spark, sf):
+    return stateful.loop_alerts(fx.v_spans(spark, sf), "memory_search", 10)
+
+
+@register("ingest_events", """
+select event_id, ts, user_id, event_type from (
+  select *, row_number() over (partition by event_id order by ts) as rn
+  from (select event_id // 2 as event_id, ts, user_id, event_type from events)) where rn = 1""")
+def q_ingest_events(spark, sf):
+    ev = fx.table(spark, sf, "events").select(F.expr("event_id div 2").alias("event_id"), "ts", "user_id", "event_type")
+    return batch_forms.ingest_events(ev)
+
+
+@register("correlate_stream", with_views("""
+select s.seq as span_seq, t.seq, t.ts as trace_ts, s.start_ts, s.trace_id
+from v_spans s join (select seq, md5(cast(seq % 500 as string)) as trace_id, timestamp '2024-01-01' + interval 1 hour * (seq % 720) as ts
+                     from v_traces) t on t.trace_id = s.trace_id
+where s.start_ts between t.ts - interval 1 hour and t.ts + interval 1 hour""", "v_spans", "v_traces"))
+def q_correlate_stream(spark, sf):
+    t = fx.v_traces(spark, sf).select(
+        "seq", F.md5((F.col("seq") % 500).cast("string")).alias("trace_id"),
+        F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(seq % 720))").alias("ts"))
+    s = fx.v_spans(spark, sf).select(F.col("seq").alias("span_seq"), "trace_id", "start_ts")
+    return batch_forms.correlate_stream(t, s).select("span_seq", "seq", "trace_ts", "start_ts", "trace_id")
+
+
 @register("ratio_sample", with_views(
     f"select * from v_spans where cast('0x' || substr({ID.format('trace_id')}, 18, 15) as bigint) < "
     f"{traces.sample_threshold(0.1)}", "v_spans"))
@@ -405,27 +442,35 @@ select count(*) as n, round(count_if(latency_ms < 2000) / count(*), 4) as share_
        round(cast(quantile_cont(latency_ms, 0.95) as double), 4) as p95
 from v_traces""", "v_traces"))
 def q_latency_targets(spark, sf):
-    return traces.latency_targets(fx.v_traces(spark, sf))
+    return traces.latency_targets(fx.v_traces(spark, sf), exact=True)
 
 
 @register("attribute_hygiene", with_views("""
-, kv as (select 'service.name' as key, service as value from v_spans union all select 'span.name', name from v_spans)
+, kv as (select 'service.name' as key, case when seq % 9 <> 0 and seq % 31 <> 0 then service end as value from v_spans
+        union all select 'span.name', case when seq % 9 = 0 or seq % 31 <> 0 then name end from v_spans
+        union all select 'host.name', null from v_spans)
 select key, count(*) as n_spans, count_if(value is null) as n_missing, count(distinct value) as n_distinct
 from kv group by key""", "v_spans"))
 def q_attribute_hygiene(spark, sf):
     sp = fx.v_spans(spark, sf).withColumn(
-        "attributes", F.create_map(F.lit("service.name"), F.col("service"), F.lit("span.name"), F.col("name")))
-    return traces.attribute_hygiene(sp)
+        "attributes", F.when(F.col("seq") % 9 == 0, F.create_map(F.lit("span.name"), F.col("name")))
+        .when(F.col("seq") % 31 != 0, F.create_map(F.lit("service.name"), F.col("service"), F.lit("span.name"), F.col("name"))))
+    return traces.attribute_hygiene(sp, ["service.name", "span.name", "host.name"], exact=True)
 
 
 @register("bad_ids", with_views("""
+, odd as (select * replace (case when seq % 40 = 0 then upper(trace_id) when seq % 41 = 0 then null else trace_id end as trace_id,
+                            case when seq % 43 = 0 then substr(span_id, 2) else span_id end as span_id) from v_spans)
 select *, not coalesce(regexp_matches(trace_id, '^[0-9a-f]{32}$'), false) as bad_trace_id,
        not coalesce(regexp_matches(span_id, '^[0-9a-f]{16}$'), false) as bad_span_id
-from v_spans
+from odd
 where not coalesce(regexp_matches(trace_id, '^[0-9a-f]{32}$'), false)
    or not coalesce(regexp_matches(span_id, '^[0-9a-f]{16}$'), false)""", "v_spans"))
 def q_bad_ids(spark, sf):
-    return traces.bad_ids(fx.v_spans(spark, sf))
+    odd = fx.v_spans(spark, sf).withColumns({
+        "trace_id": F.when(F.col("seq") % 40 == 0, F.upper("trace_id")).when(F.col("seq") % 41 != 0, F.col("trace_id")),
+        "span_id": F.when(F.col("seq") % 43 == 0, F.substring("span_id", 2, 99)).otherwise(F.col("span_id"))})
+    return traces.bad_ids(odd)
 
 
 @register("merge_trace_updates", with_views("""
@@ -550,29 +595,38 @@ def q_rpo_gaps(spark, sf):
 
 @register("storage_growth", with_views("""
 , daily as (select host, cast(mtime as date) as day, cast(sum(size_bytes) as bigint) as bytes from v_files group by all)
-select host, day, bytes, lag(bytes) over w as prev_bytes, bytes - lag(bytes) over w as growth,
-       coalesce(bytes - lag(bytes) over w > 1073741824, false) as over_limit
+select host, day, bytes, lag(bytes) over w as prev_bytes, cast(day - lag(day) over w as integer) as days,
+       bytes - lag(bytes) over w as growth,
+       coalesce(bytes - lag(bytes) over w > 1073741824 * (day - lag(day) over w), false) as over_limit
 from daily window w as (partition by host order by day)""", "v_files"))
 def q_storage_growth(spark, sf):
     return catalog.storage_growth(fx.v_files(spark, sf))
 
 
 @register("missed_runs", with_views("""
-, h as (select distinct host from v_primary)
+, h as (select distinct host from v_status union select 'silent')
 , d as (select host, cast(unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30', interval 1 day)) as date) as day from h)
 select host, day, cast(day as timestamp) + interval 2 hour as slot_ts from d
-where not exists (select 1 from v_primary f where f.host = d.host and cast(f.mtime as date) = d.day)""", "v_primary"))
+where not exists (select 1 from v_primary f where f.host = d.host and cast(f.mtime as date) = d.day)""", "v_primary", "v_status"))
 def q_missed_runs(spark, sf):
-    return catalog.missed_runs(fx.primary_catalog(spark, sf), "2024-01-01", "2024-01-30", hour=2)
+    hosts = fx.v_status(spark, sf).select("host").union(spark.sql("select 'silent' as host"))  # one host without any file
+    return catalog.missed_runs(fx.primary_catalog(spark, sf), "2024-01-01", "2024-01-30", hosts, hour=2)
 
 
 def _age_days(leeway: int = 0) -> str:
     return (f"cast(floor((epoch(timestamp '{PRUNE_AS_OF}') - {leeway} - floor(epoch(mtime))) / 86400) as bigint)")
 
 
-@register("prune", with_views(f"select *, {_age_days()} as age_days from v_files where {_age_days()} > 30", "v_files"))
+@register("prune", with_views(f"""
+, odd as (select * replace (case when changed and not in_replica then concat('notes-', name) else name end as name),
+                 not in_primary as is_link from v_files)
+select *, {_age_days()} as age_days from odd
+where {_age_days()} > 30 and not is_link and starts_with(name, 'backup-') and ends_with(name, '.tar.gz')""", "v_files"))
 def q_prune(spark, sf):
-    return catalog.prune(fx.v_files(spark, sf), PRUNE_AS_OF, 30)
+    odd = fx.v_files(spark, sf).withColumns({
+        "name": F.when(F.col("changed") & ~F.col("in_replica"), F.concat(F.lit("notes-"), "name")).otherwise(F.col("name")),
+        "is_link": ~F.col("in_primary")})
+    return catalog.prune(odd, PRUNE_AS_OF, 30)
 
 
 @register("prune_leeway", with_views(
@@ -593,15 +647,17 @@ _D0, _W0, _M0 = _tier_bounds(RETENTION_AS_OF)
 
 
 @register("tiered_retention", with_views(f"""
-, f as (select host, name, mtime, cast(mtime as date) as d from v_primary where mtime <= timestamp '{RETENTION_AS_OF}')
+, e as (select host, name, mtime, cast(mtime as date) as d from v_primary)
+, f as (select * from e where mtime <= timestamp '{RETENTION_AS_OF}')
 , kd as (select host, arg_max(name, mtime) as name from f where d >= date '{_D0}' group by host, d)
 , kw as (select host, arg_max(name, mtime) as name from f where d >= date '{_W0}' group by host, date_trunc('week', d))
 , km as (select host, arg_max(name, mtime) as name from f where d >= date '{_M0}' group by host, date_trunc('month', d))
-select f.host, f.name, f.mtime, kd.name is not null as keep_daily, kw.name is not null as keep_weekly,
-       km.name is not null as keep_monthly, (kd.name is not null or kw.name is not null or km.name is not null) as keep
-from f left join kd on f.host = kd.host and f.name = kd.name
-left join kw on f.host = kw.host and f.name = kw.name
-left join km on f.host = km.host and f.name = km.name""", "v_primary"))
+select e.host, e.name, e.mtime, kd.name is not null as keep_daily, kw.name is not null as keep_weekly,
+       km.name is not null as keep_monthly, (kd.name is not null or kw.name is not null or km.name is not null
+       or e.mtime > timestamp '{RETENTION_AS_OF}') as keep
+from e left join kd on e.host = kd.host and e.name = kd.name
+left join kw on e.host = kw.host and e.name = kw.name
+left join km on e.host = km.host and e.name = km.name""", "v_primary"))
 def q_tiered_retention(spark, sf):
     return catalog.tiered_retention(fx.primary_catalog(spark, sf), RETENTION_AS_OF, 7, 4, 12)
 
@@ -666,13 +722,14 @@ def q_missing_expected(spark, sf):
 
 
 def _vparts(col):
-    return (f"list_transform(string_split(regexp_replace(regexp_replace({col}, '^v', ''), '-.*$', ''), '.'), "
-            f"lambda x: try_cast(x as integer))")
+    bare = f"regexp_replace(regexp_replace({col}, '^v', ''), '-.*$', '')"
+    return (f"case when not regexp_matches({col}, '^v?[0-9]{{4}}-[0-9][0-9]-[0-9][0-9]') then "
+            f"list_resize(list_transform(string_split({bare}, '.'), lambda x: coalesce(try_cast(x as integer), -1)), 4, 0) end")
 
 
 @register("version_drift", with_views(f"""
 , p as (select service, pinned, newest, {_vparts('pinned')} as pl, {_vparts('newest')} as nl from v_versions)
-, q as (select *, len(list_filter(pl, lambda x: x is null)) > 0 as p_bad, len(list_filter(nl, lambda x: x is null)) > 0 as n_bad from p)
+, q as (select *, (pl is null or list_contains(pl, -1)) as p_bad, (nl is null or list_contains(nl, -1)) as n_bad from p)
 select service, pinned, newest,
        case when newest is null or p_bad or n_bad then 'unknown' when pl = nl then 'latest'
             when pl < nl then 'update_available' else 'ahead' end as status
@@ -693,21 +750,34 @@ def q_ready_services(spark, sf):
 
 
 @register("fleet_health", with_views(_CLASSIFIED + _ENDPOINTS + f"""
+, csl as (select host, container, arg_max(severity, (snapshot_ts, state)) as severity from cs group by host, container)
+, epl as (select host, component, arg_max(severity, (ts, outcome)) as severity,
+                 arg_max(http_code is not null, (ts, outcome)) as answered from ep group by host, component)
+, gone as (select h.host from (select distinct host from v_status) h, (select unnest(['c0', 'c1', 'c2', 'c3']) as container) w
+           where not exists (select 1 from cs where cs.host = h.host and cs.container = w.container))
+, le as (select distinct host from v_logs where {_ERR} and ts > timestamp '{LOG_AS_OF}' - interval 86400 second
+         and ts <= timestamp '{LOG_AS_OF}')
 , l as (select host, max(mtime) as mtime from v_primary where mtime <= timestamp '{FRESH_AS_OF}' group by host)
 , h as (select distinct host from v_status)
 , fr as (select h.host, case when l.mtime is not null and {_AGE_H} < 25 then 0 else 1 end as severity
          from h left join l on h.host = l.host)
-, checks as (select host, severity from cs union all select host, severity from ep
-             union all select host, severity from fr)
+, checks as (select host, severity from csl union all select host, severity from epl
+             union all select host, severity from fr union all select host, 2 from gone union all select host, 1 from le
+             union all select host, case when answered then 0 else 2 end from epl where component = 'analytics')
 select host, max(severity) as worst, count(*) as n_checks, count_if(severity = 2) as n_errors,
        count_if(severity = 1) as n_warnings,
        case when max(severity) >= 2 then 'error' when max(severity) = 1 then 'warning' else 'healthy' end as overall
-from checks group by host""", "v_status", "v_probes", "v_primary"))
+from checks group by host""", "v_status", "v_probes", "v_primary", "v_logs"))
 def q_fleet_health(spark, sf):
     status = fx.v_status(spark, sf)
     fresh = catalog.backup_freshness(fx.primary_catalog(spark, sf), status, FRESH_AS_OF, 25)
-    checks = fleet.build_checks(fleet.classify_status(status), fleet.classify_endpoint(fx.v_probes(spark, sf)),
-                                freshness=fresh)
+    now = fleet.latest_state(fleet.classify_status(status), ["host", "container"], keep=["state", "severity"])
+    probes = fleet.latest_state(fleet.classify_endpoint(fx.v_probes(spark, sf)), ["host", "component"], "ts",
+                                keep=["outcome", "severity", "http_code"])
+    databases = probes.filter("component = 'analytics'").select("host", "ts", "component", F.col("http_code").isNotNull().alias("ok"))
+    gone = fleet.missing_expected(["c0", "c1", "c2", "c3"], status, name="container")
+    recent = logs.since(logs.error_lines(fx.v_logs(spark, sf)), "ts", LOG_AS_OF, 86400)
+    checks = fleet.build_checks(now, probes, freshness=fresh, log_errors=recent, databases=databases, missing=gone)
     return fleet.fleet_health(checks)
 
 
@@ -748,14 +818,16 @@ def _scan_sql(lines_cte: str, id_cols: str, keep_allowed: bool = False) -> str:
     parts = []
     for rule, pat, sev, vp in secrets.SECRET_RULES:
         value = f"regexp_extract(m, '{vp}', 1)" if vp else "m"
-        parts.append(f"select {id_cols}, line_no, line, '{rule}' as rule, '{sev}' as severity, m, {value} as v "
-                     f"from (select *, unnest(regexp_extract_all(line, '{pat}', 0)) as m from lines "
-                     f"where regexp_matches(line, '{pat}'))")
+        parts.append(f"select {id_cols}, line_no, line, pos, '{rule}' as rule, '{sev}' as severity, m, {value} as v "
+                     f"from (select *, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i: "
+                     f"1 + list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i-1], "
+                     f"lambda x: len(x))), 0))) as pos from (select *, regexp_extract_all(line, '{pat}', 0) as ms, "
+                     f"string_split_regex(line, '{pat}') as gaps from lines where regexp_matches(line, '{pat}')))")
     allow = " or ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOW_PATTERNS)
     extra = f", ({allow}) as allowed" if keep_allowed else ""
     where = "" if keep_allowed else f"where not ({allow})"
     return (f"{lines_cte}\n, found as ({' union all '.join(parts)})\n"
-            f"select {id_cols}, line_no, rule, severity, instr(line, m) as \"offset\", sha256(m) as match_hash{extra}\n"
+            f"select {id_cols}, line_no, rule, severity, cast(pos as bigint) as \"offset\", sha256(m) as match_hash{extra}\n"
             f"from found {where}")
 
 

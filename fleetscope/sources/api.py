@@ -1,4 +1,7 @@
-"""SRC4-SRC6: JSON API responses saved as files (trace pages, metric queries, span searches)."""
+"""SRC4-SRC6: JSON API responses saved as files (trace pages, metric queries, span searches).
+
+A page that is not valid JSON fails the read; it is never dropped silently.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ TRACE_PAGE = T.StructType([T.StructField("data", T.ArrayType(T.StructType([
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """SRC4: ``{data: [{id, timestamp, latency, totalCost, metadata}]}`` pages -> one row per trace."""
-    pages = spark.read.schema(TRACE_PAGE).option("multiLine", "true").json(path)
+    pages = spark.read.schema(TRACE_PAGE).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     t = pages.select(F.inline("data"))
     return t.select(F.col("id").alias("trace_id"),
                     F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz").alias("ts"),
@@ -51,10 +54,10 @@ def read_metric_samples(spark: SparkSession, path: str, flat: bool = False) -> D
     Sample values arrive as strings and are cast with ``try_cast`` (bad -> null).
     """
     if flat:
-        f = spark.read.schema(FLAT_SAMPLE).json(path)
+        f = spark.read.schema(FLAT_SAMPLE).option("mode", "FAILFAST").json(path)
         return f.select("metric", "labels", _epoch_to_ts(F.col("ts")).alias("ts"),
                         F.col("value").try_cast("double").alias("value"))
-    r = spark.read.schema(METRIC_RESPONSE).option("multiLine", "true").json(path)
+    r = spark.read.schema(METRIC_RESPONSE).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     series = r.select(F.explode_outer("data.result").alias("s")).filter(F.col("s").isNotNull())
     pts = series.select(F.col("s.metric").alias("m"), F.explode(F.when(F.col("s.value").isNotNull(),
                                                                        F.array(F.col("s.value")))
@@ -75,7 +78,7 @@ SPAN_SEARCH = T.StructType([T.StructField("traces", T.ArrayType(T.StructType([
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: span search responses ``traces[].spans[]`` -> one row per span."""
-    r = spark.read.schema(SPAN_SEARCH).option("multiLine", "true").json(path)
+    r = spark.read.schema(SPAN_SEARCH).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     t = r.select(F.inline("traces"))
     s = t.select("traceID", "rootServiceName", F.inline("spans"))
     start = F.timestamp_add("MICROSECOND", (F.col("startTimeUnixNano").try_cast("decimal(38,0)") / 1000).cast("bigint"),

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def export_batch(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("day",),
-                 mode: str = "append") -> str:
+                 mode: str = "overwrite") -> str:
     """SNK1: write under ``<path>/exports/``, partitioned by ``by`` (e.g. the day).
 
-    Partition columns become folders, so later reads prune by date.
+    Partition columns become folders, so later reads prune by date.  Overwriting
+    replaces only the partitions in ``df``, so a second run of a day does not
+    double it.
     """
     target = f"{path.rstrip('/')}/exports"
-    df.write.mode(mode).partitionBy(*by).format(fmt).save(target)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt).save(target)
     return target
 
 

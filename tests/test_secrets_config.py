@@ -67,3 +67,12 @@ def test_config_parsing_and_filters(spark):
     assert got[6] == (7, "API_KEY", "abc", False)
     assert rows(config.sensitive_keys(df), "line_no") == [(5,), (7,)]
     assert rows(config.unresolved_refs(df), "line_no", "rn") == [(5, 1)]
+
+
+def test_repeated_secret_has_two_offsets_and_open_reference_is_a_finding(spark):
+    lines = spark.createDataFrame([(1, 1, "REDIS_AUTH=abc x REDIS_AUTH=abc"), (2, 1, "REDIS_AUTH=${X}realsecret"), (3, 1, "REDIS_AUTH=${X}")],
+                                  "doc_id long, line_no long, line string")
+    got = secrets.scan_lines(lines, ["doc_id"])
+    assert rows(got, "doc_id", "offset") == [(1, 1), (1, 18), (2, 1)]
+    keyed = secrets.scan_lines(lines, ["doc_id"], key="k")
+    assert {r.match_hash for r in got.collect()}.isdisjoint({r.match_hash for r in keyed.collect()})

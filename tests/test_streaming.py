@@ -111,3 +111,29 @@ def test_ingest_events_into_a_table(spark, tmp_path):
                            f"{tmp_path}/ck", available_now=True)
     q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/clean").count() == ev.count()
+
+
+def _three_files(spark, tmp_path, parts, schema):
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+            .parquet(f"{tmp_path}/in"))
+
+
+def test_loop_alert_survives_a_file_without_its_trace(spark, tmp_path):
+    base = dt.datetime(2024, 1, 10, 12)
+    span = lambda t, i: (t, "memory_search", base + dt.timedelta(seconds=i))
+    parts = [[span("a", i) for i in range(6)], [span("b", 6)], [span("a", i) for i in range(7, 13)]]
+    stream = _three_files(spark, tmp_path, parts, "trace_id string, name string, start_ts timestamp_ntz")
+    out = _run(spark, stateful.loop_alerts(stream, "memory_search", 10, watermark="1 hour"))
+    assert rows(out) == [("a", 11)]
+
+
+def test_merge_keeps_the_newest_value_across_files(spark, tmp_path):
+    base = dt.datetime(2024, 1, 10, 12)
+    at = lambda i: base + dt.timedelta(seconds=i)
+    parts = [[(1, "a", at(5), "k", "new")], [(2, "b", at(6), "k", "x")], [(3, "a", at(1), "k", "old"), (4, "a", at(7), "j", "y")]]
+    stream = _three_files(spark, tmp_path, parts, "seq long, trace_id string, ts timestamp_ntz, meta_key string, meta_value string")
+    out = _run(spark, stateful.merge_trace_updates_stream(stream, watermark="1 hour"), mode="update")
+    latest = out.groupBy("trace_id", "meta_key").agg(F.max_by("meta_value", "version").alias("v"))
+    assert rows(latest, "trace_id", "meta_key", "v") == [("a", "j", "y"), ("a", "k", "new"), ("b", "k", "x")]

@@ -2,7 +2,7 @@
 
 Usage: python tools/oracle_check.py [sf_dir] [name ...]
 Values are compared order-insensitively with columns sorted by name;
-numbers are compared after rounding to 6 decimals.
+numbers are compared to 12 significant digits.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def canon(v):
     if isinstance(v, bool):
         return bool(v)
     if isinstance(v, (int, float, decimal.Decimal)):
-        return f"{float(v):.6f}"
+        return f"{float(v):.12g}"
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
