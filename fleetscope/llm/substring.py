@@ -131,11 +131,14 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .filter(F.coalesce(elsewhere, F.lit(True))).select("id", "start", "size"))
     # Different paths with the same least hash may share some edges.
     mixed = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("own")).filter("m > 1 or own")
-    opened = stored(
-        semi_join(nodes, stored(mixed.select("least"), "mixed-least"), "least", max_broadcast)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-        .select("least", F.expr(f"substring(prints, i * {PRINT} + 1, {PRINT})").alias("print"), F.col("source.id").alias("id"),
-                (F.col("source.start") + F.col("i")).alias("start")), "edges")
+    edges = (semi_join(nodes, stored(mixed.select("least"), "mixed-least"), "least", max_broadcast)
+             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+             .withColumn("print", F.expr(f"substring(prints, i * {PRINT} + 1, {PRINT})"))
+             .select("least", "print", F.col("source.id").alias("id"), (F.col("source.start") + F.col("i")).alias("start"),
+                     F.xxhash64("least", "print").alias("edge")))
+    # Most edges occur once: only a hash of each is shuffled to find those that do not.
+    twice = stored(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge"), "repeated-edges")
+    opened = stored(semi_join(edges, twice, "edge", max_broadcast).drop("edge"), "edges")
     firsts = opened.groupBy("least", "print").agg(source, F.count(F.lit(1)).alias("n")).filter("n > 1")
     single = (opened.join(firsts, ["least", "print"]).filter(F.coalesce(elsewhere, F.lit(True)))
               .select("id", "start", F.lit(1).alias("size")))

@@ -17,7 +17,7 @@ _LOWER[0x41:0x5B] += 0x20
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Odd multipliers of the byte polynomial and of two independent word polynomials.
 BYTE_STEP, WORD_STEP, CHECK_STEP = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 
 class _Powers:
@@ -128,7 +128,7 @@ class Runs:
         return mix(out + (end - begin).astype(np.uint64))
 
 
-def slices(batch, column: int, most: int = 1 << 21):
+def slices(batch, column: int, most: int = 1 << 20):
     """Slices of a batch holding about ``most`` bytes of text each (one text at least)."""
     _, at = raw_bytes(batch.column(column))
     begin = 0
