@@ -34,9 +34,11 @@ def pack_vectors(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, i
 
     ``limits``: tokens, segments, loss-bearing tokens of a sequence.  With
     ``min_cut`` > 0 pieces may be cut to fill a gap of at least that many
-    tokens (every token but a piece's first then bears loss).  A piece over a
-    limit must be cut or refused by the caller.
+    tokens (every token but a piece's first then bears loss).  A piece that
+    exceeds a limit by itself is an error.
     """
+    if len(tokens) and (tokens.max() > limits[0] or limits[1] < 1 or loss.max() > limits[2]):
+        raise ValueError("a piece exceeds the limits of a sequence")
     tokens, loss = tokens.astype(np.float64), loss.astype(np.float64)
     begin = np.zeros(len(tokens), np.int64)
     cap = np.asarray(limits, np.float64)
