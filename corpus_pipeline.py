@@ -63,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", "snappy")
     return STAGES[-1][1](spark, docs, sf_dir)

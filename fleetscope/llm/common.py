@@ -40,10 +40,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back (cuts lineage)."""
+def stored(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back (cuts lineage).
+
+    Most of what is stored are hashes, which do not compress; many small
+    compressed files would each hold native buffers in the executors.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
