@@ -25,13 +25,26 @@ def _regular(files: DataFrame) -> DataFrame:
     return files.filter(~F.col("is_link")) if "is_link" in files.columns else files
 
 
+def _fits(name: str, glob: str):
+    """A glob as a condition: equality or prefix and suffix where that says the same (and can be pushed), else a regex."""
+    parts = glob.split("*")
+    if len(parts) > 2 or any(c in glob for c in "?[]"):
+        return F.col(name).rlike(glob_to_regex(glob))
+    if len(parts) == 1:
+        return F.col(name) == glob
+    head, tail = parts
+    cond = F.length(name) >= len(head) + len(tail)
+    cond = F.col(name).startswith(head) & cond if head else cond
+    return cond & F.col(name).endswith(tail) if tail else cond
+
+
 def match_names(files: DataFrame, include: str | None = None, exclude: Sequence[str] = DEFAULT_EXCLUDES,
                 prefix: str = "backup", name: str = "name") -> DataFrame:
     """FL5: include glob (``<prefix>-*.tar.gz`` by default), minus base-name excludes."""
     inc = include or ARCHIVE_GLOB.format(prefix=prefix)
-    cond = F.col(name).rlike(glob_to_regex(inc))
+    cond = _fits(name, inc)
     for ex in exclude:
-        cond = cond & ~F.col(name).rlike(glob_to_regex(ex))
+        cond = cond & ~_fits(name, ex)
     return files.filter(cond)
 
 

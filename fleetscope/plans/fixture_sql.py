@@ -70,7 +70,7 @@ select p_partkey as service,
        concat('3.',
        cast(p_size as string), '.',
        cast(p_partkey % 10 as string)) as pinned,
-       case when p_partkey % 13 = 0 then null when p_partkey % 17 = 0 then 'latest' else concat('3.',
+       case when p_partkey % 13 = 0 then null when p_partkey % 17 = 0 then 'latest' when p_partkey % 19 = 0 then '2024-01-05' when p_partkey % 7 = 0 then concat('3.', cast(p_size as string)) else concat('3.',
        cast(p_partkey * 7 % 50 as string), '.0') end as newest
 from part""",
     "v_commits": """

@@ -170,6 +170,8 @@ def v_versions(spark, sf_dir) -> DataFrame:
                       (F.col("p_partkey") % 10).cast("string"))
     newest = (F.when(F.col("p_partkey") % 13 == 0, F.lit(None))
               .when(F.col("p_partkey") % 17 == 0, F.lit("latest"))
+              .when(F.col("p_partkey") % 19 == 0, F.lit("2024-01-05"))
+              .when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("3."), F.col("p_size").cast("string")))
               .otherwise(F.concat(F.lit("3."), (F.col("p_partkey") * 7 % 50).cast("string"), F.lit(".0"))))
     return p.select(F.col("p_partkey").alias("service"), pinned.alias("pinned"), newest.alias("newest"))
 

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .fixture_sql import with_views
 from ..operators import catalog, config, costs, fleet, logs, metrics, releases, secrets, traces
-from ..operators.catalog import DEFAULT_EXCLUDES
-from ..functions import glob_to_regex
 from ..streaming import batch_forms, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,14 +481,18 @@ def q_merge_trace_updates(spark, sf):
 
 # --------------------------------------------------------------------------- catalog
 
-_ARCHIVE_RE = glob_to_regex("backup-*.tar.gz")
-_EXCL = " and ".join(f"not regexp_matches(name, '{glob_to_regex(g)}')" for g in DEFAULT_EXCLUDES)
-
-
-@register("match_names", with_views(f"select * from v_files where regexp_matches(name, '{_ARCHIVE_RE}') and {_EXCL}",
-                                    "v_files"))
+@register("match_names", with_views("""
+, odd as (select * replace (case when changed and not in_primary then '.DS_Store' when changed and not in_replica then concat(name, '.log')
+                                 when changed and host like '1%' then '.sync-lock' when changed then 'backup-.zip' else name end as name)
+          from v_files)
+select * from odd where name not in ('.sync-lock', '.DS_Store', '.docker-backup-lock') and not ends_with(name, '.log')
+  and length(name) > 4 and name like 'backup%'""", "v_files"))
 def q_match_names(spark, sf):
-    return catalog.match_names(fx.v_files(spark, sf), prefix="backup")
+    name = (F.when(F.col("changed") & ~F.col("in_primary"), F.lit(".DS_Store"))
+            .when(F.col("changed") & ~F.col("in_replica"), F.concat("name", F.lit(".log")))
+            .when(F.col("changed") & F.col("host").startswith("1"), F.lit(".sync-lock"))
+            .when(F.col("changed"), F.lit("backup-.zip")).otherwise(F.col("name")))
+    return catalog.match_names(fx.v_files(spark, sf).withColumn("name", name), include="backup*")
 
 
 @register("archive_stamps", with_views(r"""
