@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .fixture_sql import with_views
 from ..operators import catalog, config, costs, fleet, logs, metrics, releases, secrets, traces
+from .. import functions as fn
+from ..sources.containers import parse_container_stats
+from ..sources.logs import parse_bracketed_logs, parse_service_lines
 from ..streaming import batch_forms, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -929,3 +932,79 @@ select tag, regexp_replace(tag, '^v', '') as version, tag_ts, lag(tag) over (ord
 from t""", "v_commits"))
 def q_release_pairs(spark, sf):
     return releases.release_pairs(fx.v_commits(spark, sf), REPO_URL)
+
+
+# --------------------------------------------------------------------------- parsing halves of the sources
+
+def _stamp(ts: str = "ts"):
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+@register("parse_bracketed_logs", """
+select event_id, case event_id % 4 when 0 then ts_s when 3 then ts_s end as ts,
+       case event_id % 4 when 0 then 'ERROR' when 3 then 'INFO' end as level,
+       case event_id % 4 when 1 then '[Step 3/10] ' || event_type when 2 then '=====' else event_type end as text
+from (select *, date_trunc('second', ts) as ts_s from events)""")
+def q_parse_bracketed_logs(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    line = (F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), _stamp(), F.lit("] ERROR: "), "event_type"))
+            .when(F.col("event_id") % 4 == 1, F.concat(F.lit("[Step 3/10] "), "event_type"))
+            .when(F.col("event_id") % 4 == 2, F.lit("====="))
+            .otherwise(F.concat(F.lit("["), _stamp(), F.lit("] INFO: "), "event_type")))
+    return parse_bracketed_logs(ev.select("event_id", line.alias("message"))).drop("message")
+
+
+@register("parse_service_lines", """
+select 'svc' || (user_id % 5) as service, case when event_id % 3 = 0 then event_type else
+         strftime(ts, '%Y-%m-%d') || case when event_id % 3 = 1 then ' ' else 'T' end || strftime(ts, '%H:%M:%S') || ' ' || event_type end as message,
+       '/logs/svc' || (user_id % 5) || '/current' as path, case when event_id % 3 <> 0 then date_trunc('second', ts) end as ts
+from events""")
+def q_parse_service_lines(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    value = (F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+             .when(F.col("event_id") % 3 == 1, F.concat(_stamp(), F.lit(" "), "event_type"))
+             .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), "event_type")))
+    path = F.concat(F.lit("/logs/svc"), (F.col("user_id") % 5).cast("string"), F.lit("/current"))
+    return parse_service_lines(ev.select(value.alias("value"), path.alias("path")))
+
+
+@register("container_stats", """
+select event_id, event_id % 100 + 0.5::double as cpu_pct,
+       cast(case when event_id % 2 = 0 then (event_id % 7 + 1.5) * 1073741824 else (event_id % 500) * 1048576 end as bigint) as mem_used_bytes,
+       cast(8589934592 as bigint) as mem_limit_bytes
+from events""")
+def q_container_stats(spark, sf):
+    n = F.col("event_id")
+    used = F.when(n % 2 == 0, F.concat((n % 7 + 1).cast("string"), F.lit(".5GiB"))).otherwise(F.concat((n % 500).cast("string"), F.lit("MiB")))
+    text = fx.table(spark, sf, "events").select(
+        "event_id", F.concat((n % 100).cast("string"), F.lit(".5%")).alias("cpu_text"), F.concat(used, F.lit(" / 8GiB")).alias("mem_text"))
+    return parse_container_stats(text).drop("cpu_text", "mem_text")
+
+
+@register("container_fields", """
+select event_id, case when event_id % 10 = 0 then 3600 else (event_id % 50 + 1) * 60 end as age_seconds,
+       case when event_id % 3 > 0 then 'ghcr.io' end as registry, case when event_id % 3 > 0 then 'acme/app' || (user_id % 5) else 'redis' end as repository,
+       case when event_id % 3 = 1 then '7.' || (event_id % 9) else 'latest' end as tag,
+       cast(event_id % 4 + 2 as integer) as n_ports, case when event_id % 5 = 0 then null else event_id % 5 = 1 end as flag,
+       case when event_id % 5 = 2 then event_id end as number
+from events""")
+def q_container_fields(spark, sf):
+    """SF3, SF6, SF7 and SF15 over rendered container listings."""
+    n = F.col("event_id")
+    age = F.when(n % 10 == 0, F.lit("About an hour ago")).otherwise(F.concat((n % 50 + 1).cast("string"), F.lit(" minutes ago")))
+    app = F.concat(F.lit("ghcr.io/acme/app"), (F.col("user_id") % 5).cast("string"))
+    image = F.when(n % 3 == 0, F.lit("redis")).when(n % 3 == 1, F.concat(app, F.lit(":7."), (n % 9).cast("string"))).otherwise(app)
+    ports = F.concat(F.lit("0.0.0.0:7000-"), (7000 + n % 4).cast("string"), F.lit("->7000-"), (7000 + n % 4).cast("string"), F.lit("/tcp, 9000/udp"))
+    flag = F.when(n % 5 == 0, F.lit("maybe")).when(n % 5 == 1, F.lit("Yes")).otherwise(F.lit("off"))
+    parts = fn.image_parts(image)
+    return fx.table(spark, sf, "events").select(
+        "event_id", fn.relative_age_seconds(age).alias("age_seconds"), parts["registry"].alias("registry"),
+        parts["repository"].alias("repository"), parts["tag"].alias("tag"), F.size(fn.port_rows(ports)).alias("n_ports"),
+        fn.setting_value(flag, "bool").alias("flag"),
+        fn.setting_value(F.when(n % 5 == 2, n.cast("string")).otherwise(F.lit("x1"))).alias("number"))
+
+
+@register("strip_tags", r"""
+select page_id, trim(regexp_replace(html, '<[^>]*>', '', 'g')) as text from pages""")
+def q_strip_tags(spark, sf):
+    return fx.table(spark, sf, "pages").select("page_id", fn.strip_tags("html").alias("text"))

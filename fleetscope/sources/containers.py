@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import human_size_bytes
+
 # Header names of the listing, in order, and our column names.
 HEADERS = [("CONTAINER ID", "container_id"), ("IMAGE", "image"), ("COMMAND", "command"), ("CREATED", "created"),
            ("STATUS", "status"), ("PORTS", "ports"), ("NAMES", "name")]
@@ -34,3 +36,12 @@ def read_container_snapshots(spark: SparkSession, path: str, host_from: str = "p
         cols.append(F.nullif(F.trim(piece), F.lit("")).alias(name))
     host = F.element_at(F.split("path", "/"), -2) if host_from == "parent" else F.lit(None).cast("string")
     return rows.select(F.col("snapshot_ts"), host.alias("host"), *cols)
+
+
+def parse_container_stats(df: DataFrame, cpu: str = "cpu_text", mem: str = "mem_text") -> DataFrame:
+    """Container statistics text (``12.5%`` and ``1.2GiB / 4GiB``) -> cpu_pct, mem_used_bytes, mem_limit_bytes."""
+    sides = F.split(F.col(mem), r"\s*/\s*")
+    return df.withColumns({
+        "cpu_pct": F.regexp_extract(cpu, r"^\s*([0-9.]+)\s*%", 1).try_cast("double"),
+        "mem_used_bytes": human_size_bytes(F.get(sides, F.lit(0))),
+        "mem_limit_bytes": human_size_bytes(F.get(sides, F.lit(1)))})

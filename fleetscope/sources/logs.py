@@ -19,11 +19,21 @@ def read_service_logs(spark: SparkSession, path: str, service_from: str = "paren
     """
     raw = spark.read.text(path, recursiveFileLookup=True).select(
         "value", F.col("_metadata.file_path").alias("path"))
+    return parse_service_lines(raw, service_from).withColumn("line_id", F.monotonically_increasing_id())
+
+
+#: A time at the start of a log line, in brackets or not.
+STAMPED = r"^\[?(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})"
+
+
+def parse_service_lines(raw: DataFrame, service_from: str = "parent") -> DataFrame:
+    """SRC1, parsing half: (value, path) -> service, message, path, ts (null where a line has no time)."""
     parts = F.split("path", "/")
     service = (F.element_at(parts, -2) if service_from == "parent"
                else F.regexp_replace(base_name("path"), r"\.[^.]*$", ""))
-    return raw.select(service.alias("service"), F.col("value").alias("message"), "path",
-                      F.monotonically_increasing_id().alias("line_id"))
+    stamp = F.concat_ws(" ", F.regexp_extract("value", STAMPED, 1), F.regexp_extract("value", STAMPED, 2))
+    ts = F.when(F.col("value").rlike(STAMPED), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
+    return raw.select(service.alias("service"), F.col("value").alias("message"), "path", ts.alias("ts"))
 
 
 def parse_bracketed_logs(df: DataFrame, line: str = "message") -> DataFrame:
