@@ -107,3 +107,28 @@ def test_service_from_file_name(spark, tmp_path):
     _write(f"{tmp_path}/all/redis.log", "ok\n")
     df = sources.read_service_logs(spark, f"{tmp_path}/all", service_from="file")
     assert rows(df, "service", "message") == [("redis", "ok"), ("web", "ERROR: a"), ("web", "fine")]
+
+
+def test_broken_page_fails_the_read(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.json").write_text('{"data": [{"id": "x"}]}')
+    (tmp_path / "t" / "b.json").write_text('{"data": [{"id": ')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        sources.read_traces(spark, str(tmp_path / "t")).collect()
+
+
+def test_second_export_of_a_day_replaces_it(spark, tmp_path):
+    day = spark.sql("select 1 as x, date'2024-01-01' as day")
+    other = spark.sql("select 2 as x, date'2024-01-02' as day")
+    for df in (day, other, day):
+        target = sources.export_batch(df, str(tmp_path))
+    assert sorted(r.x for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_service_log_lines_have_their_time(spark, tmp_path):
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / "current").write_text("[2024-01-02 03:04:05] ERROR: x\n2024-01-02T03:04:06 ok\nplain\n")
+    got = {r.message: str(r.ts) for r in sources.read_service_logs(spark, str(tmp_path)).collect()}
+    assert got == {"[2024-01-02 03:04:05] ERROR: x": "2024-01-02 03:04:05", "2024-01-02T03:04:06 ok": "2024-01-02 03:04:06", "plain": "None"}
