@@ -12,12 +12,15 @@ corners does the same.
    any fixed order (prefix filter).  The order puts shingles that tasks met
    repeatedly last, so a passage or line held by many texts is hardly ever a
    block.  Blocks with the same members are kept once.
-3. Stars.  In each block every member is paired with the least one; pairs whose
-   point bound suffices are verified by exact intersection; components follow.
+3. Stars.  Each member is paired with the least members of its blocks, the two
+   it meets most often; pairs whose point bound suffices are verified by exact
+   intersection; components follow.
 4. R-tree.  A block whose members still lie in different components is indexed:
    points packed into leaves, leaves' boxes compared first, then the points of
-   surviving leaf pairs; only pairs across components and within bounds are
-   verified.  Large blocks are divided into tiles of bounded size.
+   surviving leaf pairs; only pairs across components and within bounds go on.
+   The bound is taken again from fine points, whose number of groups grows with
+   the set, and what is left is verified.  Large blocks are divided into tiles
+   of bounded size.
 
 Every linked pair meets in a block, and is either inside one component already
 or verified in step 4, so components are exact.  No task gathers more than two
@@ -42,6 +45,8 @@ from .wordhash import Runs, Words, mix, slices
 
 GROUPS = 32
 LEAF = 64
+#: Set sizes up to which a fine point has 1, 8, 64 times GROUPS groups (512 times beyond).
+FINER = np.asarray([7 * GROUPS, 56 * GROUPS, 448 * GROUPS])
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +68,23 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(words.count) + 1))
 
 
+def _fine_points(value: np.ndarray, owner: np.ndarray, size: np.ndarray):
+    """Counts in a byte each, in more groups the larger the set, so that sets without anything in common tell apart."""
+    import pyarrow as pa
+
+    groups = GROUPS << (3 * np.searchsorted(FINER, size, side="left"))
+    begin = np.concatenate([[0], np.cumsum(groups)])
+    counts = np.bincount(begin[owner] + (value & (groups[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1]))
+    raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(raw)])
+
+
 def _facts(n: int):
     """Rows of two kinds: texts (id, size, set digest, point) and shingles met repeatedly in the task (shingle, times)."""
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "size", "d1", "d2", "point", "shingle", "times"]
+        names = ["id", "size", "d1", "d2", "point", "fine", "shingle", "times"]
         kind, held, rows = None, [], 0
 
         def repeated():
@@ -77,7 +93,7 @@ def _facts(n: int):
             value, times = value[times > 1], times[times > 1]
             m = len(value)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), *[pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())],
+                [pa.nulls(m, kind), *[pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())],
                  pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
         for whole in batches:
@@ -96,10 +112,11 @@ def _facts(n: int):
                     [batch.column(0), pa.array(size.astype(np.int32)), pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                      pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
                      pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(0, (m + 1) * width, width, dtype=np.int32)), pa.py_buffer(raw)]),
+                     _fine_points(value, owner, size),
                      pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
                 held.append(value)
                 rows += len(value)
-                if rows > 4_000_000:
+                if rows > 1_500_000:
                     yield repeated()
                     held, rows = [], 0
         if held:
@@ -271,8 +288,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
     spark = docs.sparkSession
-    facts = stored(docs.mapInArrow(_facts(n), f"id {id_type}, size int, d1 long, d2 long, point binary, shingle long, times long"), "set-facts")
-    rows = facts.filter("size is not null").select("id", "size", "d1", "d2", "point")
+    facts = stored(docs.mapInArrow(_facts(n), f"id {id_type}, size int, d1 long, d2 long, point binary, fine binary, shingle long, times long"), "set-facts")
+    rows = facts.filter("size is not null").select("id", "size", "d1", "d2", "point", "fine")
     nonempty = rows.filter("size > 0 and id is not null")
     classes = nonempty.groupBy("size", "d1", "d2").agg(F.min("id").alias("rep"))
     members = stored(nonempty.select("id", "size", "d1", "d2").join(classes, ["size", "d1", "d2"]).select("id", "rep").distinct(), "set-members")
@@ -287,28 +304,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .select("id", F.explode("keys").alias("key")))
 
     # Blocks: shingles that several sets have among their first; equal member lists only once.
-    blocks = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"),
-                                      F.min("id").alias("head"), F.max("id").alias("tail")).filter("n > 1"))
-    blocks = stored(blocks.groupBy("n", "sum", "head", "tail").agg(F.min("key").alias("key")).select("key", "n", "head"), "blocks")
+    blocks = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 48) - 1))).alias("sum"),
+                                      F.min("id").alias("head")).filter("n > 1"))
+    blocks = stored(blocks.groupBy("n", "sum", "head").agg(F.min("key").alias("key")).select("key", "n", "head"), "blocks")
     in_blocks = stored(semi_join(keys, blocks.select("key"), "key", max_broadcast), "block-members")
     heads = F.broadcast(blocks) if blocks.limit(max_broadcast + 1).count() <= max_broadcast else blocks
     in_blocks = in_blocks.join(heads, "key")
 
-    points = rows.select("id", "size", "point").dropDuplicates(["id"])
-    stars = in_blocks.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    tested = stored(_within_bounds(stars, points, percent), "star-pairs")
+    # A set's two most frequent heads: copies share most of their blocks, chance neighbours few.
+    votes = in_blocks.filter("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("votes"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("n"), "head"))), 1, 2)
+    stars = (votes.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("b"), F.explode("best").alias("v"))
+             .select(F.col("v.head").alias("a"), "b"))
+    stars = stored(stars, "stars")
+    tested = stored(_within_bounds(stars, facts, percent, max_broadcast), "star-pairs")
     links = stored(_verified(docs, tested, n, percent, max_broadcast), "star-links")
     first = components(links)
 
     # Blocks whose members lie in more than one component, as tiles of an R-tree join.
-    placed = (in_blocks.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-              .join(points, "id").select("key", "n", "id", "comp", "size", "point"))
+    placed = stored(in_blocks.join(first, "id", "left").select("key", "n", "id", F.coalesce("comp", "id").alias("comp")), "placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     split = stored(split, "split-blocks")
     open_blocks = semi_join(placed, split, "key", max_broadcast)
+    open_ids = stored(open_blocks.select("id").distinct(), "open-ids")
+    points = semi_join(facts.select("id", "size", "point"), open_ids, "id", max_broadcast).dropDuplicates(["id"])
+    open_blocks = open_blocks.join(points, "id")
     searched = _tiled(open_blocks, tile).mapInArrow(_search_blocks(percent), f"a {id_type}, b {id_type}")
-    further = searched.distinct().join(tested, ["a", "b"], "left_anti")
-    more = stored(_verified(docs, stored(further, "tree-pairs"), n, percent, max_broadcast), "tree-links")
+    further = stored(searched.distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
+    further = stored(_within_bounds(further, facts, percent, max_broadcast), "near-pairs")
+    more = stored(_verified(docs, further, n, percent, max_broadcast), "tree-links")
     final = components(links.unionByName(more), "all-components")
 
     comp_of = (members.join(final.withColumnRenamed("id", "rep"), "rep", "left")
@@ -335,11 +359,28 @@ def _tiled(rows: DataFrame, tile: int) -> DataFrame:
             .repartition("key", "part").sortWithinPartitions("key", "part", "side"))
 
 
-def _within_bounds(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed coordinate minima still allow the similarity."""
-    p = points.select("id", F.struct("size", "point").alias("p"))
-    joined = (pairs.join(p.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a")
-              .join(p.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b"))
+def _some(rows: DataFrame, ids: DataFrame, col: str, max_broadcast: int) -> DataFrame:
+    """``rows`` whose id is in column ``col`` of the (stored) pairs."""
+    return semi_join(rows, ids.select(F.col(col).alias("id")).distinct(), "id", max_broadcast)
+
+
+def _shared_bound(a: bytes, b: bytes) -> float:
+    """Most shingles two sets can share, from their fine points; the finer one is folded to the other's groups."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if x.max() == 255 or y.max() == 255:
+        return np.inf  # a count that does not fit a byte bounds nothing
+    if len(x) != len(y):
+        n = min(len(x), len(y))
+        x, y = x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)
+    return float(np.minimum(x, y).sum())
+
+
+def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int, max_broadcast: int) -> DataFrame:
+    """Pairs (stored) whose fine points still allow the similarity."""
+    # Ids that several rows share give each of their pairs more than once; verified links are made distinct.
+    fine = rows.filter("size > 0").select("id", F.struct("size", "fine").alias("p"))
+    joined = (pairs.join(_some(fine, pairs, "a", max_broadcast).select(F.col("id").alias("a"), F.col("p").alias("pa")), "a")
+              .join(_some(fine, pairs, "b", max_broadcast).select(F.col("id").alias("b"), F.col("p").alias("pb")), "b"))
 
     def run(batches):
         import pyarrow as pa
@@ -347,27 +388,24 @@ def _within_bounds(pairs: DataFrame, points: DataFrame, percent: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sides = []
-            for name in ("pa", "pb"):
-                column = batch.column(name)
-                sides.append((np.asarray(column.field("size"), np.int64),
-                              np.frombuffer(b"".join(column.field("point").to_pylist()), "<i4").reshape(-1, GROUPS)))
-            (na, a), (nb, b) = sides
-            keep = RTree._enough(np.minimum(a, b).sum(axis=1), na, nb, percent)
+            (na, a), (nb, b) = ([batch.column(c).field(f).to_pylist() for f in ("size", "fine")] for c in ("pa", "pb"))
+            keep = [bool(RTree._enough(_shared_bound(x, y), m, n, percent)) for x, y, m, n in zip(a, b, na, nb)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, max_broadcast: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection."""
+    """The pairs (stored; a, b) whose sets are similar enough, by exact intersection.
+
+    Sets are made where the texts are read; only the second ones travel, to the first ones.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
-    sets = semi_join(docs, needed, "id", max_broadcast)
-    sets = stored(sets.mapInArrow(_sets(n), f"id {kind}, shingles array<long>"), "pair-sets")
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
+    sets = lambda c: (_some(docs, pairs, c, max_broadcast).mapInArrow(_sets(n), f"id {kind}, shingles array<long>")
+                      .select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")))
+    few = pairs.limit(max_broadcast + 1).count() <= max_broadcast
+    both = sets("b").join(F.broadcast(pairs) if few else pairs, "b").join(sets("a"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
     return both.filter(100 * shared.cast("long") >= percent * union.cast("long")).select("a", "b").distinct()
