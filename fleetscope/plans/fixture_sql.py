@@ -52,7 +52,7 @@ join part on p_partkey = l_partkey""",
     "v_status": """
 select event_id,
        cast(user_id as string) as host, concat('c', cast(event_id % 4 as string)) as container, ts as snapshot_ts,
-       case event_type when 'view' then 'Up 5 minutes (healthy)' when 'error' then 'Up 2 hours (unhealthy)' when 'click' then 'Up 26 minutes' when 'purchase' then 'Exited (143) 29 hours ago' else 'Up 3 seconds (health: starting)' end as status
+       case when user_id % 5 = 0 then 'Up 5 minutes (healthy)' else case event_type when 'view' then 'Up 5 minutes (healthy)' when 'error' then 'Up 2 hours (unhealthy)' when 'click' then 'Up 26 minutes' when 'purchase' then 'Exited (143) 29 hours ago' else 'Up 3 seconds (health: starting)' end end as status
 from events""",
     "v_config": """
 select c_custkey as line_no,
@@ -93,8 +93,8 @@ select event_id, event_type as container, ts, value / 5 as cpu_pct,
 from events""",
     "v_probes": """
 select event_id, cast(user_id as string) as host, ts,
-       case event_id % 3 when 0 then 'web' when 1 then 'object_store' else 'analytics' end as component,
-       case event_type when 'view' then 200 when 'click' then 302 when 'signup' then 403 when 'purchase' then 500 else null end as http_code
+       case when event_id % 3 = 0 or (user_id % 7 = 3 and event_id % 3 = 2) then 'web' when event_id % 3 = 1 then 'object_store' else 'analytics' end as component,
+       case when user_id % 5 = 0 then 200 else case event_type when 'view' then 200 when 'click' then 302 when 'signup' then 403 when 'purchase' then 500 else null end end as http_code
 from events""",
     "v_updates": """
 select event_id as seq, md5(cast(user_id as string)) as trace_id, ts, event_type as meta_key,

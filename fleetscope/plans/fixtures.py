@@ -132,9 +132,9 @@ def v_status(spark, sf_dir) -> DataFrame:
     return ev.select(
         "event_id", F.col("user_id").cast("string").alias("host"),
         F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("container"), F.col("ts").alias("snapshot_ts"),
-        F.expr("case event_type when 'view' then 'Up 5 minutes (healthy)' when 'error' then "
-               "'Up 2 hours (unhealthy)' when 'click' then 'Up 26 minutes' when 'purchase' then "
-               "'Exited (143) 29 hours ago' else 'Up 3 seconds (health: starting)' end").alias("status"))
+        F.expr("case when user_id % 5 = 0 then 'Up 5 minutes (healthy)' else case event_type when 'view' then "
+               "'Up 5 minutes (healthy)' when 'error' then 'Up 2 hours (unhealthy)' when 'click' then 'Up 26 minutes' when 'purchase' then "
+               "'Exited (143) 29 hours ago' else 'Up 3 seconds (health: starting)' end end").alias("status"))
 
 
 def v_config(spark, sf_dir) -> DataFrame:
@@ -207,9 +207,10 @@ def v_stats(spark, sf_dir) -> DataFrame:
 
 def v_probes(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    component = F.expr("case event_id % 3 when 0 then 'web' when 1 then 'object_store' else 'analytics' end")
-    code = F.expr("case event_type when 'view' then 200 when 'click' then 302 when 'signup' then 403 "
-                  "when 'purchase' then 500 else null end")
+    component = F.expr("case when event_id % 3 = 0 or (user_id % 7 = 3 and event_id % 3 = 2) then 'web' when eve"
+                       "nt_id % 3 = 1 then 'object_store' else 'analytics' end")
+    code = F.expr("case when user_id % 5 = 0 then 200 else case event_type when 'view' then 200 when 'click' then 302 when 'signup' then 403 "
+                  "when 'purchase' then 500 else null end end")
     return ev.select("event_id", F.col("user_id").cast("string").alias("host"), "ts",
                      component.alias("component"), code.alias("http_code"))
 
