@@ -207,8 +207,8 @@ def v_stats(spark, sf_dir) -> DataFrame:
 
 def v_probes(spark, sf_dir) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    component = F.expr("case when event_id % 3 = 0 or (user_id % 7 = 3 and event_id % 3 = 2) then 'web' when eve"
-                       "nt_id % 3 = 1 then 'object_store' else 'analytics' end")
+    component = F.expr("case when event_id % 3 = 0 or (user_id % 7 = 3 and event_id % 3 = 2) then 'web' "
+                       "when event_id % 3 = 1 then 'object_store' else 'analytics' end")
     code = F.expr("case when user_id % 5 = 0 then 200 else case event_type when 'view' then 200 when 'click' then 302 when 'signup' then 403 "
                   "when 'purchase' then 500 else null end end")
     return ev.select("event_id", F.col("user_id").cast("string").alias("host"), "ts",
