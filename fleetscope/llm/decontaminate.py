@@ -110,13 +110,16 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({_RAW_GAP}{_RAW_WORD})"), F.lit(1))
     tail = F.regexp_extract(F.col(text_col), f"({_RAW_GAP})$", 1)
     gone = F.flatten(F.transform("__f.spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
-    cut = F.concat(F.array_join(F.transform(kept, lambda i: F.get(F.col("__p"), i)), ""), F.col("__tail"))
+    # Bound to a lambda's variable, pieces and positions are made once a text and not once a word.
+    kept = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["p"]) - 1), s["gone"])
+    joined_words = F.transform(F.array(F.struct(pieces.alias("p"), gone.alias("gone"))),
+                               lambda s: F.array_join(F.transform(kept(s), lambda i: F.get(s["p"], i)), ""))
+    cut = F.concat(F.element_at(joined_words, 1), tail)
     joined = docs.join(spans.withColumnRenamed("id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
     plain = joined.filter(F.col("__f").isNull()).select(*docs.columns)
     changed = (joined.filter(F.col("__f").isNotNull())
                .filter(n_covered(F.col("__f.spans")) < whole_share * F.col("__f.n_words"))
-               .withColumn("__p", pieces).withColumn("__tail", tail).withColumn(text_col, cut))
+               .withColumn(text_col, cut))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return plain.unionByName(changed.select(*docs.columns))
