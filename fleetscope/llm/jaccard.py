@@ -17,10 +17,9 @@ corners does the same.
    intersection; components follow.
 4. R-tree.  A block whose members still lie in different components is indexed:
    points packed into leaves, leaves' boxes compared first, then the points of
-   surviving leaf pairs; only pairs across components and within bounds go on.
-   The bound is taken again from fine points, whose number of groups grows with
-   the set, and what is left is verified.  Large blocks are divided into tiles
-   of bounded size.
+   surviving leaf pairs, then finer points, whose number of groups grows with
+   the set; only pairs across components and within all bounds are verified.
+   Large blocks are divided into tiles of bounded size.
 
 Every linked pair meets in a block, and is either inside one component already
 or verified in step 4, so components are exact.  No task gathers more than two
@@ -45,8 +44,8 @@ from .wordhash import Runs, Words, mix, slices
 
 GROUPS = 32
 LEAF = 64
-#: Set sizes up to which a fine point has 1, 8, 64 times GROUPS groups (512 times beyond).
-FINER = np.asarray([7 * GROUPS, 56 * GROUPS, 448 * GROUPS])
+#: Most groups of a fine point, which has two to four groups a shingle up to there.
+FINEST = 4096
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +71,8 @@ def _fine_points(value: np.ndarray, owner: np.ndarray, size: np.ndarray):
     """Counts in a byte each, in more groups the larger the set, so that sets without anything in common tell apart."""
     import pyarrow as pa
 
-    groups = GROUPS << (3 * np.searchsorted(FINER, size, side="left"))
+    wanted = np.clip(2 * size, GROUPS, FINEST)
+    groups = 1 << np.ceil(np.log2(wanted)).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(groups)])
     counts = np.bincount(begin[owner] + (value & (groups[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1]))
     raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
@@ -84,7 +84,7 @@ def _facts(n: int):
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "size", "d1", "d2", "point", "fine", "shingle", "times"]
+        names = ["id", "size", "d1", "d2", "fine", "shingle", "times"]
         kind, held, rows = None, [], 0
 
         def repeated():
@@ -93,7 +93,7 @@ def _facts(n: int):
             value, times = value[times > 1], times[times > 1]
             m = len(value)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), *[pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())],
+                [pa.nulls(m, kind), *[pa.nulls(m, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())],
                  pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
         for whole in batches:
@@ -105,13 +105,9 @@ def _facts(n: int):
                 other = np.concatenate([[0], np.cumsum(mix(value ^ np.uint64(0x2545F491)))]).astype(np.uint64)
                 m = len(size)
                 owner = np.repeat(np.arange(m), size)
-                point = np.bincount(owner * GROUPS + (value & np.uint64(GROUPS - 1)).astype(np.int64), minlength=m * GROUPS)
-                raw = point.astype("<i4").tobytes()
-                width = 4 * GROUPS
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(size.astype(np.int32)), pa.array((total[at[1:]] - total[at[:-1]]).view(np.int64)),
                      pa.array((other[at[1:]] - other[at[:-1]]).view(np.int64)),
-                     pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(np.arange(0, (m + 1) * width, width, dtype=np.int32)), pa.py_buffer(raw)]),
                      _fine_points(value, owner, size),
                      pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
                 held.append(value)
@@ -205,52 +201,103 @@ class RTree:
                     yield self.order[x + a.start], other.order[y + b.start]
 
 
+class _Tile:
+    """Members of one part of a block: ids, components, and fine points at two levels."""
+
+    def __init__(self, rows: dict):
+        self.id, self.comp, self.side = rows["id"], np.asarray(rows["comp"]), np.asarray(rows["side"])
+        self.size = np.asarray(rows["size"], np.int64)
+        fine = [np.frombuffer(x, np.uint8) for x in rows["fine"]]
+        self.level = np.asarray([len(x).bit_length() for x in fine])
+        self.full = np.asarray([x.max() == 255 for x in fine])  # a count that does not fit a byte bounds nothing
+        points = np.stack([x.reshape(-1, GROUPS).sum(axis=0) for x in fine]).astype(np.int64)
+        self.points = np.where(self.full[:, None], self.size[:, None], points)
+        # Sets of comparable size differ by one level at most: the finer point is folded once.
+        self.rows, self.at = {}, {}
+        for lv in np.unique(self.level):
+            own, up = np.flatnonzero(self.level == lv), np.flatnonzero(self.level == lv + 1)
+            folded = [fine[i].reshape(2, -1).sum(axis=0, dtype=np.uint16) for i in up]
+            self.rows[lv] = np.stack([*(fine[i].astype(np.uint16) for i in own), *folded])
+            self.at[lv] = np.full(len(fine), -1)
+            self.at[lv][np.concatenate([own, up])] = np.arange(len(own) + len(up))
+
+    def near(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of members the fine points still allow."""
+        keep = np.zeros(len(x), bool)
+        low = np.minimum(self.level[x], self.level[y])
+        for lv in np.unique(low):
+            at, rows = self.at[lv], self.rows[lv]
+            which = np.flatnonzero((low == lv) & (np.abs(self.level[x] - self.level[y]) < 2))
+            for k in range(0, len(which), 1024):
+                w = which[k:k + 1024]
+                shared = np.minimum(rows[at[x[w]]], rows[at[y[w]]]).sum(axis=1, dtype=np.int64)
+                keep[w] = RTree._enough(shared, self.size[x[w]], self.size[y[w]], percent)
+        return keep | self.full[x] | self.full[y]
+
+    def pairs(self, percent: int):
+        """Pairs (smaller id first) of different components within all bounds."""
+        one, two = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)
+        left = RTree(self.size[one], self.points[one])
+        right = RTree(self.size[two], self.points[two]) if len(two) else left
+        other = two if len(two) else one
+        for x, y in left.pairs(right, percent, not len(two)):
+            x, y = one[x], other[y]
+            apart = self.comp[x] != self.comp[y]
+            x, y = x[apart], y[apart]
+            good = self.near(x, y, percent)
+            for p, q in zip(x[good].tolist(), y[good].tolist()):
+                a, b = self.id[p], self.id[q]
+                yield (a, b) if a < b else (b, a)
+
+
 def _search_blocks(percent: int):
-    """Streams rows sorted by (key, part, side): the tiles of one block part at a time."""
+    """Streams rows sorted by (key, part, side): the tiles of one block part at a time.
+
+    A pair met again in another block of the same task is given once (a bounded memory of pairs).
+    """
     def run(batches):
         import pyarrow as pa
 
-        def emit(group):
-            side = np.asarray(group["side"])
-            ids, comp = group["id"], group["comp"]
-            size = np.asarray(group["size"], np.int64)
-            points = np.frombuffer(b"".join(group["point"]), "<i4").reshape(-1, GROUPS)
-            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            left = RTree(size[one], points[one])
-            right = RTree(size[two], points[two]) if len(two) else left
-            a, b = [], []
-            for x, y in left.pairs(right, percent, not len(two)):
-                for p, q in zip(one[x].tolist(), (two if len(two) else one)[y].tolist()):
-                    if comp[p] != comp[q]:
-                        lo, hi = (p, q) if ids[p] < ids[q] else (q, p)
-                        a.append(ids[lo])
-                        b.append(ids[hi])
-                if len(a) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, id_kind[0]), pa.array(b, id_kind[0])], names=["a", "b"])
-                    a, b = [], []
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, id_kind[0]), pa.array(b, id_kind[0])], names=["a", "b"])
-
-        id_kind = [None]
+        known: set = set()
+        kind = None
+
+        def out(pairs):
+            a, b = zip(*pairs)
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+        def search(group):
+            fresh = []
+            for pair in _Tile(group).pairs(percent):
+                if pair not in known:
+                    known.add(pair)
+                    fresh.append(pair)
+                if len(fresh) >= 50_000:
+                    yield out(fresh)
+                    fresh = []
+            if fresh:
+                yield out(fresh)
+            if len(known) > 500_000:
+                known.clear()
+
         held, current = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            id_kind[0] = batch.schema.field("id").type
-            key = np.asarray(batch.column("key")), np.asarray(batch.column("part"))
-            cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+            kind = batch.schema.field("id").type
+            key, part = np.asarray(batch.column("key")), np.asarray(batch.column("part"))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
             for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, batch.num_rows).tolist()):
-                this = (int(key[0][lo]), int(key[1][lo]))
+                this = (int(key[lo]), int(part[lo]))
                 rows = batch.slice(lo, hi - lo).to_pydict()
                 if this == current:
                     for c in held:
                         held[c] += rows[c]
                 else:
                     if held is not None:
-                        yield from emit(held)
+                        yield from search(held)
                     held, current = rows, this
         if held is not None:
-            yield from emit(held)
+            yield from search(held)
 
     return run
 
@@ -278,7 +325,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75,
                        common_from: int = 32, max_common: int = 4_000_000, max_broadcast: int = 2_000_000,
-                       tile: int = 8192) -> DataFrame:
+                       tile: int = 4096) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id.
 
     ``common_from``: a shingle met so often by the tasks goes last in the prefix
@@ -288,8 +335,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
     spark = docs.sparkSession
-    facts = stored(docs.mapInArrow(_facts(n), f"id {id_type}, size int, d1 long, d2 long, point binary, fine binary, shingle long, times long"), "set-facts")
-    rows = facts.filter("size is not null").select("id", "size", "d1", "d2", "point", "fine")
+    facts = stored(docs.mapInArrow(_facts(n), f"id {id_type}, size int, d1 long, d2 long, fine binary, shingle long, times long"), "set-facts")
+    rows = facts.filter("size is not null").select("id", "size", "d1", "d2", "fine")
     nonempty = rows.filter("size > 0 and id is not null")
     classes = nonempty.groupBy("size", "d1", "d2").agg(F.min("id").alias("rep"))
     members = stored(nonempty.select("id", "size", "d1", "d2").join(classes, ["size", "d1", "d2"]).select("id", "rep").distinct(), "set-members")
@@ -327,11 +374,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     split = stored(split, "split-blocks")
     open_blocks = semi_join(placed, split, "key", max_broadcast)
     open_ids = stored(open_blocks.select("id").distinct(), "open-ids")
-    points = semi_join(facts.select("id", "size", "point"), open_ids, "id", max_broadcast).dropDuplicates(["id"])
+    points = semi_join(facts.select("id", "size", "fine"), open_ids, "id", max_broadcast).dropDuplicates(["id"])
     open_blocks = open_blocks.join(points, "id")
     searched = _tiled(open_blocks, tile).mapInArrow(_search_blocks(percent), f"a {id_type}, b {id_type}")
     further = stored(searched.distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
-    further = stored(_within_bounds(further, facts, percent, max_broadcast), "near-pairs")
     more = stored(_verified(docs, further, n, percent, max_broadcast), "tree-links")
     final = components(links.unionByName(more), "all-components")
 
@@ -355,7 +401,7 @@ def _tiled(rows: DataFrame, tile: int) -> DataFrame:
         (F.least(F.col("own"), t) * F.col("tiles") + F.greatest(F.col("own"), t)).alias("part"),
         (F.col("own") > t).cast("int").alias("side")))
     return (rows.withColumn("tiles", tiles).withColumn("own", own).withColumn("to", F.explode(pairs))
-            .select("key", F.col("to.part").alias("part"), F.col("to.side").alias("side"), "id", "comp", "size", "point")
+            .select("key", F.col("to.part").alias("part"), F.col("to.side").alias("side"), "id", "comp", "size", "fine")
             .repartition("key", "part").sortWithinPartitions("key", "part", "side"))
 
 
