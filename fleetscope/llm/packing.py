@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import batches_of, encoder, texts_of
+from .tokens import encoder, texts_of
+from .wordhash import slices
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -147,9 +148,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
         for whole in batches:
             kind = whole.schema.field(0).type
-            for batch in batches_of(whole):
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                    rows += packer.add(doc_id, np.frombuffer(enc.encode(text) + end, enc.dtype))
+            for batch in slices(whole, 1):
+                for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode_all(texts_of(batch.column(1)))):
+                    rows += packer.add(doc_id, np.frombuffer(data + end, enc.dtype))
                     if len(packer.pool) >= pool:
                         rows += packer.pack(last=False)
                 if len(rows) >= 5_000:

@@ -30,7 +30,8 @@ from pyspark.sql.window import Window as W
 
 from .common import n_partitions, new_path, stored, table
 from .files import committed, open_readable
-from .tokens import batches_of, encoder, texts_of
+from .tokens import encoder, texts_of
+from .wordhash import slices
 
 MANIFEST = "part int, tokens string, docs string, n_docs long, n_tokens long"
 
@@ -102,10 +103,10 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
         with committed(tokens) as stream, committed(docs) as beside:
             out, listed = _Writer(stream, enc.dtype, length, rows_per_batch), pa.ipc.new_file(beside, index)
             for whole in _chain(first, batches):
-                for batch in batches_of(whole):
+                for batch in slices(whole, 1):
                     counts = []
-                    for text in texts_of(batch.column(1)):
-                        ids = np.frombuffer(enc.encode(text) + end, enc.dtype)
+                    for data in enc.encode_all(texts_of(batch.column(1))):
+                        ids = np.frombuffer(data + end, enc.dtype)
                         out.add(ids)
                         counts.append(len(ids))
                     listed.write_batch(pa.record_batch([batch.column(0), pa.array(counts, pa.int64())], schema=index))

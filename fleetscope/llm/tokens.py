@@ -12,14 +12,16 @@ import re
 
 import numpy as np
 
-#: A run of Latin letters (UTF-8, A-Z already lower-cased), then full stops or commas: two pre-tokens at most.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([,.]*)")
+#: Latin letters (UTF-8, A-Z already lower-cased) between runs of ASCII punctuation (without ' and <): up to three
+#: pre-tokens, each encoded on its own.
+_MARKS = rb"[!-&(-/:;=-@\[-`{-~]"
+_PLAIN = re.compile(rb"(" + _MARKS + rb"*)((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)(" + _MARKS + rb"*)")
 
 
 class TextEncoder:
     """``encode(text: bytes) -> bytes``: ids as little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,24 +41,29 @@ class TextEncoder:
         return np.asarray(ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return self._pack(self._ids(text.decode()))
+            return [self._pack(self._ids(t.decode())) for t in texts]
         # A-Z may be lower-cased first: the tokenizer does so, but not inside its special tokens.
-        words = (text if b"<|" in text else text.lower()).split()
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            if len(memo) > self.max_words:
-                memo.clear()
-            self._learn({w for w in words if w not in memo})
-        return b"".join([memo[w] for w in words])
+        if len(memo) > self.max_words:
+            memo.clear()
+        missing = set().union(*split).difference(memo)
+        if missing:
+            self._learn(missing)
+        return [b"".join([memo[w] for w in words]) for words in split]
 
     def _learn(self, words: set[bytes]) -> None:
         memo = self.memo
         plain = {w: m.groups() for w in words if (m := _PLAIN.fullmatch(w))}
         pieces = {p for parts in plain.values() for p in parts if p and p not in memo}
-        letters = [p for p in pieces if p[0] not in b",."]
+        marks = {p for before, _, after in plain.values() for p in (before, after)}
+        for p in [p for p in pieces if p.isalpha()]:  # ASCII letters: the model's own input, as they stand
+            memo[p] = self._pack([t.id for t in self.tokenizer.model.tokenize(p.decode())])
+        letters = [p for p in pieces if p not in marks and not p.isalpha()]
         if letters:
             ids = np.asarray(self._ids(b" ".join(letters).decode()), dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -67,12 +74,12 @@ class TextEncoder:
             for p, end in zip(letters, (cuts * width).tolist()):
                 memo[p] = raw[begin:end]
                 begin = end
-        rest = [w for w in words if w not in plain] + [p for p in pieces if p[0] in b",."]
+        rest = [w for w in words if w not in plain] + [p for p in pieces if p in marks]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             memo[w] = self._pack(e.ids)
-        for w, (core, tail) in plain.items():
-            if tail:
-                memo[w] = memo[core] + memo[tail]
+        for w, (before, core, after) in plain.items():
+            if before or after:
+                memo[w] = (memo[before] if before else b"") + memo[core] + (memo[after] if after else b"")
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -28,6 +28,8 @@ def test_word_memo_gives_the_tokenizers_ids(ids):
         enc = TextEncoder(PATH, max_words=limit)
         for t in corpus.texts():
             assert np.frombuffer(enc.encode((t or "").encode()), enc.dtype).tolist() == ids(t)
+    enc, odd = TextEncoder(PATH), "a,b don't ...hi!! (hello) [x]'s 's <b>hi</b> É! ...ÉA, ß. ×a 1,2 a1 -a- it's, 'twas_ a'b' œuvre İ ΑΣ ﬁ"
+    assert np.frombuffer(enc.encode_all([odd.encode(), b""])[0], enc.dtype).tolist() == ids(odd)
     whole = TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert not whole.by_word and np.frombuffer(whole.encode(b"a  b"), whole.dtype).tolist() == whole._ids("a  b")
 
