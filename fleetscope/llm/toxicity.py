@@ -111,7 +111,7 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     share = {1.0: len(y) / (2 * n_pos), -1.0: len(y) / (2 * (len(y) - n_pos))}
     diag = np.asarray([0.5 / (cost * share[s]) for s in y])
-    value = [ratio[b] / _length(b) for b in rows]
+    value = [(ratio[b] / _length(b)).astype(np.float32) for b in rows]
     square = np.asarray([float(v @ v) + 1.0 for v in value]) + diag
     w, bias, dual = np.zeros(size), 0.0, np.zeros(len(y))
     order, active = np.random.default_rng(0), np.arange(len(y))
