@@ -71,13 +71,13 @@ def _paths(words: Words, n: int, k: int):
     since = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
     begin = np.flatnonzero(since % LONGEST == 0)
     size = np.diff(np.append(begin, len(at)))
-    # A path may hold an edge twice only if a k-word run recurs within n words.
-    again = np.zeros(len(grams) + 1, np.int64)
-    for d in range(1, n - k + 2):
-        again[1:len(grams) - d + 1] |= grams[:-d] == grams[d:] if d < len(grams) else False
-    seen = np.cumsum(again)
+    # A path may hold an edge twice only if a k-word run recurs within n words; both runs must lie inside the path.
+    before = np.full(len(grams) + 1, -1, np.int64)
+    for d in range(min(n - k + 1, len(grams) - 1), 0, -1):
+        same = np.flatnonzero(grams[:-d] == grams[d:])
+        before[same + d] = same
     first = at[begin]
-    own = seen[np.minimum(first + size + n - k, len(grams))] > seen[first]
+    own = np.maximum.reduceat(before, np.stack([first, first + size + n - k], 1).ravel())[::2] >= first
     return runs, edges[at], text[first], first - words.first[text[first]], size, least[first], own, first
 
 
@@ -121,8 +121,8 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     paths = stored(semi_join(paths, often, "least", max_broadcast), "paths")
 
     source = F.min(F.struct("id", "start")).alias("source")
-    nodes = stored(paths.groupBy("span", "digest", "least", "prints", "size", "own")
-                   .agg(source, F.count(F.lit(1)).alias("n")), "path-nodes")
+    nodes = stored(paths.groupBy("span", "digest", "least", "prints", "size")
+                   .agg(source, F.max("own").alias("own"), F.count(F.lit(1)).alias("n")), "path-nodes")
     # Later occurrences of a whole path; the second digest verifies the words at both coordinates.
     elsewhere = (F.col("id") != F.col("source.id")) | (F.col("start") != F.col("source.start")) | (
         F.col("id").isNull() != F.col("source.id").isNull())

@@ -110,6 +110,23 @@ def test_substring_dedup(docs, empty, max_broadcast):
         assert substring.count_repeats(empty).count() == 0 and substring.remove_repeats(empty).count() == 0
 
 
+def test_the_first_of_three_copies_stays_whatever_follows_it(spark):
+    """Only the first copy is followed by a run of six words that recurs across the end of the passage."""
+    workers_import(spark)
+    rng = random.Random(11)
+    rows = []
+    for case in range(40):
+        passage = corpus.prose(rng, 30).split()
+        for copy in range(3):
+            after = passage[-6:] * 3 if copy == 0 else [f"c{case}x{copy}y{i}" for i in range(12)]
+            rows.append((3 * case + copy, " ".join([f"b{case}x{copy}", *passage, *after])))
+    gone = corpus.covered(rows)
+    got = {r.doc_id: r for r in substring.count_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        kept = " ".join(x for k, x in enumerate(t.split()) if k not in gone[i])
+        assert (got[i].n_removed, got[i].kept_sha256) == (len(gone[i]), sha(kept)), i
+
+
 def test_sharding(spark, docs, empty):
     rng = random.Random(5)
     many = [(i, corpus.prose(rng, rng.randint(1, 60)) if i % 3 else "one text that a third of all rows share") for i in range(3_000)]
