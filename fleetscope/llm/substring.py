@@ -22,10 +22,11 @@ handling, so a passage held by a third of all texts is one group of one row per
 task.  The repeated least hashes are broadcast only up to ``max_broadcast``
 rows; beyond it the same semi-join is shuffled.
 
-Defined cases: null, empty and shorter texts have no window; rows that share an
-id are one document for ordering, so an exactly repeated row (same id, same
-text) is not a later copy; a null id sorts first; empty tables give empty
-results; input columns besides those named are ignored or kept as stated.
+Defined cases: null, empty and shorter texts have no window; a document is an
+id with a text, so an exactly repeated row (same id, same text) is not a later
+copy, while rows that share an id but not the text are told apart by a digest
+of it; a null id is an id like any other and sorts first; empty tables give
+empty results; input columns besides those named are ignored or kept as stated.
 """
 
 from __future__ import annotations
@@ -100,48 +101,53 @@ def _emit(n: int, k: int, lean: bool):
                 prints = edges.view(np.uint8).reshape(-1, 8)[:, :PRINT].tobytes()
                 offsets = (np.concatenate([[0], np.cumsum(size)]) * PRINT).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)),
-                     least, pa.array(runs.some(first, end).view(np.int64)),
+                    [batch.column(0).take(pa.array(text)), batch.column(2).take(pa.array(text)), pa.array(start.astype(np.int32)),
+                     pa.array(size.astype(np.int32)), least, pa.array(runs.some(first, end).view(np.int64)),
                      pa.array(Runs(words.hash, CHECK_STEP).some(first, end).view(np.int64)), pa.array(own),
                      pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(prints)])],
-                    names=["id", "start", "size", "least", "span", "digest", "own", "prints"])
+                    names=["id", "key", "start", "size", "least", "span", "digest", "own", "prints"])
 
     return run
 
 
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__key``, a digest of the text: rows that share an id (or have none) are told apart by it."""
+    return docs.withColumn("__key", F.xxhash64(text_col))
+
+
 def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 20, k: int = 6,
                    max_broadcast: int = 2_000_000) -> DataFrame:
-    """(id, start, size): runs of ``size`` windows from word ``start`` on that each occur earlier in the corpus."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, key, start, size): runs of ``size`` windows from word ``start`` on that each occur earlier in the corpus."""
+    docs = _keyed(docs, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__key").alias("key"))
     id_type = docs.schema[0].dataType.simpleString()
     often = stored(docs.mapInArrow(_emit(n, k, True), "least long, n long")
                    .groupBy("least").agg(F.sum("n").alias("n")).filter("n > 1").select("least"), "repeated-least")
-    paths = docs.mapInArrow(_emit(n, k, False), f"id {id_type}, start int, size int, least long, span long, digest long, "
+    paths = docs.mapInArrow(_emit(n, k, False), f"id {id_type}, key long, start int, size int, least long, span long, digest long, "
                             "own boolean, prints binary")
     paths = stored(semi_join(paths, often, "least", max_broadcast), "paths")
 
-    source = F.min(F.struct("id", "start")).alias("source")
+    source = F.min(F.struct("id", "start", "key")).alias("source")
     nodes = stored(paths.groupBy("span", "digest", "least", "prints", "size")
                    .agg(source, F.max("own").alias("own"), F.count(F.lit(1)).alias("n")), "path-nodes")
     # Later occurrences of a whole path; the second digest verifies the words at both coordinates.
-    elsewhere = (F.col("id") != F.col("source.id")) | (F.col("start") != F.col("source.start")) | (
-        F.col("id").isNull() != F.col("source.id").isNull())
-    later = (paths.select("id", "start", "size", "span", "digest")
+    elsewhere = ~(F.col("id").eqNullSafe(F.col("source.id")) & (F.col("key") == F.col("source.key"))
+                  & (F.col("start") == F.col("source.start")))
+    later = (paths.select("id", "key", "start", "size", "span", "digest")
              .join(nodes.filter("n > 1").select("span", "digest", "source"), ["span", "digest"])
-             .filter(F.coalesce(elsewhere, F.lit(True))).select("id", "start", "size"))
+             .filter(elsewhere).select("id", "key", "start", "size"))
     # Different paths with the same least hash may share some edges.
     mixed = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("own")).filter("m > 1 or own")
     edges = (semi_join(nodes, stored(mixed.select("least"), "mixed-least"), "least", max_broadcast)
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
              .withColumn("print", F.expr(f"substring(prints, i * {PRINT} + 1, {PRINT})"))
-             .select("least", "print", F.col("source.id").alias("id"), (F.col("source.start") + F.col("i")).alias("start"),
+             .select("least", "print", F.col("source.id").alias("id"), F.col("source.key").alias("key"), (F.col("source.start") + F.col("i")).alias("start"),
                      F.xxhash64("least", "print").alias("edge")))
     # Most edges occur once: only a hash of each is shuffled to find those that do not.
     twice = stored(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge"), "repeated-edges")
     opened = stored(semi_join(edges, twice, "edge", max_broadcast).drop("edge"), "edges")
     firsts = opened.groupBy("least", "print").agg(source, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    single = (opened.join(firsts, ["least", "print"]).filter(F.coalesce(elsewhere, F.lit(True)))
-              .select("id", "start", F.lit(1).alias("size")))
+    single = (opened.join(firsts, ["least", "print"]).filter(elsewhere)
+              .select("id", "key", "start", F.lit(1).alias("size")))
     return later.unionByName(single)
 
 
@@ -156,8 +162,10 @@ def _covered(words: int, spans, n: int) -> np.ndarray:
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, n: int, k: int, max_broadcast: int) -> DataFrame:
     repeats = repeated_edges(docs, id_col, text_col, n, k, max_broadcast)
     # A text's repeats; their number is bounded by its length.
-    spans = repeats.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("__spans"))
-    return docs.join(spans.withColumnRenamed("id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    spans = (repeats.groupBy(F.col("id").alias("__id"), F.col("key").alias("__of"))
+             .agg(F.collect_list(F.struct("start", "size")).alias("__spans")))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of"))
+    return _keyed(docs, text_col).join(spans, same, "left").drop("__id", "__of", "__key")
 
 
 def count_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 20, k: int = 6,

@@ -127,6 +127,22 @@ def test_the_first_of_three_copies_stays_whatever_follows_it(spark):
         assert (got[i].n_removed, got[i].kept_sha256) == (len(gone[i]), sha(kept)), i
 
 
+def test_rows_without_an_id_or_sharing_one_keep_their_own_spans(spark):
+    workers_import(spark)
+    rng = random.Random(12)
+    once, twice = corpus.prose(rng, 25), corpus.prose(rng, 25)
+    texts = [(None, corpus.prose(rng, 40)), (None, f"{once} x {once}"), (None, corpus.prose(rng, 22)), (None, f"y {twice}"),
+             (5, corpus.prose(rng, 60)), (5, f"z z {twice}"), (6, once)]
+    n_removed = [0, 25, 0, 0, 0, 25, 25]
+    df = spark.createDataFrame(texts + texts[:1], "doc_id long, text string").repartition(3)
+    got = sorted((r.n_words, r.n_removed) for r in substring.count_repeats(df).collect())
+    want = [(len(t.split()), n) for (_, t), n in zip(texts, n_removed)]
+    assert got == sorted(want + want[:1])
+    left = sorted(r.text for r in substring.remove_repeats(df).collect())
+    kept = [texts[0][1]] * 2 + [f"{once} x "] + [t for _, t in texts[2:5]] + ["z z "]
+    assert left == sorted(kept)
+
+
 def test_sharding(spark, docs, empty):
     rng = random.Random(5)
     many = [(i, corpus.prose(rng, rng.randint(1, 60)) if i % 3 else "one text that a third of all rows share") for i in range(3_000)]
