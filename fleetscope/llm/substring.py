@@ -15,12 +15,15 @@ it is built compacted, in the way of minimizer-partitioned assemblers:
    edges and the earliest source of each edge is found the same way.
 3. *Verification.*  A repeat counts only if a second, independent digest of the
    words at its own coordinates equals the one at its source's coordinates.
+   Paths carry theirs; the few opened edges whose short digests recur are read
+   again from their texts, and both full digests must agree.
    Overlapping repeats of a text then merge into spans.
 
 Aggregations combine on the map side and joins are left to Spark's skew
 handling, so a passage held by a third of all texts is one group of one row per
 task.  The repeated least hashes are broadcast only up to ``max_broadcast``
-rows; beyond it the same semi-join is shuffled.
+rows; beyond it the same semi-join is shuffled.  So are the starts of the edges
+to be read again, beyond which the texts are shuffled once.
 
 Defined cases: null, empty and shorter texts have no window; a document is an
 id with a text, so an exactly repeated row (same id, same text) is not a later
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import semi_join, stored, table
 from .wordhash import CHECK_STEP, Runs, Words, slices
 
-PRINT = 5  # bytes of an edge's digest, compared only under an equal 64-bit least hash
+PRINT = 5  # bytes of an edge's digest that choose, under an equal 64-bit least hash, which edges are read again
 LONGEST = 64  # edges of a path row
 
 
@@ -110,6 +113,32 @@ def _emit(n: int, k: int, lean: bool):
     return run
 
 
+def _read_again(docs: DataFrame, edges: DataFrame, n: int, max_broadcast: int) -> DataFrame:
+    """(id, key, start, edge, check): both digests of the ``n`` words at the coordinates that ``edges`` name."""
+    few = edges.limit(max_broadcast + 1).count() <= max_broadcast
+    # A text's starts; their number is bounded by its length.
+    wanted = (edges.groupBy(F.col("id").alias("__id"), F.col("key").alias("__of"))
+              .agg(F.collect_set("start").alias("starts")))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__of"))
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, same).select("id", "text", "key", "starts")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                words = Words(batch.column(1))
+                row = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
+                start = batch.column(3).flatten()
+                first = words.first[row] + start.to_numpy()
+                one, two = (Runs(words.hash, *step).some(first, first + n).view(np.int64) for step in ((), (CHECK_STEP,)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), start, pa.array(one), pa.array(two)],
+                    names=["id", "key", "start", "edge", "check"])
+
+    return chosen.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, start int, edge long, check long")
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``__key``, a digest of the text: rows that share an id (or have none) are told apart by it."""
     return docs.withColumn("__key", F.xxhash64(text_col))
@@ -144,9 +173,10 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      F.xxhash64("least", "print").alias("edge")))
     # Most edges occur once: only a hash of each is shuffled to find those that do not.
     twice = stored(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge"), "repeated-edges")
-    opened = stored(semi_join(edges, twice, "edge", max_broadcast).drop("edge"), "edges")
-    firsts = opened.groupBy("least", "print").agg(source, F.count(F.lit(1)).alias("n")).filter("n > 1")
-    single = (opened.join(firsts, ["least", "print"]).filter(elsewhere)
+    opened = stored(semi_join(edges, twice, "edge", max_broadcast).select("id", "key", "start"), "edges")
+    checked = stored(_read_again(docs, opened, n, max_broadcast), "checked-edges")
+    firsts = checked.groupBy("edge", "check").agg(source, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    single = (checked.join(firsts, ["edge", "check"]).filter(elsewhere)
               .select("id", "key", "start", F.lit(1).alias("size")))
     return later.unionByName(single)
 

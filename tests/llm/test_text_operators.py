@@ -143,6 +143,21 @@ def test_rows_without_an_id_or_sharing_one_keep_their_own_spans(spark):
     assert left == sorted(kept)
 
 
+@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
+def test_edges_with_equal_short_digests_are_told_apart(spark, monkeypatch, max_broadcast):
+    """Many texts around one common line, with short digests of one byte; every fifth text holds a true partial repeat."""
+    workers_import(spark)
+    monkeypatch.setattr(substring, "PRINT", 1)
+    rng = random.Random(13)
+    line = corpus.prose(rng, 18)
+    tails = [" ".join(f"t{i}x{j}" for j in range(30)) for i in range(80)]
+    rows = [(i, f"a{i} b{i} {line} {tails[i - 1][:40] if i % 5 == 4 else ''} {tails[i]}") for i in range(80)]
+    gone = corpus.covered(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring.count_repeats(df, max_broadcast=max_broadcast).collect()}
+    assert got == {i: len(gone[i]) for i, _ in rows} and sum(map(bool, gone.values())) == 16
+
+
 def test_sharding(spark, docs, empty):
     rng = random.Random(5)
     many = [(i, corpus.prose(rng, rng.randint(1, 60)) if i % 3 else "one text that a third of all rows share") for i in range(3_000)]
