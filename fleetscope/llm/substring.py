@@ -22,8 +22,9 @@ it is built compacted, in the way of minimizer-partitioned assemblers:
 Aggregations combine on the map side and joins are left to Spark's skew
 handling, so a passage held by a third of all texts is one group of one row per
 task.  The repeated least hashes are broadcast only up to ``max_broadcast``
-rows; beyond it the same semi-join is shuffled.  So are the starts of the edges
-to be read again, beyond which the texts are shuffled once.
+rows; beyond it the same semi-join is shuffled.  The starts of the edges
+to be read again are broadcast up to eight times as many; beyond it the texts are
+shuffled to them.
 
 Defined cases: null, empty and shorter texts have no window; a document is an
 id with a text, so an exactly repeated row (same id, same text) is not a later
@@ -115,7 +116,8 @@ def _emit(n: int, k: int, lean: bool):
 
 def _read_again(docs: DataFrame, edges: DataFrame, n: int, max_broadcast: int) -> DataFrame:
     """(id, key, start, edge, check): both digests of the ``n`` words at the coordinates that ``edges`` name."""
-    few = edges.limit(max_broadcast + 1).count() <= max_broadcast
+    # A start is four bytes of its text's array: eight of them weigh no more than a row of a broadcast hash table.
+    few = edges.limit(8 * max_broadcast + 1).count() <= 8 * max_broadcast
     # A text's starts; their number is bounded by its length.
     wanted = (edges.groupBy(F.col("id").alias("__id"), F.col("key").alias("__of"))
               .agg(F.collect_set("start").alias("starts")))
