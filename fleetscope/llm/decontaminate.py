@@ -101,12 +101,15 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
 
     A document of which at least ``whole_share`` of the words are hit is dropped.
     Other texts stay as they are; ``n_chars`` is set anew where a text changed.
-    Rows that share an id share their spans' removal only if their texts agree.
+    Rows that share an id (or have none) are told apart by a digest of their texts.
     """
-    found = stored(hits(docs, items, id_col, text_col, max_broadcast=max_broadcast, **options)
+    keyed = docs.withColumn("__key", F.xxhash64(text_col))
+    row = keyed.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.col("__key").alias("key")))
+    found = stored(hits(row, items, "__row", text_col, max_broadcast=max_broadcast, **options)
                    .filter(F.size("spans") > 0), "found-ngrams")
-    # Repeated rows found the same spans; one row per id is joined back.
-    spans = found.groupBy("id").agg(F.max(F.struct("n_words", "spans")).alias("__f"))
+    # Repeated rows found the same spans; one row per id and text is joined back.
+    spans = (found.groupBy(F.col("id.id").alias("__id"), F.col("id.key").alias("__of"))
+             .agg(F.max(F.struct("n_words", "spans")).alias("__f")))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({_RAW_GAP}{_RAW_WORD})"), F.lit(1))
     tail = F.regexp_extract(F.col(text_col), f"({_RAW_GAP})$", 1)
     gone = F.flatten(F.transform("__f.spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
@@ -115,7 +118,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     joined_words = F.transform(F.array(F.struct(pieces.alias("p"), gone.alias("gone"))),
                                lambda s: F.array_join(F.transform(kept(s), lambda i: F.get(s["p"], i)), ""))
     cut = F.concat(F.element_at(joined_words, 1), tail)
-    joined = docs.join(spans.withColumnRenamed("id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    joined = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
     plain = joined.filter(F.col("__f").isNull()).select(*docs.columns)
     changed = (joined.filter(F.col("__f").isNotNull())
                .filter(n_covered(F.col("__f.spans")) < whole_share * F.col("__f.n_words"))

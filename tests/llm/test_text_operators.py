@@ -60,6 +60,18 @@ def test_decontamination(spark, docs, empty, max_broadcast):
         assert decontaminate.mark(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_rows_without_an_id_or_sharing_one_lose_their_own_passages_only(spark):
+    workers_import(spark)
+    rng = random.Random(14)
+    passage, other = corpus.prose(rng, 12), corpus.prose(rng, 12)
+    clean = [corpus.prose(rng, n) for n in (40, 8, 60)]
+    rows = [(None, clean[0]), (None, f"{clean[2]} {passage}"), (None, f"{other} {clean[2]}"), (4, clean[1]), (4, passage), (4, f"{passage} {clean[0]}")]
+    bench = spark.createDataFrame([(1, passage), (2, other)], "item_id long, text string")
+    got = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()
+    want = [(None, clean[0]), (None, clean[2]), (None, clean[2]), (4, clean[1]), (4, clean[0])]
+    assert sorted((r.doc_id or 0, *corpus.space_words(r.text)) for r in got) == sorted((i or 0, *t.split()) for i, t in want)
+
+
 def test_fingerprints(docs, empty, spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "table", lambda spark, sf_dir, name: docs.filter("doc_id is not null") if sf_dir else empty)
     got = {r.doc_id: r for r in fingerprints.op3_paragraph_sketch(spark, "x").collect()}
