@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP2_SQL, op2_ngram_set
 from .fingerprints import op3_paragraph_sketch
 from .jaccard import OP9_SQL, op9_count_vector_rtree
+from .licenses import op8_license_alignment
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
 from .token_files import op1_arrow_sequences
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_vector_packing": op6_vector_packing,
     "op7_nb_ngram_svm": op7_nb_ngram_svm,
+    "op8_license_alignment": op8_license_alignment,
     "op9_count_vector_rtree": op9_count_vector_rtree,
     "op10_url_expressions": op10_url_expressions,
 }
