@@ -143,13 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.filter(keep(F.col("id"))) if keep is not None else known
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
-    # The sample's ids: at most max_rows of them, cut where their texts reach max_chars.
+    # The sample's ids: at most max_rows of them; a text that does not fit what is left of max_chars is passed over.
     drawn = (sizes.join(known, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows).collect())
     chosen, total = [], 0
     for r in drawn:
+        if total + r["n"] > max_chars:
+            continue
         total += r["n"]
-        if total > max_chars and chosen:
-            break
         chosen.append((r["id"], int(r["label"])))
     if not chosen:
         return fit([], np.zeros(0), bits)

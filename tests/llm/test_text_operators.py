@@ -206,6 +206,16 @@ def test_toxicity_held_out_accuracy(spark, docs, empty):
     assert toxicity.score(docs, none, columns=["doc_id"]).filter("score >= 0.5").count() == 0
 
 
+def test_a_very_long_text_does_not_empty_the_sample(spark):
+    workers_import(spark)
+    ids = [r[0] for r in spark.range(60).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, ("dolt knave " if i % 2 else "kind words ") * (5_000 if k == 1 else 5), i % 2) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"), max_chars=20_000)
+    got = toxicity.score(df, model, columns=["doc_id"]).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
 @pytest.mark.parametrize("options", [{}, {"max_broadcast": 0, "tile": 3, "common_from": 2}])
 def test_similar_components(docs, empty, options):
     known = [(i, t) for i, t in PLAIN if i is not None]
