@@ -6,6 +6,7 @@ from .decontaminate import OP2_SQL, op2_ngram_set
 from .fingerprints import op3_paragraph_sketch
 from .jaccard import OP9_SQL, op9_count_vector_rtree
 from .licenses import op8_license_alignment
+from .merkle import OP12_SQL, op12_merkle_rollup
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
 from .token_files import op1_arrow_sequences
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_alignment": op8_license_alignment,
     "op9_count_vector_rtree": op9_count_vector_rtree,
     "op10_url_expressions": op10_url_expressions,
+    "op12_merkle_rollup": op12_merkle_rollup,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op4_debruijn_spans": OP4_SQL,
     "op9_count_vector_rtree": OP9_SQL,
     "op10_url_expressions": OP10_SQL,
+    "op12_merkle_rollup": OP12_SQL,
 }
