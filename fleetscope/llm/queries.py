@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_ngram_set
 from .fingerprints import op3_paragraph_sketch
+from .hard_negatives import OP11_SQL, op11_hilbert_zones
 from .jaccard import OP9_SQL, op9_count_vector_rtree
 from .licenses import op8_license_alignment
 from .merkle import OP12_SQL, op12_merkle_rollup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_license_alignment": op8_license_alignment,
     "op9_count_vector_rtree": op9_count_vector_rtree,
     "op10_url_expressions": op10_url_expressions,
+    "op11_hilbert_zones": op11_hilbert_zones,
     "op12_merkle_rollup": op12_merkle_rollup,
 }
 
@@ -33,5 +35,6 @@ ORACLES = {
     "op4_debruijn_spans": OP4_SQL,
     "op9_count_vector_rtree": OP9_SQL,
     "op10_url_expressions": OP10_SQL,
+    "op11_hilbert_zones": OP11_SQL,
     "op12_merkle_rollup": OP12_SQL,
 }
