@@ -294,9 +294,9 @@ def _ranked(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def _tiles(groups: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Every group with every chunk, one row each, dealt evenly."""
+    """Every group with every chunk, one row each, dealt evenly (a fixed number of tasks: the rows are small, their work is not)."""
     met = groups.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n else groups.withColumn("chunk", F.lit(0))
-    return met.join(chunks, "chunk").repartition("grp", "chunk")
+    return met.join(chunks, "chunk").repartition(n_partitions(groups.sparkSession), "grp", "chunk")
 
 
 def mine(rows: DataFrame, anchors: Column, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
