@@ -7,6 +7,7 @@ from .fingerprints import op3_paragraph_sketch
 from .hard_negatives import OP11_SQL, op11_hilbert_zones
 from .jaccard import OP9_SQL, op9_count_vector_rtree
 from .licenses import op8_license_alignment
+from .lsh_forest import OP13_SQL, op13_lsh_forest
 from .merkle import OP12_SQL, op12_merkle_rollup
 from .packing import op6_vector_packing
 from .sharding import op5_sampled_splitters
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_expressions": op10_url_expressions,
     "op11_hilbert_zones": op11_hilbert_zones,
     "op12_merkle_rollup": op12_merkle_rollup,
+    "op13_lsh_forest": op13_lsh_forest,
 }
 
 ORACLES = {
@@ -37,4 +39,5 @@ ORACLES = {
     "op10_url_expressions": OP10_SQL,
     "op11_hilbert_zones": OP11_SQL,
     "op12_merkle_rollup": OP12_SQL,
+    "op13_lsh_forest": OP13_SQL,
 }
