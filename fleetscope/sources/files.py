@@ -8,22 +8,27 @@ from pyspark.sql import types as T
 
 from ..functions import base_name, glob_to_regex
 from ..operators.config import parse_config_lines
+from . import quarantine
 
 EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.StringType()), T.StructField("ts", T.TimestampType()),
                              T.StructField("type", T.StringType()), T.StructField("trace_id", T.StringType()),
                              T.StructField("body", T.StringType())])
 
 
+def read_event_rows(spark: SparkSession, path: str, stream: bool = False, schema: T.StructType = EVENT_SCHEMA,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """SRC7 with what could not be parsed: see ``quarantine.good_rows``, ``dead_letters`` and ``streaming.sinks.write_split``."""
+    lines = quarantine.read_text(spark, f"{path.rstrip('/')}/events/", stream=stream, max_files_per_trigger=max_files_per_trigger)
+    return quarantine.parsed(lines, schema, file="file")
+
+
 def read_event_landing(spark: SparkSession, path: str, stream: bool = False, schema: T.StructType = EVENT_SCHEMA,
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """SRC7: raw event JSON under the ``events/`` prefix of an object store (batch or stream)."""
-    src = f"{path.rstrip('/')}/events/"
-    if stream:
-        r = spark.readStream.schema(schema)
-        if max_files_per_trigger:
-            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-        return r.json(src)
-    return spark.read.schema(schema).json(src)
+    """SRC7: raw event JSON under the ``events/`` prefix of an object store (batch or stream).
+
+    A broken line is no event; ``read_event_rows`` also gives the dead letters.
+    """
+    return quarantine.good_rows(read_event_rows(spark, path, stream, schema, max_files_per_trigger))
 
 
 def read_file_catalog(spark: SparkSession, path: str, glob: str = "*.tar.gz", host: str | None = None,
@@ -62,8 +67,13 @@ COMMIT_SCHEMA = T.StructType([T.StructField("sha", T.StringType()), T.StructFiel
                               T.StructField("tag", T.StringType())])
 
 
+def read_commit_rows(spark: SparkSession, path: str) -> DataFrame:
+    """SRC10 (JSON lines) with what could not be parsed."""
+    return quarantine.parsed(quarantine.read_text(spark, path), COMMIT_SCHEMA, file="file")
+
+
 def read_commits(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """SRC10: commit log rows (sha, ts, message, body, tag)."""
+    """SRC10: commit log rows (sha, ts, message, body, tag); a broken line is no commit (see ``read_commit_rows``)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return spark.read.schema(COMMIT_SCHEMA).json(path)
+    return quarantine.good_rows(read_commit_rows(spark, path))

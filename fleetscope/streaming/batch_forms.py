@@ -62,11 +62,16 @@ def ingest_events(events: DataFrame, watermark: str = "1 hour", key: str = "even
 
 
 def correlate_stream(traces: DataFrame, spans: DataFrame, max_gap: str = "1 hour", watermark: str | None = None,
-                     trace_id: str = "trace_id", trace_ts: str = "ts", span_ts: str = "start_ts") -> DataFrame:
+                     trace_id: str = "trace_id", trace_ts: str = "ts", span_ts: str = "start_ts",
+                     how: str = "inner") -> DataFrame:
     """SS4: spans joined to their trace by id when within ``max_gap`` of the trace time.
 
     Both sides are watermarked; the time-range condition lets Spark drop
-    join state once the watermark passes.
+    join state once the watermark passes.  With ``how="full_outer"`` (or
+    ``left_outer`` for traces, ``right_outer`` for spans) rows that found no
+    partner come out once, when the watermark rules out a later one; ``in_traces``
+    and ``in_spans`` say which side a row has.  Rows without an id or a time can
+    have no partner; they are given at once and kept out of the join's state.
     """
     t = event_time(traces, trace_ts, watermark).select(F.col(trace_id).alias("t_trace_id"),
                                                       F.col(trace_ts).alias("trace_ts"),
@@ -75,4 +80,24 @@ def correlate_stream(traces: DataFrame, spans: DataFrame, max_gap: str = "1 hour
     gap = F.expr(f"INTERVAL {max_gap}")
     cond = ((F.col("t_trace_id") == F.col(trace_id)) & (F.col(span_ts) >= F.col("trace_ts") - gap)
             & (F.col(span_ts) <= F.col("trace_ts") + gap))
-    return t.join(s, cond, "inner").drop("t_trace_id")
+    if how == "inner":
+        return t.join(s, cond, "inner").drop("t_trace_id")
+    if how not in ("full_outer", "left_outer", "right_outer"):
+        raise ValueError(how)
+    t_known, s_known = F.col("t_trace_id").isNotNull() & F.col("trace_ts").isNotNull(), F.col(trace_id).isNotNull() & F.col(span_ts).isNotNull()
+    out = t.filter(t_known).join(s.filter(s_known), cond, how)
+
+    def alone(side: DataFrame, other: DataFrame) -> DataFrame:
+        return side.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema]).select(out.columns)
+
+    flags = lambda df, a, b: df.withColumns({"in_traces": a, "in_spans": b})
+    # A matched or unmatched row of the join has a time on each side that is there.
+    parts = [flags(out, F.col("trace_ts").isNotNull(), F.col(span_ts).isNotNull())]
+    if how != "right_outer":
+        parts.append(flags(alone(t.filter(~t_known), s), F.lit(True), F.lit(False)))
+    if how != "left_outer":
+        parts.append(flags(alone(s.filter(~s_known), t), F.lit(False), F.lit(True)))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.withColumn(trace_id, F.coalesce(F.col(trace_id), F.col("t_trace_id"))).drop("t_trace_id")

@@ -137,3 +137,74 @@ def test_merge_keeps_the_newest_value_across_files(spark, tmp_path):
     out = _run(spark, stateful.merge_trace_updates_stream(stream, watermark="1 hour"), mode="update")
     latest = out.groupBy("trace_id", "meta_key").agg(F.max_by("meta_value", "version").alias("v"))
     assert rows(latest, "trace_id", "meta_key", "v") == [("a", "j", "y"), ("a", "k", "new"), ("b", "k", "x")]
+
+
+def test_unmatched_rows_come_out_once(spark, tmp_path):
+    """SS4 as an outer join: matched, unmatched and id-less rows, the same as on a batch."""
+    base = dt.datetime(2024, 1, 10, 12)
+    at = lambda h: base + dt.timedelta(hours=h)
+    far = dt.timedelta(days=9)  # moves both watermarks past everything before
+    t_parts = [[("a", at(0), 1), ("b", at(0), 2), (None, at(1), 3)], [("c", at(2), 4), ("a", at(5), 5)], [("z", base + far, 9)]]
+    s_parts = [[("x1", "a", at(0.5)), ("x2", "q", at(1)), ("x3", None, at(1))], [("x4", "c", at(8)), ("x5", "a", at(5.2)), ("x6", "a", at(5.3))],
+               [("x9", "y", base + far)]]
+    t_schema, s_schema = "trace_id string, ts timestamp_ntz, seq int", "span string, trace_id string, start_ts timestamp_ntz"
+    streams, batches = [], []
+    for name, parts, schema in (("t", t_parts, t_schema), ("s", s_parts, s_schema)):
+        for i, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/f{i}")
+        streams.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}"))
+        batches.append(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}"))
+    cols = ["trace_id", "seq", "span", "in_traces", "in_spans"]
+    near = lambda df: rows(df.filter("coalesce(trace_id, '') not in ('z', 'y')"), *cols)
+    for how in ("full_outer", "left_outer", "right_outer"):
+        got = near(_run(spark, batch_forms.correlate_stream(*streams, "1 hour", watermark="1 hour", how=how)))
+        assert got == near(batch_forms.correlate_stream(*batches, "1 hour", how=how))
+    full = near(batch_forms.correlate_stream(*batches, "1 hour", how="full_outer"))
+    assert set(full) == {("a", 1, "x1", True, True), ("a", 5, "x5", True, True), ("a", 5, "x6", True, True), ("b", 2, None, True, False),
+                         ("c", 4, None, True, False), ("c", None, "x4", False, True), ("q", None, "x2", False, True),
+                         (None, 3, None, True, False), (None, None, "x3", False, True)} and len(full) == 9
+
+
+def test_loop_state_expires(spark, tmp_path):
+    """A trace silent for its time to live starts anew: its old spans no longer count, its old alert no longer mutes."""
+    base = dt.datetime(2024, 1, 10, 12)
+    span = lambda t, h: (t, "memory_search", base + dt.timedelta(hours=h))
+    parts = [[span("a", i / 100) for i in range(6)] + [span("b", i / 100) for i in range(2)], [span("x", 20)], [span("x", 21)],
+             [span("a", 22 + i / 100) for i in range(5)] + [span("b", 22), span("b", 22.1)], [("c", "memory_search", None)]]
+    stream = _three_files(spark, tmp_path, parts, "trace_id string, name string, start_ts timestamp_ntz")
+    out = _run(spark, stateful.loop_alerts(stream, "memory_search", 3, watermark="10 minutes", ttl_ms=3600 * 1000))
+    assert rows(out) == [("a", 4), ("a", 4)]
+
+
+def test_merge_takes_null_times_and_numbers(spark, tmp_path):
+    base = dt.datetime(2024, 1, 10, 12)
+    at = lambda i: base + dt.timedelta(seconds=i)
+    parts = [[(1, "a", at(5), "k", "five"), (2, "a", None, "k", "no time"), (None, "a", at(5), "k", "no number"), (3, "a", at(4), None, "no key")],
+             [(None, "a", at(6), "j", None), (7, "a", at(6), "j", "seven"), (4, None, at(9), "k", "no trace")], [(2, "a", at(5), "k", "two")]]
+    schema = "seq long, trace_id string, ts timestamp_ntz, meta_key string, meta_value string"
+    stream = _three_files(spark, tmp_path, parts, schema)
+    out = _run(spark, stateful.merge_trace_updates_stream(stream, watermark="1 hour"), mode="update")
+    latest = out.groupBy("trace_id", "meta_key").agg(F.max_by("meta_value", "version").alias("meta_value"))
+    batch = traces.merge_trace_updates(spark.createDataFrame([r for p in parts for r in p], schema))
+    want = rows(batch, "trace_id", "meta_key", "meta_value")
+    assert rows(latest, "trace_id", "meta_key", "meta_value") == want == [("a", "j", "seven"), ("a", "k", "two")]
+
+
+def test_events_are_written_once(spark, tmp_path):
+    """Replayed batches and repeats that come after the watermark change nothing."""
+    from fleetscope.streaming.sinks import once, write_once
+
+    base = dt.datetime(2024, 1, 10, 12)
+    event = lambda i, day=0, body="x": (f"e{i}", base + dt.timedelta(days=day, seconds=i), body)
+    schema = "event_id string, ts timestamp_ntz, body string"
+    parts = [[event(i) for i in range(5)] + [event(1)], [event(i, 3) for i in range(10, 15)], [event(2), event(3), event(20, 3)], []]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/f{i}")
+    read = lambda: (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+                    .parquet(f"{tmp_path}/in"))
+    want = sorted((f"e{i}",) for i in [*range(5), *range(10, 15), 20])
+    for ck in ("ck", "lost"):
+        write_once(batch_forms.ingest_events(read(), watermark="1 hour"), f"{tmp_path}/out", f"{tmp_path}/{ck}", available_now=True).awaitTermination()
+        assert rows(spark.read.parquet(f"{tmp_path}/out"), "event_id") == want
+    once(f"{tmp_path}/out")(spark.createDataFrame([event(4), event(30)], schema), 17)
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "event_id") == sorted([*want, ("e30",)])
