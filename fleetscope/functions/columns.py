@@ -147,6 +147,16 @@ def json_field(df: DataFrame, col: str, key: str) -> Column:
     return F.get_json_object(F.col(col), f"$.{key}")
 
 
+def json_path(text: str | Column, path: str, kind: str = "string") -> Column:
+    """Value at ``path`` (such as ``$.data[0].metadata.x``) of JSON of any shape (SF9).
+
+    The text is parsed to a VARIANT.  Broken JSON, a shape without that path and
+    a value that is no ``kind`` give null; an object or array as a string is its
+    JSON text.
+    """
+    return F.try_variant_get(F.try_parse_json(_c(text)), path, kind)
+
+
 # Binary size units as printed by du -h / pg_size_pretty.
 SIZE_UNITS = {"": 1, "B": 1, "K": 1024, "KB": 1024, "KIB": 1024, "M": 1024 ** 2, "MB": 1024 ** 2,
               "MIB": 1024 ** 2, "G": 1024 ** 3, "GB": 1024 ** 3, "GIB": 1024 ** 3,

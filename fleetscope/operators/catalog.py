@@ -63,14 +63,14 @@ def oversize(files: DataFrame, limit: int = OVERSIZE_BYTES, size: str = "size_by
 
 
 def mirror_diff(primary: DataFrame, replica: DataFrame, keys: Sequence[str] = ("host", "name"),
-                exclude: Sequence[str] | None = None) -> DataFrame:
+                exclude: Sequence[str] = DEFAULT_EXCLUDES) -> DataFrame:
     """JN5: action per file: copy, update, delete or same.
 
-    Exclusions apply to both sides before the diff, so excluded files on the
+    Exclusions (lock files, logs) apply to both sides before the diff, so excluded files on the
     replica are never planned for deletion.
     """
     keys = list(keys)
-    if exclude is not None:
+    if exclude:
         primary = match_names(primary, include="*", exclude=exclude)
         replica = match_names(replica, include="*", exclude=exclude)
     p = primary.select(*keys, F.col("size_bytes").alias("p_size"), F.col("mtime").alias("p_mtime"),
@@ -103,14 +103,25 @@ def in_both(a: DataFrame, b: DataFrame, cols: Sequence[str] = ("host", "name"))
     return a.select(*cols).intersect(b.select(*cols))
 
 
+def _name_ranges(files: DataFrame, ranges: int) -> list[str]:
+    """Bounds that cut the names into ``ranges`` parts of about the same number of distinct names.
+
+    The 16 * ``ranges`` names of least hash are a uniform sample of the distinct
+    names, the same one whenever it is drawn; only they reach the driver.
+    """
+    sample = files.select("name").distinct().orderBy(F.xxhash64("name"), "name").limit(16 * ranges)
+    names = sorted(r[0] for r in sample.collect() if r[0] is not None)
+    return [names[len(names) * i // ranges] for i in range(1, ranges)] if len(names) >= ranges else names[1:]
+
+
 def list_backups(files: DataFrame, n: int | None = 20, by: str = "mtime", key: str = "host",
-                 name_chunk: int = 20) -> DataFrame:
+                 ranges: int = 64) -> DataFrame:
     """TK1: newest ``n`` by mtime (or greatest ``n`` by name) per host, numbered from 1; all files with ``n=None``.
 
     A top-n is a WindowGroupLimit, also applied before the shuffle.  Numbering
-    every file is done per (host, day) or (host, name prefix) chunk with
-    offsets, so a hot host is still split; ``name_chunk`` should reach into the
-    part of the names that varies.
+    every file is done per (host, day) or (host, range of names) chunk with
+    offsets, so a hot host is still split.  The ranges' bounds are drawn from
+    the names themselves (see ``_name_ranges``).
     """
     f = _regular(files).select(key, "name", "size_bytes", "mtime")
     if by not in ("mtime", "name"):
@@ -121,7 +132,9 @@ def list_backups(files: DataFrame, n: int | None = 20, by: str = "mtime", key: s
         out = f.withColumn("number", F.row_number().over(w)).filter(F.col("number") <= n)
         out = out.withColumn("number", F.col("number").cast("bigint"))
     elif by == "name":
-        out = ordered_index(f, [key], order, "number", chunk=F.substring("name", 1, name_chunk), descending_chunks=True)
+        bounds = _name_ranges(f, ranges)
+        place = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (F.col("name") >= b).cast("int")) if bounds else F.lit(0)
+        out = ordered_index(f, [key], order, "number", chunk=place, descending_chunks=True)
     else:
         out = ordered_index(f, [key], order, "number", chunk=time_chunk("mtime", 86400), descending_chunks=True)
     return out.select(key, "number", "name", "size_bytes", F.to_date("mtime").alias("date"), "mtime")
@@ -175,15 +188,24 @@ GROWTH_LIMIT_BYTES = 1024 ** 3
 
 
 def storage_growth(volumes: DataFrame, key: str = "host", ts: str = "mtime", size: str = "size_bytes",
-                   limit: int = GROWTH_LIMIT_BYTES) -> DataFrame:
+                   limit: int = GROWTH_LIMIT_BYTES, added: bool = False) -> DataFrame:
     """WN6: bytes per day, change against the previous day with data, over-limit flag.
 
-    The limit is per day: growth counts as over it when it exceeds ``limit``
-    times the days since the previous total.  The lag runs over the daily totals
-    (one row per key and day).
+    ``volumes`` are measured sizes (the sum of a day's rows is what is held that
+    day) or, with ``added``, files written (what is held grows by them).  The
+    limit is per day: growth counts as over it when it exceeds ``limit`` times
+    the days since the previous total; the first day of measured sizes has no
+    growth, the first day's files are growth of one day.  The lag runs over the
+    daily totals (one row per key and day).
     """
     daily = volumes.groupBy(key, F.to_date(ts).alias("day")).agg(F.sum(size).cast("bigint").alias("bytes"))
     w = Window.partitionBy(key).orderBy("day")
+    if added:
+        total = F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return daily.select(key, "day", total.cast("bigint").alias("bytes"),
+                            F.when(F.lag("day").over(w).isNotNull(), total - F.col("bytes")).cast("bigint").alias("prev_bytes"),
+                            F.lit(1).alias("days"), F.col("bytes").alias("growth"),
+                            F.coalesce(F.col("bytes") > F.lit(limit).cast("bigint"), F.lit(False)).alias("over_limit"))
     prev = F.lag("bytes").over(w)
     days = F.date_diff("day", F.lag("day").over(w))
     return daily.select(key, "day", "bytes", prev.alias("prev_bytes"), days.alias("days"),
@@ -270,7 +292,15 @@ def tiered_retention(files: DataFrame, as_of, daily: int = 7, weekly: int = 4, m
     return out.withColumn("keep", F.col("keep_daily") | F.col("keep_weekly") | F.col("keep_monthly") | F.coalesce(newer, F.lit(True)))
 
 
-def volume_sizes(files: DataFrame, keys: Sequence[str] = ("host",), size: str = "size_bytes") -> DataFrame:
-    """AG10: files and bytes per key."""
+def volume_sizes(files: DataFrame, keys: Sequence[str] = ("host",), size: str = "size_bytes", totals: bool = False) -> DataFrame:
+    """AG10: files and bytes per key (e.g. host and volume).
+
+    With ``totals`` also the subtotals of each leading key and the total of all
+    (a rollup); ``level`` counts the keys that a row is given for.
+    """
+    if totals:
+        level = F.lit(len(keys)) - F.bit_count(F.grouping_id())
+        return files.rollup(*keys).agg(level.cast("int").alias("level"), F.count(F.lit(1)).alias("n_files"),
+                                       F.sum(size).cast("bigint").alias("total_bytes"))
     return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"),
                                     F.sum(size).cast("bigint").alias("total_bytes"))

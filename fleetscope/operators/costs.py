@@ -100,5 +100,5 @@ def score_summary(scores: DataFrame, keys: Sequence[str] = ("source",), name: st
     """AG18: mean, count and share positive per score name and group."""
     return scores.groupBy(name, *keys).agg(
         F.count(value).alias("n"),
-        F.round(F.avg(F.col(value).cast("double")), 4).alias("mean"),
-        F.round(F.count_if(F.col(value) > 0) / F.count(value), 4).alias("share_positive"))
+        F.avg(F.col(value).cast("double")).alias("mean"),
+        (F.count_if(F.col(value) > 0) / F.count(value)).alias("share_positive"))

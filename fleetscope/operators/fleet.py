@@ -33,10 +33,10 @@ def classify_status(snap: DataFrame, status: str = "status") -> DataFrame:
 
 def project_containers(snap: DataFrame, project: str, by: str = "name", labels: str = "labels",
                        name: str = "host") -> DataFrame:
-    """FL6: containers of one compose project, by name prefix or project label."""
+    """FL6: containers of one compose project, by name prefix (``<project>-...`` or ``<project>_...``) or project label."""
     if by == "label":
         return snap.filter(F.try_element_at(F.col(labels), F.lit("com.docker.compose.project")) == project)
-    return snap.filter(F.col(name).startswith(project))
+    return snap.filter((F.col(name) == project) | F.col(name).startswith(f"{project}-") | F.col(name).startswith(f"{project}_"))
 
 
 # Accepted HTTP codes and the severity of a failed probe per component.

@@ -8,13 +8,16 @@ as ``window()`` makes them, so buckets add up to the total increase.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.ordered import lag_in_series, time_chunk
+from ..plans.ordered import epoch_seconds, lag_in_series, running_sums, time_chunk
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 _UNITS = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
           "day": 86400, "days": 86400}
@@ -47,9 +50,10 @@ def counter_delta(metrics: DataFrame, series: Sequence[str], ts: str = "ts", val
     """WN1: ``prev_value``, ``delta`` and ``is_reset`` for every sample.
 
     The first sample of a series has no delta.  A drop is a reset, and the
-    delta is then the new value.
+    delta is then the new value.  A null value is no sample: it has no row, and
+    the next delta reaches over it.
     """
-    lagged = lag_in_series(metrics, series, [ts], [value], chunk_seconds=chunk_seconds)
+    lagged = lag_in_series(metrics.filter(F.col(value).isNotNull()), series, [ts], [value], chunk_seconds=chunk_seconds)
     v, p = F.col(value), F.col("prev_" + value)
     vtype = metrics.schema[value].dataType
     delta = F.when(p.isNull(), F.lit(None)).when(v >= p, v - p).otherwise(v).cast(vtype)
@@ -62,14 +66,48 @@ def counter_increase(metrics: DataFrame, series: Sequence[str], window: str = "1
     """AG1: reset-corrected increase per series and ``[start, end)`` bucket.
 
     A bucket with no delta yields no row.  ``step`` makes stepped (sliding)
-    buckets; each delta then lands in ``window/step`` buckets.
+    buckets (see ``_stepped``).
     """
     d = counter_delta(metrics, series, ts, value).filter(F.col("delta").isNotNull())
+    if step and not isinstance(d.schema["delta"].dataType, (T.FloatType, T.DoubleType)):
+        return _stepped(d, series, window, step, ts)
+    # Binary floats are summed bucket by bucket: a running sum that is taken back would leave rounding behind.
     w = F.window(ts, window, step) if step else F.window(ts, window)
     g = d.groupBy(*series, w.alias("w")).agg(exact_sum(d, "delta").alias("increase"))
     return g.select(*series, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "increase")
 
 
+def _stepped(deltas: DataFrame, series: Sequence[str], window: str, step: str, ts: str) -> DataFrame:
+    """Increase per stepped bucket, each delta touched twice instead of ``window / step`` times.
+
+    A delta enters at the first bucket that holds it and leaves after the last.
+    Deltas that enter (leave) at the same bucket are added up before the shuffle,
+    so at most two rows per pane move; running sums over these rows give the
+    increase of every bucket up to the next change, and the buckets in between
+    are written out in place.  Both running sum and lag work chunk by chunk, so a
+    hot series is never one task.
+    """
+    size, hop = duration_seconds(window), duration_seconds(step)
+    at, pane = epoch_seconds(ts), math.gcd(size, hop)
+    first = (F.ceil((F.floor(at / pane) * pane + pane - size) / hop) * hop).cast("bigint")
+    last = (F.floor(at / hop) * hop).cast("bigint")
+    kind = deltas.groupBy().agg(exact_sum(deltas, "delta").alias("v")).schema["v"].dataType
+    one = F.lit(1).cast("bigint")
+    ends = F.array(F.struct(first.alias("_at"), F.col("delta").cast(kind).alias("_v"), one.alias("_n")),
+                   F.struct((last + hop).alias("_at"), (-F.col("delta")).cast(kind).alias("_v"), (-one).alias("_n")))
+    changes = (deltas.filter(first <= last).select(*series, F.inline(ends))
+               .groupBy(*series, "_at").agg(F.sum("_v").cast(kind).alias("_v"), F.sum("_n").alias("_n")))
+    chunk = F.floor(F.col("_at") / F.lit(max(86400, 16 * hop)))
+    run = running_sums(changes, series, ["_at"], {"_sum": "_v", "_count": "_n"}, chunk=chunk)
+    run = lag_in_series(run, series, ["_at"], [], chunk=chunk)
+    held = run.filter((F.col("_count") - F.col("_n")) > 0).select(
+        *series, (F.col("_sum") - F.col("_v")).cast(kind).alias("increase"),
+        F.explode(F.sequence("prev__at", F.col("_at") - hop, F.lit(hop).cast("bigint"))).alias("_at"))
+    ntz = isinstance(deltas.schema[ts].dataType, T.TimestampNTZType)
+    when = lambda c: F.timestamp_add("SECOND", c, F.expr(_EPOCH_NTZ)) if ntz else F.timestamp_seconds(c)
+    return held.select(*series, when(F.col("_at")).alias("window_start"), when(F.col("_at") + size).alias("window_end"), "increase")
+
+
 def counter_rate(metrics: DataFrame, series: Sequence[str], window: str = "5 minutes",
                  step: str | None = None, ts: str = "ts", value: str = "value") -> DataFrame:
     """AG2: increase divided by the window length in seconds (per second)."""
@@ -186,13 +224,13 @@ MEM_PEAK_LIMIT_BYTES = 8 * 1024 ** 3
 def resource_targets(stats: DataFrame, keys: Sequence[str] = ("container",), cpu: str = "cpu_pct",
                      mem: str = "mem_used_bytes", cpu_limit: float = CPU_AVG_LIMIT_PCT,
                      mem_normal: int = MEM_NORMAL_LIMIT_BYTES, mem_peak: int = MEM_PEAK_LIMIT_BYTES) -> DataFrame:
-    """AG13: average CPU below 50 %, memory below 4 GiB on average and 8 GiB at peak."""
+    """AG13: average CPU below 50 %, memory below 4 GiB on average and 8 GiB at peak (unrounded)."""
     g = stats.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.round(F.avg(cpu), 4).alias("avg_cpu_pct"),
-        F.round(F.max(cpu), 4).alias("max_cpu_pct"),
+        F.avg(cpu).alias("avg_cpu_pct"),
+        F.max(cpu).alias("max_cpu_pct"),
         F.count_if(F.col(cpu) >= cpu_limit).alias("n_cpu_over"),
-        F.round(F.avg(mem), 1).alias("avg_mem_bytes"),
+        F.avg(mem).alias("avg_mem_bytes"),
         F.max(mem).alias("max_mem_bytes"),
         F.count_if(F.col(mem) >= mem_normal).alias("n_mem_over_normal"),
         F.count_if(F.col(mem) >= mem_peak).alias("n_mem_over_peak"))

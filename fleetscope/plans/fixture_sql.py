@@ -39,13 +39,13 @@ select o_orderkey as seq,
 from orders""",
     "v_cpu": """
 select event_id,
-       md5(cast((event_id % 100) * 70 as string)) as trace_id, concat('c', cast((event_id % 300) // 100 as string)) as container, ts,
+       md5(cast((event_id % 100) * case when event_id % 10 = 9 then -70 else 70 end as string)) as trace_id, concat('c', cast((event_id % 300) // 100 as string)) as container, ts,
        cast(sum(cast(cast(value as decimal(12,2)) * cast(0.0001 as decimal(4,4)) as decimal(18,6))) over (partition by event_id % 300, cast(ts as date) order by ts) as decimal(18,6)) as value
 from events""",
     "v_obs": """
 select l_orderkey as trace_seq,
        md5(cast(l_orderkey as string)) as trace_id, l_shipdate as ts, p_brand as model,
-       case when l_quantity = 1 then null else cast(l_quantity as bigint) end as tokens,
+       case when l_quantity = 1 and cast(substr(p_brand, 7) as int) % 5 <> 0 then null else cast(l_quantity as bigint) end as tokens,
        cast(cast(l_extendedprice as decimal(12,2)) * cast(0.0001 as decimal(4,4)) as decimal(18,6)) as cost
 from lineitem
 join part on p_partkey = l_partkey""",
@@ -102,12 +102,13 @@ select event_id as seq, md5(cast(user_id as string)) as trace_id, ts, event_type
 from events""",
     "v_actual_cost": """
 select p_brand as model,
-       cast(sum(cast(l_extendedprice as decimal(14,2)) * (94 + cast(substr(p_brand, 7) as int) % 13)) as double) / 1000000 as actual_cost
+       cast(sum(cast(l_extendedprice as decimal(14,2)) * case when cast(substr(p_brand, 7) as int) % 7 = 4 then 0 else 94 + cast(substr(p_brand, 7) as int) % 13 end) as double) / 1000000 as actual_cost
 from lineitem
 join part on p_partkey = l_partkey
+where cast(substr(p_brand, 7) as int) % 7 <> 3
 group by p_brand""",
     "v_deps": """
-select distinct cast(c_custkey % 150 as string) as service, cast(c_nationkey as string) as depends_on,
+select distinct cast(c_custkey % 150 as string) as service, cast(case when c_custkey % 150 % 3 = 0 then (c_nationkey // 5 + 1) * 5 else c_nationkey end as string) as depends_on,
        'service_healthy' as condition
 from customer""",
 }

@@ -106,12 +106,12 @@ def v_traces(spark, sf_dir) -> DataFrame:
 
 
 def v_cpu(spark, sf_dir) -> DataFrame:
-    """Cpu-second counters: three containers a trace, each reset at midnight."""
+    """Cpu-second counters: three containers a trace, each reset at midnight; every tenth has no trace."""
     ev = table(spark, sf_dir, "events")
     base = ev.select("event_id", (F.col("event_id") % 300).alias("_series"), "ts",
                      F.to_date("ts").alias("_day"), _millis("value").alias("_v"))
     out = running_sum(base, ["_series", "_day"], ["ts"], "_v", "value", chunk_seconds=86400)
-    return out.select("event_id", F.md5((F.col("_series") % 100 * 70).cast("string")).alias("trace_id"),
+    return out.select("event_id", F.md5((F.col("_series") % 100 * F.when(F.col("_series") % 10 == 9, -70).otherwise(70)).cast("string")).alias("trace_id"),
                       F.concat(F.lit("c"), F.floor(F.col("_series") / 100).cast("string")).alias("container"), "ts",
                       F.col("value").cast("decimal(18,6)").alias("value"))
 
@@ -123,7 +123,7 @@ def v_obs(spark, sf_dir) -> DataFrame:
     return j.select(
         F.col("l_orderkey").alias("trace_seq"), _md5_of("l_orderkey").alias("trace_id"),
         F.col("l_shipdate").alias("ts"), F.col("p_brand").alias("model"),
-        F.when(F.col("l_quantity") == 1, F.lit(None)).otherwise(F.col("l_quantity").cast("bigint")).alias("tokens"),
+        F.when((F.col("l_quantity") == 1) & (F.substring("p_brand", 7, 1 << 20).cast("int") % 5 != 0), F.lit(None)).otherwise(F.col("l_quantity").cast("bigint")).alias("tokens"),
         _millis("l_extendedprice").alias("cost"))
 
 
@@ -222,17 +222,21 @@ def v_updates(spark, sf_dir) -> DataFrame:
 
 
 def v_actual_cost(spark, sf_dir) -> DataFrame:
+    """Billed cost per brand: off by some percent, zero for some brands, none for others."""
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
     j = li.join(part, part.p_partkey == li.l_partkey)
-    factor = F.lit(94) + F.substring("p_brand", 7, 1 << 20).cast("int") % 13
-    return j.groupBy(F.col("p_brand").alias("model")).agg(
+    brand = F.substring("p_brand", 7, 1 << 20).cast("int")
+    factor = F.when(brand % 7 == 4, 0).otherwise(F.lit(94) + brand % 13)
+    return j.filter(brand % 7 != 3).groupBy(F.col("p_brand").alias("model")).agg(
         (F.sum(F.col("l_extendedprice").cast("decimal(14,2)") * factor).cast("double") / 1000000).alias("actual_cost"))
 
 
 def v_deps(spark, sf_dir) -> DataFrame:
-    """Service dependencies: host ``c_custkey % 150`` waits on host ``c_nationkey``."""
+    """Service dependencies: host ``c_custkey % 150`` waits on host ``c_nationkey``, a third of them on hosts that are always healthy."""
     c = table(spark, sf_dir, "customer")
-    return c.select((F.col("c_custkey") % 150).cast("string").alias("service"),
-                    F.col("c_nationkey").cast("string").alias("depends_on"),
+    service = F.col("c_custkey") % 150
+    steady = (F.floor(F.col("c_nationkey") / 5) + 1) * 5
+    return c.select(service.cast("string").alias("service"),
+                    F.when(service % 3 == 0, steady).otherwise(F.col("c_nationkey")).cast("bigint").cast("string").alias("depends_on"),
                     F.lit("service_healthy").alias("condition")).distinct()

@@ -15,12 +15,12 @@ aggregation (map-side combine), and their own window runs over chunks, not
 rows.  The join back is on one struct key ``(series, chunk)``, the same key
 the row-level window partitions by, so the big side is shuffled once.  The
 input is read twice (once narrowed, for the summaries); an expensive derived
-input should be materialised first (see ``plans.materialize``).
+input should be written to a table first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,19 +90,24 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 value: str | Column, out: str, chunk_seconds: int = 3600,
                 chunk: Column | None = None) -> DataFrame:
     """``sum(value) over (partition by keys order by order)`` (default RANGE frame)."""
+    return running_sums(df, keys, order, {out: value}, chunk_seconds, chunk)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str | Column],
+                 chunk_seconds: int = 3600, chunk: Column | None = None) -> DataFrame:
+    """``running_sum`` of several values (new column -> value) in one pass."""
     keys, order = list(keys), list(order)
-    v = F.col(value) if isinstance(value, str) else value
-    d = _series_chunk_key(df.withColumn("_v", v), keys,
-                          chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
-    totals = d.groupBy(SKEY).agg(F.sum("_v").alias("_tot"))
+    d = df.withColumns({f"_v_{out}": F.col(v) if isinstance(v, str) else v for out, v in values.items()})
+    d = _series_chunk_key(d, keys, chunk if chunk is not None else time_chunk(order[0], chunk_seconds))
+    totals = d.groupBy(SKEY).agg(*[F.sum(f"_v_{out}").alias(f"_tot_{out}") for out in values])
     before = (Window.partitionBy(*_key_cols(keys)).orderBy(F.col(f"{SKEY}.c"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(SKEY, F.sum("_tot").over(before).alias("_off"))
+    offsets = totals.select(SKEY, *[F.sum(f"_tot_{out}").over(before).alias(f"_off_{out}") for out in values])
     joined = d.join(offsets, SKEY, "left")
     w = (Window.partitionBy(SKEY).orderBy(*order)
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    res = joined.withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.sum("_v").over(w))
-    return res.drop("_v", "_off", SKEY)
+    res = joined.withColumns({out: F.coalesce(F.col(f"_off_{out}"), F.lit(0)) + F.sum(f"_v_{out}").over(w) for out in values})
+    return res.drop(SKEY, *[f"_v_{out}" for out in values], *[f"_off_{out}" for out in values])
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

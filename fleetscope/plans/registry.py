@@ -9,50 +9,18 @@ check cheap.  ``QUERIES[name](spark, sf_dir)`` returns a DataFrame;
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .fixture_sql import with_views
+from .registration import ORACLES, QUERIES, register, rounded as _rounded  # noqa: F401
 from ..operators import catalog, config, costs, fleet, logs, metrics, releases, secrets, traces
 from .. import functions as fn
 from ..sources.containers import parse_container_stats
 from ..sources.logs import parse_bracketed_logs, parse_service_lines
 from ..streaming import batch_forms, stateful
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _bigint_count_if(sql: str) -> str:
-    """DuckDB's ``count_if`` is HUGEINT; Spark's is BIGINT.  Cast every call so types agree."""
-    out, i = [], 0
-    while True:
-        j = sql.find("count_if(", i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        depth, k = 0, j + len("count_if")
-        while True:
-            depth += {"(": 1, ")": -1}.get(sql[k], 0)
-            k += 1
-            if depth == 0:
-                break
-        out.append(sql[i:j] + "cast(" + sql[j:k] + " as bigint)")
-        i = k
-
-
-def register(name: str, sql: str | None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = _bigint_count_if(sql)
-        return fn
-    return deco
-
-
 # Parameters of the registered queries (chosen once, shared by Spark and the oracle).
 LOG_AS_OF = "2024-01-30 23:00:00"
 FRESH_AS_OF = "2024-01-31 00:00:00"
@@ -70,11 +38,6 @@ def _sql_list(xs):
     return ", ".join(f"'{x}'" for x in xs)
 
 
-def _rounded(df: DataFrame, **places: int) -> DataFrame:
-    """Doubles rounded for the comparison with the oracle; operators themselves do not round."""
-    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
-
-
 # --------------------------------------------------------------------------- costs (flagship)
 
 @register("attribute_cost", with_views(f"""
@@ -140,7 +103,7 @@ select name, source, count(value) as n, round(avg(cast(value as double)), 4) as
        round(count_if(value > 0) / count(value), 4) as share_positive
 from v_scores group by all""", "v_scores"))
 def q_score_summary(spark, sf):
-    return costs.score_summary(fx.v_scores(spark, sf))
+    return _rounded(costs.score_summary(fx.v_scores(spark, sf)), mean=4, share_positive=4)
 
 
 # --------------------------------------------------------------------------- metrics
@@ -176,6 +139,27 @@ def q_counter_increase_stepped(spark, sf):
     return metrics.counter_increase(fx.v_tokens(spark, sf), ["model", "instance"], "2 hours", "1 hour")
 
 
+@register("counter_increase_panes", with_views(_TOKEN_DELTAS + """
+, b as (select model, instance, delta, unnest(range(0, 36)) as k, time_bucket(interval 10 minute, ts) as pane from dd where delta is not null)
+select model, instance, pane - k * interval 10 minute as window_start, pane - k * interval 10 minute + interval 6 hour as window_end,
+       cast(sum(delta) as decimal(38,6)) as increase
+from b group by all""", "v_tokens"))
+def q_counter_increase_panes(spark, sf):
+    return metrics.counter_increase(fx.v_tokens(spark, sf), ["model", "instance"], "6 hours", "10 minutes")
+
+
+@register("counter_increase_nulls", with_views("""
+, gaps as (select * replace (case when event_id % 7 <> 0 then value end as value) from v_tokens)
+, d as (select *, lag(value) over (partition by model, instance order by ts) as prev_value from gaps where value is not null)
+select model, instance, date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end,
+       cast(sum(case when value >= prev_value then value - prev_value else value end) as decimal(38,6)) as increase
+from d where prev_value is not null group by all""", "v_tokens"))
+def q_counter_increase_nulls(spark, sf):
+    """A null sample is none: the increase reaches over it."""
+    gaps = fx.v_tokens(spark, sf).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return metrics.counter_increase(gaps, ["model", "instance"], "1 day")
+
+
 _RATE5 = _TOKEN_DELTAS + """
 , r as (select model, instance, time_bucket(interval 5 minute, ts) as window_start,
                time_bucket(interval 5 minute, ts) + interval 5 minute as window_end,
@@ -283,11 +267,11 @@ select container, count(*) as n_samples, round(avg(cpu_pct), 4) as avg_cpu_pct,
        count_if(cpu_pct >= 50) as n_cpu_over, round(avg(mem_used_bytes), 1) as avg_mem_bytes,
        max(mem_used_bytes) as max_mem_bytes, count_if(mem_used_bytes >= 4294967296) as n_mem_over_normal,
        count_if(mem_used_bytes >= 8589934592) as n_mem_over_peak,
-       round(avg(cpu_pct), 4) < 50 as cpu_ok, round(avg(mem_used_bytes), 1) < 4294967296 as mem_normal_ok,
+       avg(cpu_pct) < 50 as cpu_ok, avg(mem_used_bytes) < 4294967296 as mem_normal_ok,
        max(mem_used_bytes) < 8589934592 as mem_peak_ok
 from v_stats group by container""", "v_stats"))
 def q_resource_targets(spark, sf):
-    return metrics.resource_targets(fx.v_stats(spark, sf))
+    return _rounded(metrics.resource_targets(fx.v_stats(spark, sf)), avg_cpu_pct=4, max_cpu_pct=4, avg_mem_bytes=1)
 
 
 # --------------------------------------------------------------------------- logs
@@ -380,6 +364,24 @@ def q_correlate_stream(spark, sf):
     return batch_forms.correlate_stream(t, s).select("span_seq", "seq", "trace_ts", "start_ts", "trace_id")
 
 
+@register("correlate_stream_outer", with_views("""
+, t as (select seq, case when seq % 11 <> 0 then md5(cast(seq % 500 as string)) end as trace_id,
+               timestamp '2024-01-01' + interval 1 hour * (seq % 720) as ts from v_traces where seq % 10 = 0)
+, s as (select seq as span_seq, case when seq % 13 <> 0 then trace_id end as trace_id, start_ts from v_spans)
+select s.span_seq, t.seq, t.ts as trace_ts, s.start_ts, coalesce(s.trace_id, t.trace_id) as trace_id,
+       t.seq is not null as in_traces, s.span_seq is not null as in_spans
+from t full outer join s on t.trace_id = s.trace_id and s.start_ts between t.ts - interval 1 hour and t.ts + interval 1 hour""",
+                                              "v_spans", "v_traces"))
+def q_correlate_stream_outer(spark, sf):
+    """Every trace and every span: matched, or alone once (also those without an id)."""
+    t = fx.v_traces(spark, sf).filter(F.col("seq") % 10 == 0).select(
+        "seq", F.when(F.col("seq") % 11 != 0, F.md5((F.col("seq") % 500).cast("string"))).alias("trace_id"),
+        F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(seq % 720))").alias("ts"))
+    s = fx.v_spans(spark, sf).select(F.col("seq").alias("span_seq"), F.when(F.col("seq") % 13 != 0, F.col("trace_id")).alias("trace_id"), "start_ts")
+    return batch_forms.correlate_stream(t, s, how="full_outer").select(
+        "span_seq", "seq", "trace_ts", "start_ts", "trace_id", "in_traces", "in_spans")
+
+
 @register("ratio_sample", with_views(
     f"select * from v_spans where cast('0x' || substr({ID.format('trace_id')}, 18, 15) as bigint) < "
     f"{traces.sample_threshold(0.1)}", "v_spans"))
@@ -405,14 +407,15 @@ def q_slow_trace_metrics(spark, sf):
 
 
 @register("correlate_by_time", with_views("""
-, m as (select date_trunc('hour', ts) as bucket_start, count(*) as n_samples, round(avg(cpu_pct), 4) as avg_cpu_pct,
-               max(mem_used_bytes) as max_mem_bytes from v_stats group by 1)
+, m as (select 'svc' || (event_id % 4) as service, date_trunc('hour', ts) as bucket_start, count(*) as n_samples,
+               round(avg(cpu_pct), 9) as avg_cpu_pct, max(mem_used_bytes) as max_mem_bytes from v_stats group by 1, 2)
 select s.*, date_trunc('hour', s.start_ts) as bucket_start, m.n_samples, m.avg_cpu_pct, m.max_mem_bytes
-from v_spans s left join m on m.bucket_start = date_trunc('hour', s.start_ts)
+from v_spans s left join m on m.bucket_start = date_trunc('hour', s.start_ts) and m.service = s.service
 where s.duration_ms > 5000""", "v_spans", "v_stats"))
 def q_correlate_by_time(spark, sf):
     calls = traces.slow_calls(fx.v_spans(spark, sf), latency="duration_ms")
-    return traces.correlate_by_time(calls, fx.v_stats(spark, sf), "1 hour")
+    stats = fx.v_stats(spark, sf).withColumn("service", F.concat(F.lit("svc"), (F.col("event_id") % 4).cast("string")))
+    return _rounded(traces.correlate_by_time(calls, stats, "1 hour", keys=["service"]), avg_cpu_pct=9)
 
 
 @register("loop_traces", with_views("""
@@ -431,10 +434,10 @@ def q_loop_traces_contains(spark, sf):
 
 @register("token_coverage", with_views("""
 select model, count(*) as n_rows, count(tokens) as n_with_tokens, round(count(tokens) / count(*), 4) as coverage,
-       round(count(tokens) / count(*), 4) >= 1.0 as target_met
+       count(tokens) = count(*) as target_met
 from v_obs group by model""", "v_obs"))
 def q_token_coverage(spark, sf):
-    return traces.token_coverage(fx.v_obs(spark, sf), ["model"])
+    return _rounded(traces.token_coverage(fx.v_obs(spark, sf), ["model"]), coverage=4)
 
 
 @register("latency_targets", with_views("""
@@ -443,7 +446,7 @@ select count(*) as n, round(count_if(latency_ms < 2000) / count(*), 4) as share_
        round(cast(quantile_cont(latency_ms, 0.95) as double), 4) as p95
 from v_traces""", "v_traces"))
 def q_latency_targets(spark, sf):
-    return traces.latency_targets(fx.v_traces(spark, sf), exact=True)
+    return _rounded(traces.latency_targets(fx.v_traces(spark, sf), exact=True), share_below=4, p50=4, p95=4)
 
 
 @register("attribute_hygiene", with_views("""
@@ -525,6 +528,29 @@ def q_mirror_diff(spark, sf):
     return catalog.mirror_diff(fx.primary_catalog(spark, sf), fx.replica_catalog(spark, sf))
 
 
+@register("mirror_diff_excluded", with_views("""
+, p as (select host, case second(mtime) % 20 when 3 then name || '.log' when 7 then '.sync-lock' else name end as name, size_bytes, mtime from v_primary)
+, r as (select host, case second(mtime) % 20 when 3 then name || '.log' else name end as name, size_bytes, mtime from v_replica
+        union all select distinct host, '.sync-lock', 1, timestamp '2024-01-01' from v_replica)
+, pk as (select * from p where not ends_with(name, '.log') and name <> '.sync-lock')
+, rk as (select * from r where not ends_with(name, '.log') and name <> '.sync-lock')
+select coalesce(p.host, r.host) as host, coalesce(p.name, r.name) as name,
+       case when r.host is null then 'copy' when p.host is null then 'delete'
+            when p.size_bytes is distinct from r.size_bytes or p.mtime is distinct from r.mtime then 'update'
+            else 'same' end as action,
+       p.size_bytes as p_size, r.size_bytes as r_size
+from pk p full outer join rk r on p.host = r.host and p.name = r.name""", "v_primary", "v_replica"))
+def q_mirror_diff_excluded(spark, sf):
+    """Lock files and logs of either side are no part of the plan."""
+    odd = F.second("mtime") % 20
+    logged = F.when(odd == 3, F.concat("name", F.lit(".log"))).otherwise(F.col("name"))
+    p = fx.primary_catalog(spark, sf).withColumn("name", F.when(odd == 7, ".sync-lock").otherwise(logged))
+    r = fx.replica_catalog(spark, sf).withColumn("name", logged)
+    locks = r.select("host").distinct().select("host", F.lit(".sync-lock").alias("name"), F.lit(1).cast("bigint").alias("size_bytes"),
+                                               F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("mtime"))
+    return catalog.mirror_diff(p, r.unionByName(locks))
+
+
 @register("count_parity", with_views("""
 select host, cast(sum(p) as bigint) as n_primary, cast(sum(r) as bigint) as n_replica, sum(p) = sum(r) as counts_match
 from (select host, 1 as p, 0 as r from v_primary union all select host, 0, 1 from v_replica) group by host""",
@@ -581,12 +607,14 @@ _AGE_H = f"cast(floor((epoch(timestamp '{FRESH_AS_OF}') - floor(epoch(l.mtime)))
 @register("backup_freshness", with_views(f"""
 , l as (select host, arg_max(name, mtime) as name, max(mtime) as mtime from v_primary
         where mtime <= timestamp '{FRESH_AS_OF}' group by host)
-, h as (select distinct host from v_status)
+, h as (select distinct host from v_status union select 'spare' || cast(c_nationkey as string) from customer)
 select h.host, l.name, l.mtime, case when l.mtime is not null then {_AGE_H} end as age_hours,
        case when l.mtime is null then 'no_backups' when {_AGE_H} < 25 then 'ok' else 'warn' end as status
 from h left join l on h.host = l.host""", "v_primary", "v_status"))
 def q_backup_freshness(spark, sf):
-    return catalog.backup_freshness(fx.primary_catalog(spark, sf), fx.v_status(spark, sf), FRESH_AS_OF, 25)
+    spare = fx.table(spark, sf, "customer").select(F.concat(F.lit("spare"), F.col("c_nationkey").cast("string")).alias("host"))
+    hosts = fx.v_status(spark, sf).select("host").unionByName(spare)
+    return catalog.backup_freshness(fx.primary_catalog(spark, sf), hosts, FRESH_AS_OF, 25)
 
 
 @register("rpo_gaps", with_views("""
@@ -600,12 +628,22 @@ def q_rpo_gaps(spark, sf):
 
 @register("storage_growth", with_views("""
 , daily as (select host, cast(mtime as date) as day, cast(sum(size_bytes) as bigint) as bytes from v_files group by all)
+select host, day, cast(sum(bytes) over w as bigint) as bytes,
+       case when row_number() over w > 1 then cast(sum(bytes) over w - bytes as bigint) end as prev_bytes, cast(1 as integer) as days,
+       bytes as growth, bytes > 1073741824 as over_limit
+from daily window w as (partition by host order by day)""", "v_files"))
+def q_storage_growth(spark, sf):
+    return catalog.storage_growth(fx.v_files(spark, sf), added=True)
+
+
+@register("storage_growth_measured", with_views("""
+, daily as (select host, cast(mtime as date) as day, cast(sum(size_bytes) as bigint) as bytes from v_files group by all)
 select host, day, bytes, lag(bytes) over w as prev_bytes, cast(day - lag(day) over w as integer) as days,
        bytes - lag(bytes) over w as growth,
-       coalesce(bytes - lag(bytes) over w > 1073741824 * (day - lag(day) over w), false) as over_limit
+       coalesce(bytes - lag(bytes) over w > 104857600 * (day - lag(day) over w), false) as over_limit
 from daily window w as (partition by host order by day)""", "v_files"))
-def q_storage_growth(spark, sf):
-    return catalog.storage_growth(fx.v_files(spark, sf))
+def q_storage_growth_measured(spark, sf):
+    return catalog.storage_growth(fx.v_files(spark, sf), limit=100 * 1024 ** 2)
 
 
 @register("missed_runs", with_views("""
@@ -674,6 +712,16 @@ def q_volume_sizes(spark, sf):
     return catalog.volume_sizes(fx.v_files(spark, sf))
 
 
+@register("volume_sizes_total", with_views("""
+, f as (select host, case when contains(name, '-manual-') then 'manual' else 'scheduled' end as volume, size_bytes from v_files)
+select host, volume, cast(2 - (grouping(host) + grouping(volume)) as integer) as level, count(*) as n_files,
+       cast(sum(size_bytes) as bigint) as total_bytes
+from f group by rollup(host, volume)""", "v_files"))
+def q_volume_sizes_total(spark, sf):
+    volume = F.when(F.contains("name", F.lit("-manual-")), "manual").otherwise("scheduled")
+    return catalog.volume_sizes(fx.v_files(spark, sf).withColumn("volume", volume), ["host", "volume"], totals=True)
+
+
 # --------------------------------------------------------------------------- fleet
 
 _STATE = """case when status is null or trim(status) = '' then 'missing' when not starts_with(status, 'Up') then 'not_running'
@@ -705,9 +753,22 @@ def q_classify_status(spark, sf):
     return fleet.classify_status(fx.v_status(spark, sf))
 
 
-@register("project_containers", with_views("select * from v_status where starts_with(host, '1')", "v_status"))
+@register("project_containers", with_views("""
+, n as (select *, 'p' || host || case event_id % 3 when 0 then '-' when 1 then '_' else '' end
+                  || case event_id % 3 when 2 then '' else container end as name from v_status)
+select * from n where name = 'p1' or starts_with(name, 'p1-') or starts_with(name, 'p1_')""", "v_status"))
 def q_project_containers(spark, sf):
-    return fleet.project_containers(fx.v_status(spark, sf), "1")
+    sep = F.when(F.col("event_id") % 3 == 0, "-").when(F.col("event_id") % 3 == 1, "_").otherwise("")
+    rest = F.when(F.col("event_id") % 3 == 2, "").otherwise(F.col("container"))
+    snap = fx.v_status(spark, sf).withColumn("name", F.concat(F.lit("p"), "host", sep, rest))
+    return fleet.project_containers(snap, "p1", name="name")
+
+
+@register("project_containers_label", with_views("select * from v_status where host = '7' and event_id % 4 <> 0", "v_status"))
+def q_project_containers_label(spark, sf):
+    label = F.when(F.col("event_id") % 4 != 0, F.create_map(F.lit("com.docker.compose.project"), F.col("host")))
+    snap = fx.v_status(spark, sf).withColumn("labels", F.coalesce(label, F.create_map(F.lit("other"), F.col("host"))))
+    return fleet.project_containers(snap, "7", by="label").drop("labels")
 
 
 @register("classify_endpoint", with_views(_ENDPOINTS + "\nselect * from ep", "v_probes"))
@@ -1008,3 +1069,7 @@ def q_container_fields(spark, sf):
 select page_id, trim(regexp_replace(html, '<[^>]*>', '', 'g')) as text from pages""")
 def q_strip_tags(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", fn.strip_tags("html").alias("text"))
+
+
+# The queries of these modules are registered when they are read.
+from . import landing, summaries  # noqa: E402, F401

@@ -21,6 +21,11 @@ def read_container_snapshots(spark: SparkSession, path: str, host_from: str = "p
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         "value", F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("snapshot_ts"))
+    return parse_container_listings(files, host_from)
+
+
+def parse_container_listings(files: DataFrame, host_from: str = "parent") -> DataFrame:
+    """Listings as text (value, path, snapshot_ts) -> one row per container."""
     lines = files.select("path", "snapshot_ts", F.split(F.col("value"), "\n").alias("_l"))
     header = F.element_at("_l", 1)
     starts = [F.instr(header, h) for h, _ in HEADERS]

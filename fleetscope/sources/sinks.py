@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def export_batch(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("day",),
-                 mode: str = "overwrite") -> str:
+                 mode: str = "overwrite", rows_per_file: int = 5_000_000) -> str:
     """SNK1: write under ``<path>/exports/``, partitioned by ``by`` (e.g. the day).
 
     Partition columns become folders, so later reads prune by date.  Overwriting
     replaces only the partitions in ``df``, so a second run of a day does not
-    double it.
+    double it.  Rows are gathered by folder before they are written (REBALANCE),
+    so a small day is one file instead of one per task; a large day is dealt to
+    several tasks by its size, and no file has more than ``rows_per_file`` rows.
     """
     target = f"{path.rstrip('/')}/exports"
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt).save(target)
+    (df.hint("rebalance", *[F.col(c) for c in by]).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy(*by).format(fmt).save(target))
     return target
 
 
