@@ -63,7 +63,18 @@ select c_custkey as line_no,
 from customer""",
     "v_scan": """
 select doc_id,
-       case when doc_id % 50 = 0 then concat(text, chr(10), 'key sk-lf-', substr(md5(cast(doc_id as string)),1,8), '-1234-1234-1234-', substr(md5(cast(doc_id as string)),1,12)) when doc_id % 50 = 1 then concat(text, chr(10), 'DATABASE_URL=op://vault/db/url') when doc_id % 50 = 2 then concat(text, chr(10), 'CLICKHOUSE_PASSWORD=', substr(md5(cast(doc_id as string)),1,16)) when doc_id % 50 = 3 then concat(text, chr(10), 'REDIS_AUTH=CHANGE_ME') else text end as text
+       case when doc_id % 50 = 0 then concat(text, chr(10), 'key sk-lf-', substr(md5(cast(doc_id as string)),1,8), '-1234-1234-1234-', substr(md5(cast(doc_id as string)),1,12)) when doc_id % 50 = 1 then concat(text, chr(10), 'DATABASE_URL=op://vault/db/url') when doc_id % 50 = 2 then concat(text, chr(10), 'CLICKHOUSE_PASSWORD=', substr(md5(cast(doc_id as string)),1,16)) when doc_id % 50 = 3 then concat(text, chr(10), 'REDIS_AUTH=CHANGE_ME')
+       when doc_id % 50 = 4 then concat(text, chr(10), 'pk-lf-', substr(md5(cast(doc_id as string)),1,8), '-1234-1234-1234-', substr(md5(cast(doc_id as string)),1,12))
+       when doc_id % 50 = 5 then concat(text, chr(10), 'url postgresql://app:', substr(md5(cast(doc_id as string)),1,9), '@db/x postgres://a:b@c')
+       when doc_id % 50 = 6 then concat(text, chr(10), 'MINIO_ROOT_SECRET_KEY: ', substr(md5(cast(doc_id as string)),1,9))
+       when doc_id % 50 = 7 then concat(text, chr(10), 'SALT = x1 NEXTAUTH_SECRET=', md5(cast(doc_id as string)))
+       when doc_id % 50 = 8 then concat(text, chr(10), '-----BEGIN RSA PRIVATE KEY-----')
+       when doc_id % 50 = 9 then concat(text, chr(10), 'ENCRYPTION_KEY=${ENC_1}')
+       when doc_id % 50 = 10 then concat(text, chr(10), 'REDIS_PASSWORD="your-password-here"')
+       when doc_id % 50 = 11 then concat(text, chr(10), 'S3_UPLOAD_SECRET=PLACEHOLDER_X')
+       when doc_id % 50 = 12 then concat(text, chr(10), 'postgres://u:my-test-pw@h')
+       when doc_id % 50 = 14 then concat(text, chr(10), 'REDIS_PASSWORD = ', substr(md5(cast(doc_id as string)),1,12))
+       when doc_id % 50 = 13 then concat(text, chr(10), 'CLICKHOUSE_PASSWORD=op://vault/x') else text end as text
 from documents""",
     "v_versions": """
 select p_partkey as service,
@@ -75,9 +86,12 @@ select p_partkey as service,
 from part""",
     "v_commits": """
 select event_id, ts,
-       concat(case event_type when 'view' then 'feat(ui): ' when 'error' then 'fix: ' when 'click' then 'chore(deps): ' when 'purchase' then 'refactor(db)!: ' else 'update ' end, 'change ',
-       cast(event_id as string), ' (#',
-       cast(event_id as string), ')') as message,
+       concat(['feat(ui): ', 'fix: ', 'docs: ', 'perf(db): ', 'refactor(db)!: ', 'style: ', 'test: ', 'chore(release): prepare for ',
+               'chore(deps): ', 'chore(pr): ', 'chore(pull): ', 'chore: ', 'ci(main): ', 'build: ', 'revert: ', 'build!: ', 'update ',
+               'feat!: ', 'fix(api): ', 'other(x): '][event_id % 20 + 1], 'change ', cast(event_id as string),
+              case when event_id % 4 = 0 then ' by PR #' else ' (#' end, cast(event_id as string), case when event_id % 4 = 0 then '' else ')' end,
+              case when event_id % 5 = 0 then chr(10) || chr(10) || 'fix: not the header' else '' end) as message,
+       case event_id % 20 when 13 then 'notes on security' when 3 then 'BREAKING CHANGE: all of it' when 15 then 'security comes first' end as body,
        case when ts < timestamp '2024-01-29 00:00:00' then concat('v1.',
        cast(date_part('day', ts) as string), '.0') end as tag
 from events""",

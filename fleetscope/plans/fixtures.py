@@ -160,6 +160,17 @@ def v_scan(spark, sf_dir) -> DataFrame:
             .when(F.col("doc_id") % 50 == 1, F.concat("text", nl, F.lit("DATABASE_URL=op://vault/db/url")))
             .when(F.col("doc_id") % 50 == 2, F.concat("text", nl, F.lit("CLICKHOUSE_PASSWORD="), F.substring(h, 1, 16)))
             .when(F.col("doc_id") % 50 == 3, F.concat("text", nl, F.lit("REDIS_AUTH=CHANGE_ME")))
+            .when(F.col("doc_id") % 50 == 4, F.concat("text", nl, F.lit("pk-lf-"), F.substring(h, 1, 8), F.lit("-1234-1234-1234-"), F.substring(h, 1, 12)))
+            .when(F.col("doc_id") % 50 == 5, F.concat("text", nl, F.lit("url postgresql://app:"), F.substring(h, 1, 9), F.lit("@db/x postgres://a:b@c")))
+            .when(F.col("doc_id") % 50 == 6, F.concat("text", nl, F.lit("MINIO_ROOT_SECRET_KEY: "), F.substring(h, 1, 9)))
+            .when(F.col("doc_id") % 50 == 7, F.concat("text", nl, F.lit("SALT = x1 NEXTAUTH_SECRET="), h))
+            .when(F.col("doc_id") % 50 == 8, F.concat("text", nl, F.lit("-----BEGIN RSA PRIVATE KEY-----")))
+            .when(F.col("doc_id") % 50 == 9, F.concat("text", nl, F.lit("ENCRYPTION_KEY=${ENC_1}")))
+            .when(F.col("doc_id") % 50 == 10, F.concat("text", nl, F.lit('REDIS_PASSWORD="your-password-here"')))
+            .when(F.col("doc_id") % 50 == 11, F.concat("text", nl, F.lit("S3_UPLOAD_SECRET=PLACEHOLDER_X")))
+            .when(F.col("doc_id") % 50 == 12, F.concat("text", nl, F.lit("postgres://u:my-test-pw@h")))
+            .when(F.col("doc_id") % 50 == 14, F.concat("text", nl, F.lit("REDIS_PASSWORD = "), F.substring(h, 1, 12)))
+            .when(F.col("doc_id") % 50 == 13, F.concat("text", nl, F.lit("CLICKHOUSE_PASSWORD=op://vault/x")))
             .otherwise(F.col("text")))
     return d.select("doc_id", text.alias("text"))
 
@@ -176,15 +187,22 @@ def v_versions(spark, sf_dir) -> DataFrame:
     return p.select(F.col("p_partkey").alias("service"), pinned.alias("pinned"), newest.alias("newest"))
 
 
+COMMIT_PREFIXES = ["feat(ui): ", "fix: ", "docs: ", "perf(db): ", "refactor(db)!: ", "style: ", "test: ", "chore(release): prepare for ",
+                   "chore(deps): ", "chore(pr): ", "chore(pull): ", "chore: ", "ci(main): ", "build: ", "revert: ", "build!: ", "update ",
+                   "feat!: ", "fix(api): ", "other(x): "]
+
+
 def v_commits(spark, sf_dir) -> DataFrame:
+    """Commits of every group, skipped ones, unconventional ones, bodies and several lines."""
     ev = table(spark, sf_dir, "events")
-    prefix = F.expr("case event_type when 'view' then 'feat(ui): ' when 'error' then 'fix: ' when 'click' "
-                    "then 'chore(deps): ' when 'purchase' then 'refactor(db)!: ' else 'update ' end")
-    msg = F.concat(prefix, F.lit("change "), F.col("event_id").cast("string"), F.lit(" (#"),
-                   F.col("event_id").cast("string"), F.lit(")"))
+    n = F.col("event_id")
+    prefix = F.element_at(F.array(*[F.lit(x) for x in COMMIT_PREFIXES]), (n % len(COMMIT_PREFIXES) + 1).cast("int"))
+    msg = F.concat(prefix, F.lit("change "), n.cast("string"), F.when(n % 4 == 0, " by PR #").otherwise(" (#"), n.cast("string"),
+                   F.when(n % 4 == 0, "").otherwise(")"), F.when(n % 5 == 0, "\n\nfix: not the header").otherwise(""))
+    body = F.when(n % 20 == 13, "notes on security").when(n % 20 == 3, "BREAKING CHANGE: all of it").when(n % 20 == 15, "security comes first")
     tag = F.when(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-29 00:00:00")),
                  F.concat(F.lit("v1."), F.dayofmonth("ts").cast("string"), F.lit(".0")))
-    return ev.select("event_id", "ts", msg.alias("message"), tag.alias("tag"))
+    return ev.select("event_id", "ts", msg.alias("message"), body.alias("body"), tag.alias("tag"))
 
 
 def v_scores(spark, sf_dir) -> DataFrame:

@@ -383,8 +383,8 @@ def q_correlate_stream_outer(spark, sf):
 
 
 @register("ratio_sample", with_views(
-    f"select * from v_spans where cast('0x' || substr({ID.format('trace_id')}, 18, 15) as bigint) < "
-    f"{traces.sample_threshold(0.1)}", "v_spans"))
+    # a tenth of 2 ** 60, rounded up
+    f"select * from v_spans where cast('0x' || substr({ID.format('trace_id')}, 18, 15) as bigint) < 115292150460684698", "v_spans"))
 def q_ratio_sample(spark, sf):
     return traces.ratio_sample(fx.v_spans(spark, sf), 0.1)
 
@@ -733,14 +733,9 @@ _CLASSIFIED = f"""
 , cs as (select *, case state when 'healthy' then 0 when 'pending' then 1 else 2 end as severity from cs0)"""
 
 
-def _accepted_sql():
-    whens = " ".join(f"when '{k}' then http_code in ({', '.join(str(c) for c in v)})"
-                     for k, v in fleet.ACCEPTED_CODES.items())
-    sev = " ".join(f"when '{k}' then {v}" for k, v in fleet.FAILURE_SEVERITY.items())
-    return f"coalesce(case component {whens} end, false)", f"coalesce(case component {sev} end, 2)"
-
-
-_ACC, _FSEV = _accepted_sql()
+_ACC = ("coalesce(case component when 'web' then http_code in (200, 301, 302) when 'object_store' then http_code in (200, 403) "
+        "when 'analytics' then http_code = 200 end, false)")
+_FSEV = "coalesce(case component when 'web' then 2 when 'object_store' then 1 when 'analytics' then 1 end, 2)"
 _ENDPOINTS = f"""
 , ep as (select *, {_ACC} as accepted,
                 case when http_code is null then 'no_answer' when {_ACC} then 'ok' else 'failed' end as outcome,
@@ -880,18 +875,32 @@ def q_config_kv(spark, sf):
 
 # --------------------------------------------------------------------------- secrets
 
+# The documented rules, written out for the oracle: rule, severity, pattern, and the part that is held against the allowed forms.
+_HEX = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+_SCAN_RULES = [
+    ("public_key", "High", "pk-lf-" + _HEX, None), ("secret_key", "Critical", "sk-lf-" + _HEX, None),
+    ("db_url_password", "Critical", r"postgres(?:ql)?://[^:@/\s]+:[^@\s]+@", r"://[^:@/\s]+:([^@\s]+)@"),
+    ("clickhouse_password", "Critical", r"CLICKHOUSE_PASSWORD\s*[=:]\s*\S+", r"[=:]\s*(\S+)"),
+    ("object_store_secret", "Critical", r"[A-Z0-9_]*(?:MINIO|S3)_[A-Z0-9_]*SECRET[A-Z0-9_]*\s*[=:]\s*\S+", r"[=:]\s*(\S+)"),
+    ("redis_auth", "High", r"REDIS_(?:AUTH|PASSWORD)\s*[=:]\s*\S+", r"[=:]\s*(\S+)"),
+    ("encryption_key", "Critical", r"(?:ENCRYPTION_KEY|SALT|NEXTAUTH_SECRET)\s*[=:]\s*\S+", r"[=:]\s*(\S+)"),
+    ("private_key", "Critical", "-----BEGIN (?:RSA |DSA |EC |OPENSSH )?PRIVATE KEY-----", None),
+]
+_SCAN_ALLOWED = (r"(regexp_matches(v, '^[\x22\x27]?op://') or regexp_matches(v, '^[\x22\x27]?\$\{[A-Za-z_]\w*\}[\x22\x27]?$') "
+                 r"or contains(v, 'your-password-here') or regexp_matches(v, '^[\x22\x27]?PLACEHOLDER_') or contains(v, 'CHANGE_ME') or contains(v, '-test-'))")
+
+
 def _scan_sql(lines_cte: str, id_cols: str, keep_allowed: bool = False) -> str:
     parts = []
-    for rule, pat, sev, vp in secrets.SECRET_RULES:
+    for rule, sev, pat, vp in _SCAN_RULES:
         value = f"regexp_extract(m, '{vp}', 1)" if vp else "m"
         parts.append(f"select {id_cols}, line_no, line, pos, '{rule}' as rule, '{sev}' as severity, m, {value} as v "
                      f"from (select *, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i: "
                      f"1 + list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i-1], "
                      f"lambda x: len(x))), 0))) as pos from (select *, regexp_extract_all(line, '{pat}', 0) as ms, "
                      f"string_split_regex(line, '{pat}') as gaps from lines where regexp_matches(line, '{pat}')))")
-    allow = " or ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOW_PATTERNS)
-    extra = f", ({allow}) as allowed" if keep_allowed else ""
-    where = "" if keep_allowed else f"where not ({allow})"
+    extra = f", {_SCAN_ALLOWED} as allowed" if keep_allowed else ""
+    where = "" if keep_allowed else f"where not {_SCAN_ALLOWED}"
     return (f"{lines_cte}\n, found as ({' union all '.join(parts)})\n"
             f"select {id_cols}, line_no, rule, severity, cast(pos as bigint) as \"offset\", sha256(m) as match_hash{extra}\n"
             f"from found {where}")
@@ -957,24 +966,27 @@ def q_findings_summary(spark, sf):
 
 # --------------------------------------------------------------------------- releases
 
+_CONVENTIONAL = r"^([A-Za-z]+)(\(([^)]*)\))?(!)?: (.+)$"
+
+
 def _changelog_sql() -> str:
-    conv = releases.CONVENTIONAL
-    case = "case " + " ".join(
-        f"when regexp_matches({'h' if f == 'message' else 'b'}, '{p}') then {(-1 if g is None else g)}"
-        for f, p, g in releases.PARSERS) + " end"
-    labels = "case group_no " + " ".join(f"when {k} then '{v}'" for k, v in releases.GROUPS.items()) + " end"
-    ip, ir = releases.ISSUE_LINK
-    pp, pr = releases.PR_LINK
-    ir = ir.replace("$", "\\").format(repo=REPO_URL)
-    pr = pr.replace("$", "\\").format(repo=REPO_URL)
-    return with_views(f"""
-, c as (select event_id, ts, tag, split_part(message, chr(10), 1) as h, '' as b from v_commits)
-, k as (select *, {case} as group_no from c where regexp_matches(h, '{conv}'))
-, d as (select *, regexp_replace(regexp_replace(regexp_extract(h, '{conv}', 5), '{ip}', '{ir}', 'g'), '{pp}', '{pr}', 'g') as descr
+    return with_views(rf"""
+, c as (select event_id, ts, tag, split_part(message, chr(10), 1) as h, coalesce(body, '') as b from v_commits)
+, k as (select *, case when starts_with(h, 'feat') then 0 when starts_with(h, 'fix') then 1 when starts_with(h, 'doc') then 3
+                       when starts_with(h, 'perf') then 4 when starts_with(h, 'refactor') then 2 when starts_with(h, 'style') then 5
+                       when starts_with(h, 'test') then 6 when starts_with(h, 'chore(release): prepare for') then -1
+                       when regexp_matches(h, '^chore\(deps.*\)') then -1 when starts_with(h, 'chore(pr)') then -1
+                       when starts_with(h, 'chore(pull)') then -1 when starts_with(h, 'chore') or starts_with(h, 'ci') then 7
+                       when contains(b, 'security') then 8 when starts_with(h, 'revert') then 9 else 10 end as group_no
+        from c where regexp_matches(h, '{_CONVENTIONAL}'))
+, d as (select *, regexp_replace(regexp_replace(regexp_extract(h, '{_CONVENTIONAL}', 5), '\((\w+\s)?#([0-9]+)\)', '([#\2]({REPO_URL}/issues/\2))', 'g'),
+                                 'PR #([0-9]+)', '[PR #\1]({REPO_URL}/pull/\1)', 'g') as descr
         from k where group_no >= 0)
 select event_id, ts, coalesce(tag, 'Unreleased') as release, regexp_replace(tag, '^v', '') as version, group_no,
-       {labels} as group_name, nullif(regexp_extract(h, '{conv}', 3), '') as scope,
-       (regexp_extract(h, '{conv}', 4) = '!' or contains(b, 'BREAKING CHANGE')) as breaking,
+       ['Features', 'Bug Fixes', 'Refactor', 'Documentation', 'Performance', 'Styling', 'Testing', 'Miscellaneous Tasks',
+        'Security', 'Revert', 'Other'][group_no + 1] as group_name,
+       nullif(regexp_extract(h, '{_CONVENTIONAL}', 3), '') as scope,
+       (regexp_extract(h, '{_CONVENTIONAL}', 4) = '!' or contains(b, 'BREAKING CHANGE')) as breaking,
        upper(left(descr, 1)) || substr(descr, 2) as description,
        row_number() over (partition by coalesce(tag, 'Unreleased'), group_no order by ts, event_id) as position
 from d""", "v_commits")
@@ -982,7 +994,7 @@ from d""", "v_commits")
 
 @register("changelog", _changelog_sql())
 def q_changelog(spark, sf):
-    return releases.changelog(fx.v_commits(spark, sf), REPO_URL)
+    return releases.changelog(fx.v_commits(spark, sf), REPO_URL, body="body")
 
 
 @register("release_pairs", with_views(f"""
