@@ -40,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import semi_join, stored, table
+from .verify import confirmed
 from .wordhash import Runs, Words, mix, slices
 
 GROUPS = 32
 LEAF = 64
-#: Most groups of a fine point, which has two to four groups a shingle up to there.
+#: Most groups of a fine point, which has one or two groups a shingle up to there.
 FINEST = 4096
 
 
@@ -71,7 +72,7 @@ def _fine_points(value: np.ndarray, owner: np.ndarray, size: np.ndarray):
     """Counts in a byte each, in more groups the larger the set, so that sets without anything in common tell apart."""
     import pyarrow as pa
 
-    wanted = np.clip(2 * size, GROUPS, FINEST)
+    wanted = np.clip(size, GROUPS, FINEST)
     groups = 1 << np.ceil(np.log2(wanted)).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(groups)])
     counts = np.bincount(begin[owner] + (value & (groups[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1]))
@@ -148,20 +149,6 @@ def _prefixes(n: int, percent: int, common):
     return run
 
 
-def _sets(n: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for whole in batches:
-            for batch in slices(whole, 1):
-                value, at = shingle_sets(Words(batch.column(1), lower=True), n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))],
-                    names=["id", "shingles"])
-
-    return run
-
-
 class RTree:
     """Points packed into leaves with bounding boxes; finds pairs whose overlap bound reaches the similarity."""
 
@@ -274,10 +261,10 @@ def _search_blocks(percent: int):
                 if len(fresh) >= 50_000:
                     yield out(fresh)
                     fresh = []
+                if len(known) >= 200_000:
+                    known.clear()
             if fresh:
                 yield out(fresh)
-            if len(known) > 500_000:
-                known.clear()
 
         held, current = None, None
         for batch in batches:
@@ -330,8 +317,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``common_from``: a shingle met so often by the tasks goes last in the prefix
     order (up to ``max_common`` shingles, the most frequent first; the order
-    changes the cost only, never the result).
+    changes the cost only, never the result).  ``percent`` is 50 at least: the
+    sizes of linked sets then differ by a factor of two at most.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent lies between 50 and 100")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
     spark = docs.sparkSession
@@ -365,7 +355,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .select(F.col("v.head").alias("a"), "b"))
     stars = stored(stars, "stars")
     tested = stored(_within_bounds(stars, facts, percent, max_broadcast), "star-pairs")
-    links = stored(_verified(docs, tested, n, percent, max_broadcast), "star-links")
+    links = stored(confirmed(docs, tested, n, percent), "star-links")
     first = components(links)
 
     # Blocks whose members lie in more than one component, as tiles of an R-tree join.
@@ -378,7 +368,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_blocks = open_blocks.join(points, "id")
     searched = _tiled(open_blocks, tile).mapInArrow(_search_blocks(percent), f"a {id_type}, b {id_type}")
     further = stored(searched.distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
-    more = stored(_verified(docs, further, n, percent, max_broadcast), "tree-links")
+    more = stored(confirmed(docs, further, n, percent), "tree-links")
     final = components(links.unionByName(more), "all-components")
 
     comp_of = (members.join(final.withColumnRenamed("id", "rep"), "rep", "left")
@@ -442,21 +432,6 @@ def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int, max_broadcas
     return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, max_broadcast: int) -> DataFrame:
-    """The pairs (stored; a, b) whose sets are similar enough, by exact intersection.
-
-    Sets are made where the texts are read; only the second ones travel, to the first ones.
-    """
-    kind = pairs.schema["a"].dataType.simpleString()
-    sets = lambda c: (_some(docs, pairs, c, max_broadcast).mapInArrow(_sets(n), f"id {kind}, shingles array<long>")
-                      .select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")))
-    few = pairs.limit(max_broadcast + 1).count() <= max_broadcast
-    both = sets("b").join(F.broadcast(pairs) if few else pairs, "b").join(sets("a"), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    return both.filter(100 * shared.cast("long") >= percent * union.cast("long")).select("a", "b").distinct()
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that belong to an earlier document's component (the least id stays; null ids stay)."""
     found = similar_components(docs, id_col, text_col, **options)
