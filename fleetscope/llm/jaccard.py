@@ -35,6 +35,8 @@ results; input columns besides the named ones are ignored or kept as stated.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ from .wordhash import Runs, Words, mix, slices
 
 GROUPS = 32
 LEAF = 64
-#: Most groups of a fine point, which has one or two groups a shingle up to there.
+#: Most groups of a fine point, which has up to one group a shingle, and half a group at least, up to there.
 FINEST = 4096
 
 
@@ -68,16 +70,26 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(words.count) + 1))
 
 
+def _packed(counts: bytes) -> bytes:
+    """A fine point as it travels: small counts take one or two bits each in a Huffman code."""
+    code = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return code.compress(counts) + code.flush()
+
+
+def _unpacked(fine: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(fine, -15), np.uint8)
+
+
 def _fine_points(value: np.ndarray, owner: np.ndarray, size: np.ndarray):
     """Counts in a byte each, in more groups the larger the set, so that sets without anything in common tell apart."""
     import pyarrow as pa
 
-    wanted = np.clip(size, GROUPS, FINEST)
+    wanted = np.clip(size / 2, GROUPS, FINEST)
     groups = 1 << np.ceil(np.log2(wanted)).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(groups)])
     counts = np.bincount(begin[owner] + (value & (groups[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1]))
-    raw = np.minimum(counts, 255).astype(np.uint8).tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(raw)])
+    raw = np.minimum(counts, 255).astype(np.uint8)
+    return pa.array([_packed(raw[a:b].tobytes()) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())], pa.binary())
 
 
 def _facts(n: int):
@@ -194,7 +206,7 @@ class _Tile:
     def __init__(self, rows: dict):
         self.id, self.comp, self.side = rows["id"], np.asarray(rows["comp"]), np.asarray(rows["side"])
         self.size = np.asarray(rows["size"], np.int64)
-        fine = [np.frombuffer(x, np.uint8) for x in rows["fine"]]
+        fine = [_unpacked(x) for x in rows["fine"]]
         self.level = np.asarray([len(x).bit_length() for x in fine])
         self.full = np.asarray([x.max() == 255 for x in fine])  # a count that does not fit a byte bounds nothing
         points = np.stack([x.reshape(-1, GROUPS).sum(axis=0) for x in fine]).astype(np.int64)
@@ -402,7 +414,7 @@ def _some(rows: DataFrame, ids: DataFrame, col: str, max_broadcast: int) -> Data
 
 def _shared_bound(a: bytes, b: bytes) -> float:
     """Most shingles two sets can share, from their fine points; the finer one is folded to the other's groups."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = _unpacked(a), _unpacked(b)
     if x.max() == 255 or y.max() == 255:
         return np.inf  # a count that does not fit a byte bounds nothing
     if len(x) != len(y):
