@@ -215,8 +215,13 @@ class _Tile:
         self.rows, self.at = {}, {}
         for lv in np.unique(self.level):
             own, up = np.flatnonzero(self.level == lv), np.flatnonzero(self.level == lv + 1)
-            folded = [fine[i].reshape(2, -1).sum(axis=0, dtype=np.uint16) for i in up]
-            self.rows[lv] = np.stack([*(fine[i].astype(np.uint16) for i in own), *folded])
+            held = self.rows[lv] = np.empty((len(own) + len(up), 1 << (int(lv) - 1)), np.uint8)
+            for k, i in enumerate(own):
+                held[k] = fine[i]
+            for k, i in enumerate(up, len(own)):
+                folded = fine[i].reshape(2, -1).sum(axis=0, dtype=np.uint16)
+                held[k] = np.minimum(folded, 255)
+                self.full[i] |= bool(folded.max() > 255)
             self.at[lv] = np.full(len(fine), -1)
             self.at[lv][np.concatenate([own, up])] = np.arange(len(own) + len(up))
 
