@@ -18,14 +18,27 @@ from fleetscope.llm.common import stored, table, workers_import
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; null and empty texts stay.  Learns from labels outside the held-out fold."""
     workers_import(spark)
+    _small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), keep=lambda i: ~toxicity.held_out(i))
     scored = toxicity.score(docs, model)
     return scored.filter((F.col("score") < 0.5) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).select(*docs.columns)
 
 
+#: Rows that Arrow hands to a Python worker at once, where the session says nothing else.  Documents
+#: are long: with Spark's 10,000 a task holds tens of MB of text twice, in the JVM's buffers and in Python.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least id of each group of similar documents stays."""
     workers_import(spark)
+    _small_batches(spark)
     return jaccard.keep_one(docs)
 
 
