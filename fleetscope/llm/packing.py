@@ -10,14 +10,23 @@ pieces at a time and hands the unfinished sequence's pieces to the next pool,
 so nothing is shuffled and one sequence per task is left over.  That one is cut
 into power-of-two sequences, which need no padding.
 
-Defined cases: null text is an empty text (its end id alone); repeated rows are
-packed each; an empty table gives no rows; a text of any length is cut into
-full sequences and a rest; columns besides id and text are ignored.
+Loss: the tokens of a prompt bear none, and neither does the first token of a
+piece, which nothing in its sequence predicts.  A piece that bears as much loss as a
+sequence may hold is a sequence of its own.
+
+Segments: by default a sequence may hold as many pieces as tokens, so that short
+texts fill it; a lower limit is kept, at the price of padding where texts are short.
+
+Defined cases: null text is an empty text (its end id alone), a null prompt is
+none; repeated rows are packed each; an empty table gives no rows; a text of any
+length is cut into full sequences and a rest; columns besides those named are
+ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +36,7 @@ from .common import table
 from .tokens import encoder, texts_of
 from .wordhash import slices
 
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 
 
 def pack_vectors(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], min_cut: int = 0) -> list[list[tuple[int, int, int]]]:
@@ -35,8 +44,9 @@ def pack_vectors(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, i
 
     ``limits``: tokens, segments, loss-bearing tokens of a sequence.  With
     ``min_cut`` > 0 pieces may be cut to fill a gap of at least that many
-    tokens (every token but a piece's first then bears loss).  A piece that
-    exceeds a limit by itself is an error.
+    tokens; a piece's loss-bearing tokens are then its last ones, and the first
+    token after a cut bears none.  A piece that exceeds a limit by itself is an
+    error.
     """
     if len(tokens) and (tokens.max() > limits[0] or limits[1] < 1 or loss.max() > limits[2]):
         raise ValueError("a piece exceeds the limits of a sequence")
@@ -57,14 +67,17 @@ def pack_vectors(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, i
             taken.append((k, int(begin[k]), int(tokens[k])))
             room -= (tokens[k], 1, loss[k])
             alive[k], left = False, left - 1
-        gap = int(min(room[0], room[2] + 1))
-        if left and min_cut and gap >= min_cut and room[1] >= 1:
-            k = int(np.where(alive, tokens, -1.0).argmax())
-            if tokens[k] > gap:
+        if left and min_cut and room[0] >= min_cut and room[1] >= 1:
+            # Of each piece as much as fits; the piece that fills most of the gap is cut, the longest of equals.
+            free = tokens - loss
+            fits = np.where(alive, np.minimum(room[0], room[2] + free), -1.0)
+            k = int(np.lexsort((tokens, fits))[-1])
+            gap = int(fits[k])
+            if min_cut <= gap < tokens[k]:
                 taken.append((k, int(begin[k]), gap))
                 begin[k] += gap
                 tokens[k] -= gap
-                loss[k] = tokens[k] - 1
+                loss[k] = tokens[k] - max(free[k] - gap, 1)
         out.append(taken)
     return out
 
@@ -74,25 +87,30 @@ class _Packer:
 
     def __init__(self, first_id: int, limits: tuple[int, int, int], min_cut: int, dtype: np.dtype):
         self.next_id, self.limits, self.min_cut, self.dtype = first_id, limits, min_cut, dtype
-        self.full = min(limits[0], limits[2] + 1)
-        self.pool: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
+        self.pool: list[tuple] = []  # (doc_id, start, ids, doc_tokens, leading tokens without loss)
 
     def _row(self, piece, begin, length, offset):
-        doc_id, start, ids, doc_tokens = piece
+        doc_id, start, ids, doc_tokens, free = piece
         crc = zlib.crc32(ids[begin:begin + length].astype("<u4"))
-        return doc_id, start + begin, length, crc, doc_tokens, self.next_id, offset
+        return doc_id, start + begin, length, crc, doc_tokens, self.next_id, offset, max(0, length - max(free - begin, 1))
 
-    def add(self, doc_id, ids: np.ndarray):
+    def add(self, doc_id, ids: np.ndarray, prompt: int = 0):
+        """Place the full sequences of an example at once and pool its rest; its first ``prompt`` tokens bear no loss."""
         at = 0
-        while len(ids) - at >= self.full:
-            yield self._row((doc_id, 0, ids, len(ids)), at, self.full, 0)
-            self.next_id, at = self.next_id + 1, at + self.full
-        if at < len(ids):
-            self.pool.append((doc_id, at, ids[at:].copy() if at else ids, len(ids)))
+        while at < len(ids):
+            free = max(prompt - at, 1)
+            take = min(self.limits[0], self.limits[2] + free, len(ids) - at)
+            if take == self.limits[0] or take - free == self.limits[2]:
+                yield self._row((doc_id, 0, ids, len(ids), prompt), at, take, 0)
+                self.next_id += 1
+            else:
+                self.pool.append((doc_id, at, ids[at:at + take].copy(), len(ids), min(free, take)))
+            at += take
 
     def pack(self, last: bool):
         size = np.asarray([len(p[2]) for p in self.pool], np.int64)
-        bins = pack_vectors(size, np.maximum(size - 1, 0), self.limits, self.min_cut)
+        free = np.asarray([p[4] for p in self.pool], np.int64)
+        bins = pack_vectors(size, size - free, self.limits, self.min_cut)
         open_bin = bins.pop() if bins else []
         for taken in bins:
             offset = 0
@@ -100,7 +118,8 @@ class _Packer:
                 yield self._row(self.pool[k], begin, length, offset)
                 offset += length
             self.next_id += 1
-        self.pool = [(p[0], p[1] + b, p[2][b:b + n], p[3]) for p, b, n in ((self.pool[k], b, n) for k, b, n in open_bin)]
+        self.pool = [(p[0], p[1] + b, p[2][b:b + n], p[3], min(max(p[4] - b, 1), n))
+                     for p, b, n in ((self.pool[k], b, n) for k, b, n in open_bin)]
         if last:
             yield from self._powers()
 
@@ -111,7 +130,7 @@ class _Packer:
             at = 0
             while at < len(piece[2]):
                 if not room:
-                    room, offset = 1 << (min(left, self.full).bit_length() - 1), 0
+                    room, offset = 1 << (min(left, self.limits[0]).bit_length() - 1), 0
                 take = min(room, len(piece[2]) - at)
                 yield self._row(piece, at, take, offset)
                 at, offset, room, left = at + take, offset + take, room - take, left - take
@@ -121,14 +140,19 @@ class _Packer:
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-                   max_tokens: int = 2048, max_segments: int = 64, max_loss: int = 2047, pool: int = 1024,
-                   min_cut: int = 16) -> DataFrame:
+                   max_tokens: int = 2048, max_segments: int | None = None, max_loss: int = 2047, pool: int = 1024,
+                   min_cut: int = 16, prompt_col: str | None = None) -> DataFrame:
     """Pieces of all texts (ids plus ``end_id``) placed in sequences.
 
-    Returns id, start, length, ids_crc32, doc_tokens, sequence_id, offset; a
-    piece's tokens but its first bear loss.  Sequence ids are unique, not gapless.
+    With ``prompt_col`` an example is the ids of its prompt, then those of its
+    text, then ``end_id``; the prompt bears no loss (instruction data).  Without
+    ``max_segments`` the number of pieces is bounded by ``max_tokens`` alone.
+
+    Returns id, start, length, ids_crc32, doc_tokens, sequence_id, offset and
+    n_loss (loss-bearing tokens).  Sequence ids are unique, not gapless.
     """
-    limits = (max_tokens, max_segments, max_loss)
+    limits = (max_tokens, max_segments or max_tokens, max_loss)
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss"]
 
     def pack(batches):
         import pyarrow as pa
@@ -141,16 +165,17 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
         def flush():
             columns = zip(*rows)
-            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else kind) for k, c in enumerate(columns)],
-                                              names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else kind) for k, c in enumerate(columns)], names=names)
             rows.clear()
             return done
 
         for whole in batches:
             kind = whole.schema.field(0).type
             for batch in slices(whole, 1):
-                for doc_id, data in zip(batch.column(0).to_pylist(), enc.encode_all(texts_of(batch.column(1)))):
-                    rows += packer.add(doc_id, np.frombuffer(data + end, enc.dtype))
+                texts = enc.encode_all(texts_of(batch.column(1)))
+                prompts = enc.encode_all(texts_of(batch.column(2))) if prompt_col else repeat(b"")
+                for doc_id, prompt, data in zip(batch.column(0).to_pylist(), prompts, texts):
+                    rows += packer.add(doc_id, np.frombuffer(prompt + data + end, enc.dtype), len(prompt) // enc.dtype.itemsize)
                     if len(packer.pool) >= pool:
                         rows += packer.pack(last=False)
                 if len(rows) >= 5_000:
@@ -159,7 +184,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         if rows:
             yield flush()
 
-    chosen = df.select(F.col(id_col), F.col(text_col))
+    chosen = df.select(*(F.col(c) for c in (id_col, text_col, prompt_col) if c))
     return chosen.mapInArrow(pack, f"`{id_col}` {chosen.schema[0].dataType.simpleString()}, {PIECES}")
 
 

@@ -94,3 +94,47 @@ def test_whole_examples_are_packed_under_three_limits():
     with pytest.raises(ValueError):
         packing.pack_vectors(np.asarray([600]), np.asarray([1]), (512, 4, 300))
     assert len(bins) < 1.25 * max(tokens.sum() / 512, 500 / 4, loss.sum() / 300)
+
+
+@pytest.mark.parametrize("shape", ["short", "long", "mixed"])
+def test_sequences_are_filled(shape):
+    rng = np.random.default_rng(5)
+    size = {"short": rng.integers(5, 16, 4096), "long": rng.integers(1000, 9000, 300),
+            "mixed": np.where(rng.random(3000) < 0.9, rng.integers(1, 40, 3000), rng.integers(100, 5000, 3000))}[shape]
+    packer, rows = packing._Packer(0, (2048, 2048, 2047), 16, np.dtype("<u2")), []
+    for i, n in enumerate(size.tolist()):
+        rows += packer.add(i, np.full(n, 7, "<u2"))
+        if len(packer.pool) >= 1024:
+            rows += packer.pack(last=False)
+    rows += packer.pack(last=True)
+    used = defaultdict(int)
+    for r in rows:
+        used[r[5]] += r[2]
+    padded = sum(n if n & (n - 1) == 0 else 2048 for n in used.values())
+    assert sum(used.values()) == size.sum() and max(used.values()) <= 2048
+    assert size.sum() >= 0.98 * padded
+
+
+@pytest.mark.parametrize("limits", [(64, 4, 20), (256, 9, 255)])
+def test_prompts_bear_no_loss_and_three_limits_hold(spark, ids, limits):
+    workers_import(spark)
+    texts = [r[1] for r in corpus.rows()]
+    rows = [(i, q, a, "x") for i, (q, a) in enumerate(zip([None, "", *texts], [*texts, None, ""]))]
+    df = spark.createDataFrame(rows, "doc_id long, prompt string, text string, n_loss string").repartition(2)
+    got = packing.pack_documents(df, PATH, 1, max_tokens=limits[0], max_segments=limits[1], max_loss=limits[2], pool=16,
+                                 min_cut=4, prompt_col="prompt").collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for p in got:
+        by_doc[p.doc_id].append(p)
+        by_seq[p.sequence_id].append(p)
+    for i, prompt, text, _ in rows:
+        free = len(ids(prompt))
+        a, at = np.asarray([*ids(prompt), *ids(text), 1], "<u4"), 0
+        for p in sorted(by_doc[i], key=lambda p: p.start):
+            assert p.start == at and p.ids_crc32 == zlib.crc32(a[at:at + p.length].tobytes())
+            assert p.n_loss == sum(k >= free and k > at for k in range(at, at + p.length))
+            at += p.length
+        assert at == len(a) == by_doc[i][0].doc_tokens
+    for pieces in by_seq.values():
+        assert sum(p.length for p in pieces) <= limits[0] and len(pieces) <= limits[1]
+        assert sum(p.n_loss for p in pieces) <= limits[2]
