@@ -51,6 +51,39 @@ def stored(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What modules keep in a reused Python worker, as functions that drop it.
+KEPT: list = []
+
+
+def release() -> None:
+    """Drop what earlier stages kept in this Python worker and give freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for forget in KEPT:
+        forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """The Arrow function ``run`` with a worker's memory released before and after it.
+
+    Spark reuses Python workers, so what one stage leaves behind would add to the next one's peak.
+    """
+    def wrapped(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; ``lower`` is the cheap equal of it for text without other characters."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

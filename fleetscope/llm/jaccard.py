@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import semi_join, stored, table
+from .common import semi_join, stored, table, tidy
 from .verify import confirmed
 from .wordhash import Runs, Words, mix, slices
 
@@ -342,7 +342,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
     spark = docs.sparkSession
-    facts = stored(docs.mapInArrow(_facts(n), f"id {id_type}, size int, d1 long, d2 long, fine binary, shingle long, times long"), "set-facts")
+    facts = stored(docs.mapInArrow(tidy(_facts(n)), f"id {id_type}, size int, d1 long, d2 long, fine binary, shingle long, times long"), "set-facts")
     rows = facts.filter("size is not null").select("id", "size", "d1", "d2", "fine")
     nonempty = rows.filter("size > 0 and id is not null")
     classes = nonempty.groupBy("size", "d1", "d2").agg(F.min("id").alias("rep"))
@@ -354,7 +354,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     late = np.sort(np.asarray([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(late)
     one_each = semi_join(docs.filter("id is not null"), others, "id", max_broadcast, "left_anti")
-    keys = (one_each.mapInArrow(_prefixes(n, percent, shared), f"id {id_type}, keys array<long>")
+    keys = (one_each.mapInArrow(tidy(_prefixes(n, percent, shared)), f"id {id_type}, keys array<long>")
             .select("id", F.explode("keys").alias("key")))
 
     # Blocks: shingles that several sets have among their first; equal member lists only once.
@@ -383,7 +383,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ids = stored(open_blocks.select("id").distinct(), "open-ids")
     points = semi_join(facts.select("id", "size", "fine"), open_ids, "id", max_broadcast).dropDuplicates(["id"])
     open_blocks = open_blocks.join(points, "id")
-    searched = _tiled(open_blocks, tile).mapInArrow(_search_blocks(percent), f"a {id_type}, b {id_type}")
+    searched = _tiled(open_blocks, tile).mapInArrow(tidy(_search_blocks(percent)), f"a {id_type}, b {id_type}")
     further = stored(searched.distinct().join(stars, ["a", "b"], "left_anti"), "tree-pairs")
     more = stored(confirmed(docs, further, n, percent), "tree-links")
     final = components(links.unionByName(more), "all-components")
@@ -446,7 +446,7 @@ def _within_bounds(pairs: DataFrame, rows: DataFrame, percent: int, max_broadcas
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return joined.mapInArrow(tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import KEPT
+
 #: Latin letters (UTF-8, A-Z already lower-cased) between runs of ASCII punctuation (without ' and <): up to three
 #: pre-tokens, each encoded on its own.
 _MARKS = rb"[!-&(-/:;=-@\[-`{-~]"
@@ -83,6 +85,7 @@ class TextEncoder:
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
+KEPT.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> TextEncoder:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .tokens import batches_of, texts_of
 
 ORDERS = (4, 6)
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
            .join(F.broadcast(ids), "id").select("id", "label", "text")
-           .mapInArrow(features, f"{ids.schema[0].simpleString().replace(':', ' ')}, label int, buckets binary"))
+           .mapInArrow(tidy(features), f"{ids.schema[0].simpleString().replace(':', ' ')}, label int, buckets binary"))
     rows = {r["id"]: (np.frombuffer(r["buckets"], "<i4"), r["label"]) for r in got.toLocalIterator()}
     ordered = [rows[k] for k in sorted(rows)]
     return fit([b for b, _ in ordered], np.asarray([x for _, x in ordered]), bits)
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
                 yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], scores], names=[*columns, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return chosen.mapInArrow(run, f"{kinds}, score double")
+    return chosen.mapInArrow(tidy(run), f"{kinds}, score double")
 
 
 def held_out(doc_id):
