@@ -1,12 +1,19 @@
-"""Benchmark decontamination: test n-grams as a broadcast set, scanned against every training window.
+"""Benchmark decontamination: a hash set of test n-grams, scanned against every training window.
 
-A text window equals a test n-gram only if it holds that n-gram's rarest word,
-so each n-gram is filed under the word of it that the corpus holds least often
-(counted over all texts).  The scan looks each word of each text up in that
-set, and only where it meets a filed word compares the whole window, word by
-word.  The set is broadcast up to ``max_broadcast`` n-grams; beyond that the
-same join is shuffled.  Everything is native DataFrame functions; the scan is
-one stage, and what leaves it is one row per text plus the verified hits.
+Every window of ``n`` consecutive words of a text has a 64-bit key, made from
+its words in the scan itself.  The keys are looked up in the set of the test
+n-grams' keys, and where one is met the window is verified word by word.
+
+* Up to ``max_broadcast`` bytes (measured: words, ids and table overhead) the
+  distinct n-grams are broadcast, and lookup and verification happen in the
+  one stage that scans the texts.
+* Beyond it the windows are shuffled as (key, row, start, length), 24 bytes
+  each, semi-joined with the keys, and only texts with a met key are read again
+  to verify it.  Texts and their words are never shuffled by word.
+
+Test items are attached after the hits of a text are reduced to its distinct
+n-grams, so an n-gram held by every item costs one row per item and text that
+holds it.  Everything is native DataFrame functions.
 
 Words are runs of characters other than ASCII punctuation, space and control
 characters, with A-Z lower-cased.  A test item with fewer words than ``n`` (but
@@ -34,47 +41,109 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({_WORD})"), F.lit(1))
 
 
-def test_ngrams(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(gram array, items array): distinct n-grams of the test items and the ids that hold them, as strings."""
-    words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))
-    return (words.withColumn("at", F.explode(starts)).select("item", F.slice("w", F.col("at"), n).alias("gram"))
-            .groupBy("gram").agg(F.collect_set("item").alias("items")))
+def _window(words: Column, start: Column, length: Column, n: int) -> list:
+    """The ``length`` words from ``start`` (0-based) on as ``n`` columns; those past the window are null."""
+    return [F.when(F.lit(i) < length, F.get(words, start + i)) for i in range(n)]
 
 
-def _positions(docs: DataFrame, outer: bool = False) -> DataFrame:
-    """One row per word: text row, number of words, position from 0, word."""
-    explode = F.posexplode_outer if outer else F.posexplode
-    return docs.select(*[c for c in docs.columns if c != "w"], "w", explode("w").alias("pos", "word"))
+def test_ngrams(items: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct n-grams of the test items as (g, key, length, gram), and their holders as (g, item), ids as strings."""
+    words = (items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w"))
+             .filter(F.size("w") > 0))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))
+    held = words.withColumn("at", F.explode(starts)).select("item", F.slice("w", F.col("at"), n).alias("gram")).distinct()
+    held = stored(held, "held-ngrams")
+    grams = held.select("gram").distinct().withColumn("length", F.size("gram"))
+    key = F.xxhash64(*_window(F.col("gram"), F.lit(0), F.col("length"), n))
+    # Stored at once, so the numbers stay what they are.
+    grams = stored(grams.select(F.monotonically_increasing_id().alias("g"), key.alias("key"), "length", "gram"), "test-ngrams")
+    return grams, stored(held.join(grams, "gram").select("g", "item"), "ngram-holders")
+
+
+def _windows(texts: DataFrame, lengths: list, n: int, outer: bool) -> DataFrame:
+    """``texts`` (with words ``w``) by window: start, length, key; with ``outer`` a text without windows keeps one row of nulls."""
+    # Windows of all lengths are numbered in a row: those of the first length, then those of the next.
+    count = lambda length: F.greatest(F.lit(0), F.size("w") - length + 1)
+    total = sum((count(length) for length in lengths[1:]), count(lengths[0]))
+    numbers = F.when(total > 0, F.sequence(F.lit(0), total - 1))
+    one = texts.select("*", (F.explode_outer if outer else F.explode)(numbers).alias("number"))
+    start, length, before = F.col("number"), F.lit(lengths[0]), F.lit(0)
+    for last, this in zip(lengths, lengths[1:]):
+        before = before + count(last)
+        start = F.when(F.col("number") >= before, F.col("number") - before).otherwise(start)
+        length = F.when(F.col("number") >= before, F.lit(this)).otherwise(length)
+    one = one.withColumn("start", start).withColumn("length", length)
+    return one.withColumn("key", F.xxhash64(*_window(F.col("w"), F.col("start"), F.col("length"), n)))
+
+
+def _same(gram: Column, words: list) -> Column:
+    """Whether the window's words are the n-gram's, word by word."""
+    same = F.lit(True)
+    for i, word in enumerate(words):
+        same = same & F.get(gram, F.lit(i)).eqNullSafe(word)
+    return same
+
+
+def _scan(texts: DataFrame, grams: DataFrame, lengths: list, n: int) -> DataFrame:
+    """(row, id, n_words, span, g), one row per hit and at least one per text: the n-grams are broadcast."""
+    windows = _windows(texts.select("row", "id", words_of(F.col("text")).alias("w")), lengths, n, outer=True)
+    some = grams.select(F.col("key").alias("gram_key"), F.col("length").alias("gram_length"), "gram", "g")
+    met = windows.join(F.broadcast(some), (F.col("key") == F.col("gram_key")) & (F.col("length") == F.col("gram_length")), "left")
+    found = F.col("g").isNotNull() & _same(F.col("gram"), _window(F.col("w"), F.col("start"), F.col("length"), n))
+    first = F.coalesce(F.col("number") == 0, F.lit(True))
+    return (met.withColumn("found", found).filter(F.col("found") | first)
+            .select("row", "id", F.size("w").alias("n_words"),
+                    F.when(F.col("found"), F.struct("start", "length")).alias("span"), F.when(F.col("found"), F.col("g")).alias("g")))
+
+
+def _shuffled(texts: DataFrame, grams: DataFrame, lengths: list, n: int) -> DataFrame:
+    """As ``_scan``, for any number of n-grams: slim window rows are shuffled, texts with a met key are read again."""
+    texts = stored(texts, "numbered-texts")
+    words = texts.select("row", "id", words_of(F.col("text")).alias("w"))
+    slim = _windows(words.drop("id"), lengths, n, outer=False).select("row", "start", "length", "key")
+    met = stored(slim.join(grams.select("key", "length").distinct().hint("shuffle_merge"), ["key", "length"], "left_semi"), "met-windows")
+    # A text's met windows; their number is bounded by its length.
+    by_text = met.groupBy("row").agg(F.collect_list(F.struct("start", "length", "key")).alias("met"))
+    again = (words.join(by_text, "row").select("row", "w", F.explode("met").alias("m"))
+             .select("row", "m.*", F.array(*_window(F.col("w"), F.col("m.start"), F.col("m.length"), n)).alias("words")))
+    full = grams.select("key", "length", "g", F.array(*_window(F.col("gram"), F.lit(0), F.col("length"), n)).alias("words"))
+    hit = (again.join(full, ["key", "length", "words"])
+           .select("row", F.struct("start", "length").alias("span"), "g"))
+    plain = words.select("row", "id", F.size("w").alias("n_words"))
+    return plain.join(hit, "row", "left").select("row", "id", "n_words", "span", "g")
+
+
+def _judged(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, n: int, max_broadcast: int) -> DataFrame:
+    """Per row of ``docs``: row, id, n_words, spans (distinct (start, length), sorted), gs (distinct n-grams found)."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # At most ``n`` numbers: the lengths of the n-grams.
+    lengths = sorted((r.length for r in grams.select("length").distinct().collect()), reverse=True) or [n]
+    # Words, 24 bytes for each word's place, 64 for the row in the hash table.
+    weight = F.coalesce(F.sum(F.octet_length(F.array_join("gram", " ")) + 64 + 24 * F.col("length")), F.lit(0))
+    few = grams.agg(weight.alias("bytes")).first().bytes <= max_broadcast
+    scan = _scan if few else _shuffled
+    return (scan(texts, grams, lengths, n).groupBy("row", "id", "n_words")
+            .agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("g").alias("gs"))
+            .withColumn("n_words", F.col("n_words").cast("long")))
+
+
+def spans_of(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+             item_text: str = "text", n: int = 10, max_broadcast: int = 64 << 20) -> DataFrame:
+    """Per row of ``docs``: id, n_words, spans (distinct (start, length) of found n-grams, sorted)."""
+    grams, _ = test_ngrams(items, item_id, item_text, n)
+    return _judged(docs, grams, id_col, text_col, n, max_broadcast).select("id", "n_words", "spans")
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-         item_text: str = "text", n: int = 10, max_broadcast: int = 1_000_000) -> DataFrame:
+         item_text: str = "text", n: int = 10, max_broadcast: int = 64 << 20) -> DataFrame:
     """Per row of ``docs``: id, n_words, spans (distinct (start, length) of found n-grams), items (sorted ids as strings)."""
-    grams = stored(test_ngrams(items, item_id, item_text, n), "test-ngrams")
-    few = grams.limit(max_broadcast + 1).count() <= max_broadcast
-    small = F.broadcast if few else (lambda df: df)
-    texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    vocabulary = grams.select(F.explode("gram").alias("word")).distinct()
-    counts = (_positions(texts.select("w")).select("word").join(small(vocabulary), "word")
-              .groupBy("word").agg(F.count(F.lit(1)).alias("seen")))
-    # File each n-gram under its rarest word; one with a word that no text holds cannot occur.
-    filed = (grams.select("gram", "items", F.posexplode("gram").alias("offset", "word")).join(counts, "word", "left")
-             .groupBy("gram", "items").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "offset", "word")).alias("r"))
-             .filter("r.seen > 0").select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "gram", "items"))
-    filed = stored(filed, "filed-ngrams")
-    start = F.col("pos") - F.col("offset")
-    found = F.coalesce((start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("gram")) == F.col("gram")), F.lit(False))
-    row = texts.withColumn("row", F.monotonically_increasing_id())
-    scanned = (_positions(row, outer=True).join(small(filed), "word", "left")
-               .withColumn("found", found).filter(F.col("found") | F.coalesce(F.col("pos") == 0, F.lit(True)))
-               .select("row", "id", F.size("w").alias("n_words"),
-                       F.when(F.col("found"), F.struct(start.alias("start"), F.size("gram").alias("length"))).alias("span"),
-                       F.when(F.col("found"), F.col("items")).alias("held")))
-    return (scanned.groupBy("row", "id", "n_words")
-            .agg(F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("held").alias("held"))
-            .select("id", F.col("n_words").cast("long").alias("n_words"), "spans",
-                    F.array_sort(F.array_distinct(F.flatten("held"))).alias("items")))
+    grams, holders = test_ngrams(items, item_id, item_text, n)
+    judged = stored(_judged(docs, grams, id_col, text_col, n, max_broadcast), "judged-texts")
+    held = (judged.select("row", F.explode("gs").alias("g")).join(holders, "g").select("row", "item").distinct()
+            .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    nothing = F.array().cast("array<string>")
+    return (judged.join(held, "row", "left")
+            .select("id", "n_words", "spans", F.coalesce("items", nothing).alias("items")))
 
 
 def n_covered(spans: Column) -> Column:
@@ -96,7 +165,7 @@ def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                        whole_share: float = 0.5, max_broadcast: int = 1_000_000, **options) -> DataFrame:
+                        whole_share: float = 0.5, max_broadcast: int = 64 << 20, **options) -> DataFrame:
     """``docs`` without test n-grams: their words are cut out, with the characters before each.
 
     A document of which at least ``whole_share`` of the words are hit is dropped.
@@ -105,7 +174,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     """
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
     row = keyed.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.col("__key").alias("key")))
-    found = stored(hits(row, items, "__row", text_col, max_broadcast=max_broadcast, **options)
+    found = stored(spans_of(row, items, "__row", text_col, max_broadcast=max_broadcast, **options)
                    .filter(F.size("spans") > 0), "found-ngrams")
     # Repeated rows found the same spans; one row per id and text is joined back.
     spans = (found.groupBy(F.col("id.id").alias("__id"), F.col("id.key").alias("__of"))

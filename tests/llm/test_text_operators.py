@@ -33,7 +33,7 @@ def sha(x):
 PLAIN = [(r[0], r[1]) for r in corpus.rows()]
 
 
-@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("max_broadcast", [64 << 20, 0])
 def test_decontamination(spark, docs, empty, max_broadcast):
     base = corpus.texts()[7].split()
     items = [(1, " ".join(base[5:30])), (2, "TWO words!"), (10, "unseen words in a row that no text has at all, really"), (3, None), (4, ""),
@@ -101,7 +101,7 @@ def test_peeling_recovers_the_differing_digests(spark):
     assert [tuple(x) for x in again.collect()] == [(7, 297)]
 
 
-@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("max_broadcast", [64 << 20, 0])
 def test_substring_dedup(docs, empty, max_broadcast):
     known = [(i, t) for i, t in PLAIN if i is not None]
     gone = corpus.covered(known)
@@ -155,7 +155,7 @@ def test_rows_without_an_id_or_sharing_one_keep_their_own_spans(spark):
     assert left == sorted(kept)
 
 
-@pytest.mark.parametrize("max_broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("max_broadcast", [64 << 20, 0])
 def test_edges_with_equal_short_digests_are_told_apart(spark, monkeypatch, max_broadcast):
     """Many texts around one common line, with short digests of one byte; every fifth text holds a true partial repeat."""
     workers_import(spark)
