@@ -14,7 +14,8 @@ size (one weight a bucket).
 
 Defined cases: null and empty texts have no features and get the score of the
 bias alone, as does every text when there are no labels of both classes; repeated rows
-are scored each; labels without a document are not used; several labels of a
+are scored each and learned once; of different texts that share an id, the one of
+the least digest is learned; labels without a document are not used; several labels of a
 document: toxic if any says so; input columns besides id and text are ignored.
 """
 
@@ -142,19 +143,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
     known = known.filter(keep(F.col("id"))) if keep is not None else known
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    sizes = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"))
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    # Of rows that share an id, the text of the least digest is learned from.
+    sizes = (text.select("id", F.struct("key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).alias("of"))
+             .join(known, "id").groupBy("id").agg(F.min("of").alias("of"), F.max("label").alias("label")))
     # The sample's ids: at most max_rows of them; a text that does not fit what is left of max_chars is passed over.
-    drawn = (sizes.join(known, "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows).collect())
+    drawn = sizes.select("id", "of.key", "of.n", "label").orderBy(F.xxhash64("id"), "id").limit(max_rows).collect()
     chosen, total = [], 0
     for r in drawn:
         if total + r["n"] > max_chars:
             continue
         total += r["n"]
-        chosen.append((r["id"], int(r["label"])))
+        chosen.append((r["id"], r["key"], int(r["label"])))
     if not chosen:
         return fit([], np.zeros(0), bits)
     spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen, f"id {docs.schema[id_col].dataType.simpleString()}, label int")
+    ids = spark.createDataFrame(chosen, f"id {docs.schema[id_col].dataType.simpleString()}, key long, label int")
 
     def features(batches):
         import pyarrow as pa
@@ -166,9 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
                                                  names=["id", "label", "buckets"])
 
-    got = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-           .join(F.broadcast(ids), "id").select("id", "label", "text")
-           .mapInArrow(tidy(features), f"{ids.schema[0].simpleString().replace(':', ' ')}, label int, buckets binary"))
+    # Repeated rows of the sample count once, and only the sample's features reach the driver.
+    got = (text.join(F.broadcast(ids), ["id", "key"]).groupBy("id", "label").agg(F.max("text").alias("text"))
+           .select("id", "label", "text").mapInArrow(tidy(features), f"{ids.schema[0].simpleString().replace(':', ' ')}, label int, buckets binary"))
     rows = {r["id"]: (np.frombuffer(r["buckets"], "<i4"), r["label"]) for r in got.toLocalIterator()}
     ordered = [rows[k] for k in sorted(rows)]
     return fit([b for b, _ in ordered], np.asarray([x for _, x in ordered]), bits)

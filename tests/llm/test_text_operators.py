@@ -206,6 +206,60 @@ def test_toxicity_held_out_accuracy(spark, docs, empty):
     assert toxicity.score(docs, none, columns=["doc_id"]).filter("score >= 0.5").count() == 0
 
 
+def test_toxicity_against_plain_python(spark):
+    """Features and log-count ratios counted in plain Python, the machine's optimum by its gradient, scores by hand."""
+    workers_import(spark)
+    rng, bits, mask = random.Random(5), 18, (1 << 64) - 1
+    rows = [(i, corpus.prose(rng, rng.randint(1, 40)) + (" knave dolt" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    rows += [(100, "", 0), (101, "ab", 1), (102, None, 0), (103, "Ünï x", 0)]
+
+    def buckets(text):
+        x = b" " + (text or "").encode().lower()
+        grams = {x[i:i + n] for n in (4, 6) for i in range(len(x) - n + 1)} or {x[:3]}
+        code = lambda g: (int.from_bytes(g, "little") * (0x9E3779B97F4A7C15 + 2 * len(g)) & mask) >> (64 - bits)
+        return sorted({code(g) for g in grams}) if text else []
+
+    features, y = [buckets(r[1]) for r in rows], [r[2] for r in rows]
+    scratch = np.zeros(1 << bits, np.int32)
+    for r, b in zip(rows, features):
+        assert sorted(toxicity._buckets((r[1] or "").encode(), bits, scratch).tolist()) == b
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+
+    used = sorted({b for f in features for b in f})
+    count = {s: {b: 1 + sum(b in f for f, label in zip(map(set, features), y) if label == s) for b in used} for s in (0, 1)}
+    total = {s: sum(count[s].values()) + (1 << bits) - len(used) for s in (0, 1)}
+    ratio = {b: np.log(count[1][b] / total[1]) - np.log(count[0][b] / total[0]) for b in used}
+    w = {b: float(model.weights[b]) / ratio[b] for b in used}
+    share = {s: len(y) / (2 * y.count(s)) for s in (0, 1)}
+    gradient, down, loss = dict(w), model.bias, 0.0
+    for f, label in zip(features, y):
+        scale, sign = max(1, len(f)) ** 0.25, 2 * label - 1
+        margin = model.bias + sum(float(model.weights[b]) for b in f) / scale
+        assert model.margin(np.asarray(f, int)) == pytest.approx(margin, abs=1e-4)
+        push = 2 * share[label] * max(0.0, 1 - sign * margin) * sign
+        down, loss = down - push, loss + share[label] * max(0.0, 1 - sign * margin) ** 2
+        for b in f:
+            gradient[b] -= push * ratio[b] / scale
+    # The objective curves by at least one, so it is above its optimum by half the squared gradient at most: 5 % here.
+    half = lambda v: sum(x * x for x in v) / 2
+    assert half([*gradient.values(), down]) < 0.05 * (half([*w.values(), model.bias]) + loss)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    for (i, _, _), f in zip(rows, features):
+        margin = model.bias + sum(float(model.weights[b]) for b in f) / max(1, len(f)) ** 0.25
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(model.scale * margin + model.shift))), abs=1e-4)
+
+
+def test_rows_that_share_an_id_are_learned_once_whatever_their_order(spark):
+    workers_import(spark)
+    rng = random.Random(6)
+    rows = [(i // 2, corpus.prose(rng, 12) + (" knave dolt" if i // 2 % 2 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    frames = [spark.createDataFrame(r, "doc_id long, text string").repartition(n) for r, n in ((rows, 2), (rows[::-1], 5), (rows * 20, 3))]
+    one, *others = [toxicity.train(f, labels) for f in frames]
+    assert all(np.array_equal(one.weights, m.weights) and one.bias == m.bias for m in others)
+
+
 def test_a_very_long_text_does_not_empty_the_sample(spark):
     workers_import(spark)
     ids = [r[0] for r in spark.range(60).orderBy(F.xxhash64("id"), "id").collect()]
