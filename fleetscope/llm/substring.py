@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import semi_join, stored, table
+from .common import semi_join, stored, table, tidy
 from .wordhash import CHECK_STEP, Runs, Words, slices
 
 PRINT = 5  # bytes of an edge's digest that choose, under an equal 64-bit least hash, which edges are read again
@@ -138,7 +138,7 @@ def _read_again(docs: DataFrame, edges: DataFrame, n: int, max_broadcast: int) -
                     [batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), start, pa.array(one), pa.array(two)],
                     names=["id", "key", "start", "edge", "check"])
 
-    return chosen.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, start int, edge long, check long")
+    return chosen.mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, key long, start int, edge long, check long")
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -151,9 +151,9 @@ def repeated_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, key, start, size): runs of ``size`` windows from word ``start`` on that each occur earlier in the corpus."""
     docs = _keyed(docs, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("__key").alias("key"))
     id_type = docs.schema[0].dataType.simpleString()
-    often = stored(docs.mapInArrow(_emit(n, k, True), "least long, n long")
+    often = stored(docs.mapInArrow(tidy(_emit(n, k, True)), "least long, n long")
                    .groupBy("least").agg(F.sum("n").alias("n")).filter("n > 1").select("least"), "repeated-least")
-    paths = docs.mapInArrow(_emit(n, k, False), f"id {id_type}, key long, start int, size int, least long, span long, digest long, "
+    paths = docs.mapInArrow(tidy(_emit(n, k, False)), f"id {id_type}, key long, start int, size int, least long, span long, digest long, "
                             "own boolean, prints binary")
     paths = stored(semi_join(paths, often, "least", max_broadcast), "paths")
 
@@ -222,7 +222,7 @@ def count_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                                                   pa.array(digests)], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
-    return chosen.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return chosen.mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 20, k: int = 6,
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     plain = chosen.filter(F.col("__spans").isNull()).select(*columns)
     changed = (chosen.filter(F.col("__spans").isNotNull()).select(*cut, *rest)
-               .mapInArrow(run, f"{kinds}, __new string").withColumnRenamed("__new", text_col).filter(F.length(text_col) > 0))
+               .mapInArrow(tidy(run), f"{kinds}, __new string").withColumnRenamed("__new", text_col).filter(F.length(text_col) > 0))
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return plain.unionByName(changed.select(*columns))

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from .common import KEPT
+from .common import KEPT, release
 
 #: Latin letters (UTF-8, A-Z already lower-cased) between runs of ASCII punctuation (without ' and <): up to three
 #: pre-tokens, each encoded on its own.
@@ -91,6 +91,7 @@ KEPT.append(_ENCODERS.clear)
 def encoder(path: str) -> TextEncoder:
     """The worker's encoder for this file (kept between tasks of a reused worker)."""
     if path not in _ENCODERS:
+        release()  # the memo is the largest thing a worker holds; nothing of earlier stages stays beside it
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
