@@ -17,15 +17,23 @@ link when the Jaccard similarity of their sets is at least ``percent``.
    byte of ``SKETCH`` minimum hashes) is most like its own.  Each class's best
    two with a smaller id, over all trees, are confirmed on full sets; components
    of the confirmed links follow.
-4. The regions are read again with components: pairs that lie in different
-   components and whose sketches allow the similarity are confirmed as well.
-
-A pair's sketch must agree in at least ``percent - MARGIN`` percent of its
-bytes; for a pair at the threshold this is over five standard deviations away.
-A pair at the threshold misses all regions of ``shallow`` hashes in every tree
-with probability (1 - 0.8 ** 2) ** 16 = 8e-8; in regions cut deeper the chance is
-larger, and links inside a group are found through its other members.  The
-method gives links, never false ones: each is confirmed by exact intersection.
+4. The rest, exactly.  The trees and the cuts of their regions may keep a pair
+   apart, so every class is read again with its component.  A set's shingles fall
+   into about as many groups of hashes as its size's power of two.  Two linked
+   sets differ in at most ``d`` shingles, hence in at most ``d`` groups, so in any
+   common order of (non-empty) groups they share one of the first ``d + 1``; the
+   order takes groups of many shingles first, which chance neighbours hardly ever
+   share.  Groups met in several components are blocks; their members are
+   compared in tiles within exact bounds of the overlap (``jaccard.py``), and
+   pairs of different components are confirmed.  Sets below ``SINGLES`` shingles
+   use single shingles as groups; a set that falls into too few groups (never
+   seen, but possible) is compared with all sets of a fitting size.
+
+Every linked pair is inside one component after step 3 or met in step 4, so
+components are exact.  The method gives links, never false ones: each is
+confirmed by exact intersection.  In step 3 a pair's sketch must agree in at
+least ``percent - MARGIN`` percent of its bytes; this and the regions decide how
+much is left to step 4, never the result.
 
 Defined cases: a text with fewer words than ``n`` is one shingle as a whole;
 null, empty and blank texts have no set, link with nothing and are their own
@@ -37,12 +45,12 @@ results; input columns besides the named ones are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_partitions, stored, table
-from .jaccard import components
-from .verify import confirmed, shingle_sets
+from .common import n_partitions, stored, table, tidy
+from .jaccard import _fine_points, _search_blocks, _tiled, components
+from .verify import _among, confirmed, shingle_sets
 from .wordhash import mix, slices
 
 #: Minimum hashes whose lowest byte is kept, to tell likely pairs from chance ones.
@@ -50,6 +58,10 @@ SKETCH = 64
 MARGIN = 30
 #: Rows of a region that all its other rows are compared with before it is divided.
 HEADS = 4
+#: Sets of fewer shingles have each shingle as a group of its own.
+SINGLES = 16
+#: Key of sets that fall into too few groups (others are not negative).
+LUMPY = -1
 
 
 def _signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
@@ -66,6 +78,11 @@ def _signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
+def _digest(value: np.ndarray, salt: int) -> np.uint64:
+    """An order-free digest of a set of hashes."""
+    return mix(value ^ np.uint64(salt)).sum()
+
+
 def _facts(n: int, trees: int, depth: int):
     """Rows (id, size, two digests of the set, all labels, sketch) of the texts; no labels for empty sets."""
     def run(batches):
@@ -76,7 +93,7 @@ def _facts(n: int, trees: int, depth: int):
                 sets = shingle_sets(batch.column(1), n)
                 size = np.array([len(x) for x in sets], np.int32)
                 with np.errstate(over="ignore"):
-                    digests = [pa.array(np.array([mix(x ^ np.uint64(salt)).sum() for x in sets], np.uint64).view(np.int64))
+                    digests = [pa.array(np.array([_digest(x, salt) for x in sets], np.uint64).view(np.int64))
                                for salt in (0x51ED270B, 0x2545F491)]
                 full = np.flatnonzero(size)
                 sign = _signatures([sets[i] for i in full], trees * depth)
@@ -91,10 +108,10 @@ def _facts(n: int, trees: int, depth: int):
 
 
 class _Region:
-    """Sorted rows of one tree: ids, sizes, components, labels (rows of hashes) and sketches."""
+    """Sorted rows of one tree: ids, sizes, labels (rows of hashes) and sketches."""
 
     def __init__(self, rows: dict, percent: int):
-        self.id, self.size, self.comp = rows["id"], rows["size"], rows["comp"]
+        self.id, self.size = rows["id"], rows["size"]
         self.label, self.sketch, self.percent = rows["label"], rows["sketch"], percent
 
     def parts(self, shallow: int, most: int):
@@ -131,30 +148,20 @@ class _Region:
         return np.where(fits & (100 * same >= self.percent - MARGIN), same, 0)
 
 
-def _pairs(percent: int, shallow: int, most: int, nearest: bool):
-    """Streams sorted rows; pairs (a, b, alike), a < b, met in their regions.
-
-    ``nearest``: of each row only the most alike other one; else all pairs of
-    different components.
-    """
+def _pairs(percent: int, shallow: int, most: int):
+    """Streams sorted rows; of each row and region the pair (a, b, alike), a < b, with the most alike other row."""
     def of(rows):
         region = _Region(rows, percent)
         out = []
         for where, heads in region.parts(shallow + 1, most):
-            if heads < len(where) and not nearest:
-                continue
             ident = region.id[where]
             order = np.argsort(ident, kind="stable")
             where, ident = where[order], ident[order]
             alike = region.likeness(where[:heads], where)
             alike[ident[:heads, None] == ident[None]] = 0
-            if nearest:
-                x, y = alike.argmax(axis=0), np.arange(len(where))  # of equals the least id
-                good = alike[x, y] > 0
-                x, y = x[good], y[good]
-            else:
-                comp = region.comp[where]
-                x, y = np.nonzero(np.triu(alike, 1) * (comp[:, None] != comp[None]))
+            x, y = alike.argmax(axis=0), np.arange(len(where))  # of equals the least id
+            good = alike[x, y] > 0
+            x, y = x[good], y[good]
             if len(x):
                 out.append((np.minimum(ident[x], ident[y]), np.maximum(ident[x], ident[y]), alike[x, y]))
         return out
@@ -175,7 +182,7 @@ def _pairs(percent: int, shallow: int, most: int, nearest: bool):
                 label, sketch = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(m, -1)
                                  for c, t in (("label", ">u2"), ("sketch", np.uint8)))
                 rows = {"id": np.asarray(batch.column("id")), "size": np.asarray(batch.column("size")).astype(np.int64),
-                        "comp": np.asarray(batch.column("comp")), "label": label, "sketch": sketch}
+                        "label": label, "sketch": sketch}
                 # Whole regions go together: rows up to the last change of the shallow prefix, the rest waits.
                 key = label[:, :shallow + 1]
                 cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
@@ -196,9 +203,114 @@ def _pairs(percent: int, shallow: int, most: int, nearest: bool):
     return run
 
 
+def _keys(value: np.ndarray, percent: int, coarse: int) -> np.ndarray:
+    """Keys of a set (sorted distinct hashes): two sets that link share one, or one of them has the key ``LUMPY``.
+
+    A pair meets in the band (a power of two) of its smaller set's size; a set
+    also gives keys to lower bands that hold sets it may link with.
+    """
+    size, out = len(value), []
+    largest = 100 * size // percent
+    for band in range(size.bit_length() - 1, -1, -1):
+        low, top = 1 << band, (2 << band) - 1
+        if 100 * top < percent * size:
+            break
+        if low < SINGLES:
+            begin, wanted = np.arange(size), size + percent * -size // 100 + 1
+        else:
+            group = value >> np.uint64(64 - max(1, band - coarse))
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            partner = largest if top >= size else min(largest, top)
+            wanted = (size + partner) * (100 - percent) // (100 + percent) + 1
+            if len(begin) < wanted:
+                out.append(np.array([LUMPY]))
+        digest = np.add.reduceat(mix(value ^ np.uint64(0x9D39247E + band)), begin)
+        held = np.diff(np.append(begin, size))
+        first = digest[np.lexsort((digest, -held))[:wanted]]
+        out.append((first >> np.uint64(16)).astype(np.int64))  # shorter keys meet by chance at times, and travel cheaper
+    return np.concatenate(out)
+
+
+def _keyed(n: int, percent: int, coarse: int):
+    """Rows (id, digest of the set, keys) of the texts that have a set."""
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                sets = shingle_sets(batch.column(1), n)
+                full = [i for i, x in enumerate(sets) if len(x)]
+                if not full:
+                    continue
+                with np.errstate(over="ignore"):
+                    digest = np.array([_digest(sets[i], 0x51ED270B) for i in full], np.uint64).view(np.int64)
+                    keys = [_keys(sets[i], percent, coarse) for i in full]
+                at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(digest),
+                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))], names=["id", "d1", "keys"])
+
+    return run
+
+
+def _points(n: int):
+    """Rows (id, size, digest of the set, fine point) of the texts that have a set."""
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                sets = shingle_sets(batch.column(1), n)
+                full = [i for i, x in enumerate(sets) if len(x)]
+                if not full:
+                    continue
+                sets = [sets[i] for i in full]
+                size = np.array([len(x) for x in sets])
+                with np.errstate(over="ignore"):
+                    digest = np.array([_digest(x, 0x51ED270B) for x in sets], np.uint64).view(np.int64)
+                fine = _fine_points(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(size.astype(np.int32)), pa.array(digest), fine],
+                                                 names=["id", "size", "d1", "fine"])
+
+    return run
+
+
+def _apart(docs: DataFrame, placed: DataFrame, n: int, percent: int, tile: int, coarse: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes in different components that may link: all those that do.
+
+    ``placed``: stored rows (id, size, d1, comp) of the classes.
+    """
+    keyed = docs.filter("id is not null").mapInArrow(tidy(_keyed(n, percent, coarse)), "id long, d1 long, keys array<long>")
+    keys = (keyed.join(placed.select("id", "d1", "comp"), ["id", "d1"])  # one text of each class
+            .select(F.explode("keys").alias("key"), "id", "comp"))
+    same = Window.partitionBy("key")
+    spread = keys.select("key", "id", "comp", F.min("comp").over(same).alias("lo"), F.max("comp").over(same).alias("hi"), F.count(F.lit(1)).over(same).alias("n"))
+    opened = stored(spread.filter((F.col("lo") < F.col("hi")) | (F.col("key") == LUMPY)).select("key", "id", "comp", "n"), "forest-open")
+
+    # Blocks with the same members are kept once.
+    part = lambda salt: F.sum(F.xxhash64(F.lit(salt), "id").bitwiseAND(F.lit((1 << 40) - 1))).alias(f"sum{salt}")
+    blocks = (opened.filter(F.col("key") != LUMPY).groupBy("key", "n").agg(part(0), part(1), part(2))
+              .groupBy("n", "sum0", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"))
+    in_blocks = stored(opened.join(blocks, "key"), "forest-blocks")
+    points = _among(docs, in_blocks.select("id").distinct()).mapInArrow(tidy(_points(n)), "id long, size int, d1 long, fine binary")
+    points = points.join(placed.select("id", "d1"), ["id", "d1"]).dropDuplicates(["id", "d1"]).select("id", "size", "fine")
+    met = _tiled(in_blocks.join(points, "id"), tile).mapInArrow(tidy(_search_blocks(percent)), "a long, b long")
+
+    lumpy = opened.filter(F.col("key") == LUMPY).select("id").distinct()
+    one = placed.join(lumpy, "id").select(F.col("id").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"))
+    fits = ((F.col("cx") != F.col("comp")) & (100 * F.least("sx", "size") >= percent * F.greatest("sx", "size")))
+    alone = one.join(placed, fits).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    return met.unionByName(alone).distinct() if lumpy.limit(1).count() else met.distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 2, percent: int = 80, trees: int = 16,
-                depth: int = 8, shallow: int = 2, region: int = 32) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id, kept (whether it is its component's least id)."""
+                depth: int = 8, shallow: int = 2, region: int = 32, tile: int = 4096, coarse: int = 0) -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id, kept (whether it is its component's least id).
+
+    ``coarse`` halves the number of groups that often; like the options of the
+    forest, it changes the cost only, never the result.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent lies between 50 and 100")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = n_partitions(docs.sparkSession)
     facts = stored(docs.mapInArrow(_facts(n, trees, depth), "id long, size int, d1 long, d2 long, labels binary, sketch binary"), "forest-facts")
@@ -208,25 +320,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # One row a class and tree.
     width = 2 * depth
-    def forest(of: DataFrame) -> DataFrame:
-        label = lambda t: F.concat(F.substring(F.hex(t + 256), 2, 2).cast("binary"), F.substring(F.col("labels"), t * width + 1, F.lit(width)))
-        rows = of.select("id", "size", "comp", "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), label)).alias("label"))
-        return rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
-
-    kind = "a long, b long, alike double"
-    leaves = classes.select(F.col("rep").alias("id"), "size", F.col("rep").alias("comp"), "sketch", "labels")
-    met = forest(leaves).mapInArrow(_pairs(percent, shallow, region, True), kind)
-    met = stored(met.groupBy("a", "b").agg(F.max("alike").alias("alike")), "forest-met")
+    label = lambda t: F.concat(F.substring(F.hex(t + 256), 2, 2).cast("binary"), F.substring(F.col("labels"), t * width + 1, F.lit(width)))
+    forest = classes.select(F.col("rep").alias("id"), "size", "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), label)).alias("label"))
+    forest = forest.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
+    met = forest.mapInArrow(_pairs(percent, shallow, region), "a long, b long, alike double")
+    met = met.groupBy("a", "b").agg(F.max("alike").alias("alike"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("alike")).alias("n"), "a"))), 1, 2)
     first = stored(met.groupBy("b").agg(best.alias("best")).select("b", F.explode("best").alias("v")).select(F.col("v.a").alias("a"), "b"), "forest-nearest")
     links = stored(confirmed(docs, first, n, percent), "forest-links")
     comps = components(links, "forest-components")
 
-    # The forest of those that met another one, with components: pairs that lie in different ones.
-    known = met.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left")
-    placed = leaves.drop("comp").join(known.withColumn("comp", F.coalesce("comp", "id")), "id")
-    across = forest(placed).mapInArrow(_pairs(percent, shallow, region, False), kind)
-    across = stored(across.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "forest-across")
+    # What the forest kept apart.
+    placed = stored(classes.select(F.col("rep").alias("id"), "size", "d1").join(comps, "id", "left")
+                    .select("id", "size", "d1", F.coalesce("comp", "id").alias("comp")), "forest-placed")
+    across = stored(_apart(docs, placed, n, percent, tile, coarse).join(first, ["a", "b"], "left_anti"), "forest-across")
     more = stored(confirmed(docs, across, n, percent), "forest-more")
     final = components(links.unionByName(more), "forest-all")
 

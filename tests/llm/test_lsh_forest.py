@@ -100,3 +100,37 @@ def test_regions_are_cut_where_they_are_dense():
     all_of = [([0, 1, 2], 3), ([3, 4, 5], 3), ([3, 4, 5, 6], lsh_forest.HEADS), ([3, 5, 6], 3)]
     assert parts(3) == all_of
     assert parts(2) == [([0, 1], 2), ([0, 1, 2], lsh_forest.HEADS), ([3, 4], 2), ([3, 4, 5], 3), ([3, 4, 5, 6], lsh_forest.HEADS), ([3, 5, 6], 3)]
+
+
+@pytest.mark.parametrize("options", [{"region": 2}, {"region": 2, "trees": 1, "depth": 3, "shallow": 1}, {"region": 4, "tile": 8, "coarse": 3}])
+def test_what_the_forest_cuts_apart_is_found(spark, options):
+    # Texts of one template just below the threshold; few trees and small regions keep many of their links apart.
+    rng = random.Random(17)
+    base = corpus.prose(rng, 120).split()
+    rows = [(i, edited(rng, base, 12)) for i in range(250)]
+    rows += [(250 + i, edited(rng, rows[7 * i][1].split(), 4)) for i in range(35)]
+    rows += [(300 + i, corpus.prose(rng, 3 + i % 30)) for i in range(60)]
+    rows += [(400 + i, edited(rng, rows[290 + i][1].split(), 1)) for i in range(50)]
+    rng.shuffle(rows)
+    assert found(frame(spark, rows), **options) == expected(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+@pytest.mark.parametrize("coarse", [0, 3])
+def test_linked_sets_share_a_key(percent, coarse):
+    import numpy as np
+
+    rng = np.random.default_rng(percent + coarse)
+    lumpy = links = 0
+    for k in range(4000):
+        both = rng.integers(0, 1 << 64, 1 + k // 12, dtype=np.uint64)
+        apart = rng.integers(0, 1 << 64, int((len(both) * 100 // percent - len(both)) * rng.choice([1, rng.random()])), dtype=np.uint64)
+        cut = rng.choice([0, rng.integers(0, len(apart) + 1)])
+        a, b = (np.unique(np.append(both, x)) for x in (apart[:cut], apart[cut:]))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= percent * (len(a) + len(b) - shared):
+            links += 1
+            x, y = (set(lsh_forest._keys(s, percent, coarse).tolist()) for s in (a, b))
+            assert x & y or lsh_forest.LUMPY in x | y
+            lumpy += lsh_forest.LUMPY in x | y
+    assert links > 3000 and (coarse or percent < 80 or lumpy == 0)
