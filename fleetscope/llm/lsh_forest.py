@@ -58,6 +58,8 @@ SKETCH = 64
 MARGIN = 30
 #: Rows of a region that all its other rows are compared with before it is divided.
 HEADS = 4
+#: A class's neighbours with a smaller id that are confirmed.
+NEAREST = 2
 #: Sets of fewer shingles have each shingle as a group of its own.
 SINGLES = 16
 #: Key of sets that fall into too few groups (others are not negative).
@@ -149,7 +151,10 @@ class _Region:
 
 
 def _pairs(percent: int, shallow: int, most: int):
-    """Streams sorted rows; of each row and region the pair (a, b, alike), a < b, with the most alike other row."""
+    """Streams sorted rows; pairs (a, b, alike), a < b: in every region a row meets its most alike other one.
+
+    Of the pairs of a ``b`` in one tree only the best ``NEAREST`` go on: no other can be among its best of all trees.
+    """
     def of(rows):
         region = _Region(rows, percent)
         out = []
@@ -173,6 +178,12 @@ def _pairs(percent: int, shallow: int, most: int):
             got = of({c: np.concatenate([h[c] for h in held]) for c in held[0]})
             if got:
                 a, b, alike = (np.concatenate(x) for x in zip(*got))
+                order = np.lexsort((a, -alike, b))
+                a, b, alike = a[order], b[order], alike[order]
+                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # met again in a deeper region
+                a, b, alike = a[new], b[new], alike[new]
+                best = np.arange(len(b)) - np.searchsorted(b, b) < NEAREST
+                a, b, alike = a[best], b[best], alike[best]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike)], names=["a", "b", "alike"])
 
         held, n = [], 0
@@ -324,8 +335,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     forest = classes.select(F.col("rep").alias("id"), "size", "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), label)).alias("label"))
     forest = forest.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
     met = forest.mapInArrow(_pairs(percent, shallow, region), "a long, b long, alike double")
-    met = met.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("alike")).alias("n"), "a"))), 1, 2)
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("alike")).alias("n"), "a"))), 1, NEAREST)
     first = stored(met.groupBy("b").agg(best.alias("best")).select("b", F.explode("best").alias("v")).select(F.col("v.a").alias("a"), "b"), "forest-nearest")
     links = stored(confirmed(docs, first, n, percent), "forest-links")
     comps = components(links, "forest-components")

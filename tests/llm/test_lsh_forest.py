@@ -134,3 +134,21 @@ def test_linked_sets_share_a_key(percent, coarse):
             assert x & y or lsh_forest.LUMPY in x | y
             lumpy += lsh_forest.LUMPY in x | y
     assert links > 3000 and (coarse or percent < 80 or lumpy == 0)
+
+
+def test_a_row_goes_on_with_its_best_pairs_only():
+    # Many near copies in one region, which is cut several times: as many pairs as rows, not as cuts or heads.
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 400
+    label = np.sort(rng.integers(0, 3, (n, 8)) * 3 ** np.arange(8)[::-1], axis=0).astype(">u2")
+    label[:, :3] = 1
+    label = label[np.lexsort(label.T[::-1])]
+    sketch = np.where(rng.random((n, 64)) < 0.1, rng.integers(0, 256, (n, 64)), np.arange(64)).astype(np.uint8)
+    rows = pa.RecordBatch.from_arrays([pa.array(rng.permutation(n)), pa.array(np.full(n, 50, np.int32)), pa.array([x.tobytes() for x in label], pa.binary()),
+                                       pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "size", "label", "sketch"])
+    got = [x for batch in lsh_forest._pairs(80, 2, 32)([rows]) for x in zip(*(c.to_pylist() for c in batch.columns))]
+    times = np.bincount([b for _, b, _ in got], minlength=n)
+    assert len({(a, b) for a, b, _ in got}) == len(got) and times.max() == lsh_forest.NEAREST and (times > 0).sum() > n / 2
