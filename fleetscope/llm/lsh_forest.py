@@ -278,7 +278,8 @@ def _points(n: int):
                 size = np.array([len(x) for x in sets])
                 with np.errstate(over="ignore"):
                     digest = np.array([_digest(x, 0x51ED270B) for x in sets], np.uint64).view(np.int64)
-                fine = _fine_points(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size)
+                # A group or less a shingle: blocks hold few pairs, so a point may be coarse; each block's members carry theirs.
+                fine = _fine_points(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size // 4)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(size.astype(np.int32)), pa.array(digest), fine],
                                                  names=["id", "size", "d1", "fine"])
 
