@@ -201,11 +201,12 @@ class RTree:
 
 
 class _Tile:
-    """Members of one part of a block: ids, components, and fine points at two levels."""
+    """Members of one part of a block: ids, components, fine points at two levels, and smaller keys where they carry any."""
 
     def __init__(self, rows: dict):
         self.id, self.comp, self.side = rows["id"], np.asarray(rows["comp"]), np.asarray(rows["side"])
         self.size = np.asarray(rows["size"], np.int64)
+        self.before = [frozenset(x) for x in rows["before"]] if "before" in rows else None
         fine = [_unpacked(x) for x in rows["fine"]]
         self.level = np.asarray([len(x).bit_length() for x in fine])
         self.full = np.asarray([x.max() == 255 for x in fine])  # a count that does not fit a byte bounds nothing
@@ -239,7 +240,7 @@ class _Tile:
         return keep | self.full[x] | self.full[y]
 
     def pairs(self, percent: int):
-        """Pairs (smaller id first) of different components within all bounds."""
+        """Pairs (smaller id first) of different components within all bounds, but for those that a smaller key brings together."""
         one, two = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)
         left = RTree(self.size[one], self.points[one])
         right = RTree(self.size[two], self.points[two]) if len(two) else left
@@ -250,6 +251,8 @@ class _Tile:
             x, y = x[apart], y[apart]
             good = self.near(x, y, percent)
             for p, q in zip(x[good].tolist(), y[good].tolist()):
+                if self.before and not self.before[p].isdisjoint(self.before[q]):
+                    continue
                 a, b = self.id[p], self.id[q]
                 yield (a, b) if a < b else (b, a)
 
@@ -396,11 +399,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     F.coalesce("comp", "id").alias("component_id")))
 
 
-def _tiled(rows: DataFrame, tile: int) -> DataFrame:
+def _tiled(rows: DataFrame, tile: int, *more: str) -> DataFrame:
     """Rows by block part, sorted for streaming: a block of up to ``tile`` members is one part.
 
     A larger block's members fall into tiles, and each pair of tiles is a part
-    of its own, so a task holds two tiles whatever the block's size.
+    of its own, so a task holds two tiles whatever the block's size.  ``more``:
+    further columns to keep, such as ``before`` (smaller keys of the member).
     """
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
@@ -408,7 +412,7 @@ def _tiled(rows: DataFrame, tile: int) -> DataFrame:
         (F.least(F.col("own"), t) * F.col("tiles") + F.greatest(F.col("own"), t)).alias("part"),
         (F.col("own") > t).cast("int").alias("side")))
     return (rows.withColumn("tiles", tiles).withColumn("own", own).withColumn("to", F.explode(pairs))
-            .select("key", F.col("to.part").alias("part"), F.col("to.side").alias("side"), "id", "comp", "size", "fine")
+            .select("key", F.col("to.part").alias("part"), F.col("to.side").alias("side"), "id", "comp", "size", "fine", *more)
             .repartition("key", "part").sortWithinPartitions("key", "part", "side"))
 
 

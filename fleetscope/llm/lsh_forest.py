@@ -23,9 +23,12 @@ link when the Jaccard similarity of their sets is at least ``percent``.
    sets differ in at most ``d`` shingles, hence in at most ``d`` groups, so in any
    common order of (non-empty) groups they share one of the first ``d + 1``; the
    order takes groups of many shingles first, which chance neighbours hardly ever
-   share.  Groups met in several components are blocks; their members are
-   compared in tiles within exact bounds of the overlap (``jaccard.py``), and
-   pairs of different components are confirmed.  Sets below ``SINGLES`` shingles
+   share.  Components are looked up for groups met more than once.  Groups met in
+   several components are blocks; their members are compared in tiles within
+   exact bounds of the overlap (``jaccard.py``), and pairs of different
+   components are confirmed.  A member carries the least ``CARRIED`` of its keys,
+   so of the blocks two sets share, the least one gives the pair (two sets that
+   share none of the carried ones come out of each).  Sets below ``SINGLES`` shingles
    use single shingles as groups; a set that falls into too few groups (never
    seen, but possible) is compared with all sets of a fitting size.
 
@@ -62,6 +65,8 @@ HEADS = 4
 NEAREST = 2
 #: Sets of fewer shingles have each shingle as a group of its own.
 SINGLES = 16
+#: Least keys that a block's member carries, so that a pair is hardly ever given by several blocks.
+CARRIED = 8
 #: Key of sets that fall into too few groups (others are not negative).
 LUMPY = -1
 
@@ -243,7 +248,7 @@ def _keys(value: np.ndarray, percent: int, coarse: int) -> np.ndarray:
 
 
 def _keyed(n: int, percent: int, coarse: int):
-    """Rows (id, digest of the set, keys) of the texts that have a set."""
+    """Rows (id, keys) of the texts that have a set."""
     def run(batches):
         import pyarrow as pa
 
@@ -254,11 +259,10 @@ def _keyed(n: int, percent: int, coarse: int):
                 if not full:
                     continue
                 with np.errstate(over="ignore"):
-                    digest = np.array([_digest(sets[i], 0x51ED270B) for i in full], np.uint64).view(np.int64)
                     keys = [_keys(sets[i], percent, coarse) for i in full]
                 at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(digest),
-                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))], names=["id", "d1", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)),
+                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys)))], names=["id", "keys"])
 
     return run
 
@@ -291,11 +295,14 @@ def _apart(docs: DataFrame, placed: DataFrame, n: int, percent: int, tile: int,
 
     ``placed``: stored rows (id, size, d1, comp) of the classes.
     """
-    keyed = docs.filter("id is not null").mapInArrow(tidy(_keyed(n, percent, coarse)), "id long, d1 long, keys array<long>")
-    keys = (keyed.join(placed.select("id", "d1", "comp"), ["id", "d1"])  # one text of each class
-            .select(F.explode("keys").alias("key"), "id", "comp"))
+    # Keys travel with their ids alone: most are met once, and only the others' components are looked up.
+    keyed = _among(docs, placed.select("id")).mapInArrow(tidy(_keyed(n, percent, coarse)), "id long, keys array<long>")
     same = Window.partitionBy("key")
-    spread = keys.select("key", "id", "comp", F.min("comp").over(same).alias("lo"), F.max("comp").over(same).alias("hi"), F.count(F.lit(1)).over(same).alias("n"))
+    times = F.count(F.lit(1)).over(same).alias("n")
+    several = keyed.select(F.explode("keys").alias("key"), "id").select("key", "id", times).filter((F.col("n") > 1) | (F.col("key") == LUMPY))
+    comp_of = placed.groupBy("id").agg(F.min("comp").alias("comp"))
+    spread = (several.drop("n").join(comp_of, "id")  # classes only
+              .select("key", "id", "comp", F.min("comp").over(same).alias("lo"), F.max("comp").over(same).alias("hi"), times))
     opened = stored(spread.filter((F.col("lo") < F.col("hi")) | (F.col("key") == LUMPY)).select("key", "id", "comp", "n"), "forest-open")
 
     # Blocks with the same members are kept once.
@@ -305,7 +312,11 @@ def _apart(docs: DataFrame, placed: DataFrame, n: int, percent: int, tile: int,
     in_blocks = stored(opened.join(blocks, "key"), "forest-blocks")
     points = _among(docs, in_blocks.select("id").distinct()).mapInArrow(tidy(_points(n)), "id long, size int, d1 long, fine binary")
     points = points.join(placed.select("id", "d1"), ["id", "d1"]).dropDuplicates(["id", "d1"]).select("id", "size", "fine")
-    met = _tiled(in_blocks.join(points, "id"), tile).mapInArrow(tidy(_search_blocks(percent)), "a long, b long")
+    # Members carry their least keys, so a pair that shares many blocks comes out of the least one only.
+    own = in_blocks.groupBy("id", "comp").agg(F.sort_array(F.collect_set(F.struct("key", "n"))).alias("own"))
+    members = (own.join(points, "id").select("id", "comp", "size", "fine", F.slice("own.key", 1, CARRIED).alias("least"), F.explode("own").alias("at"))
+               .select("at.key", "at.n", "id", "comp", "size", "fine", F.filter("least", lambda k: k < F.col("at.key")).alias("before")))
+    met = _tiled(members, tile, "before").mapInArrow(tidy(_search_blocks(percent)), "a long, b long")
 
     lumpy = opened.filter(F.col("key") == LUMPY).select("id").distinct()
     one = placed.join(lumpy, "id").select(F.col("id").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"))

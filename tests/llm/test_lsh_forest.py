@@ -152,3 +152,56 @@ def test_a_row_goes_on_with_its_best_pairs_only():
     got = [x for batch in lsh_forest._pairs(80, 2, 32)([rows]) for x in zip(*(c.to_pylist() for c in batch.columns))]
     times = np.bincount([b for _, b, _ in got], minlength=n)
     assert len({(a, b) for a, b, _ in got}) == len(got) and times.max() == lsh_forest.NEAREST and (times > 0).sum() > n / 2
+
+
+def _template(rng, count):
+    """Texts of one template just below the threshold, and copies of some; many of them share most of their keys."""
+    base = corpus.prose(rng, 120).split()
+    rows = [(i, edited(rng, base, 12)) for i in range(count)]
+    return rows + [(count + i, edited(rng, rows[3 * i][1].split(), 4)) for i in range(count // 4)]
+
+
+def test_a_pair_comes_out_of_one_block(spark, monkeypatch):
+    # Every block is searched as if by a task of its own: a pair that shares many of them still comes out once.
+    import pyarrow as pa
+    import pyarrow.compute
+
+    rows, parts, of = _template(random.Random(23), 60), [], lsh_forest._tiled
+
+    def tiled(*args):
+        out = of(*args)
+        parts.append(out.toArrow())
+        return out
+
+    monkeypatch.setattr(lsh_forest, "_tiled", tiled)
+    options = {"region": 2, "trees": 1, "depth": 3, "shallow": 1}
+    assert found(frame(spark, rows), **options) == expected(rows)
+    held = parts[0].sort_by([("key", "ascending"), ("part", "ascending"), ("side", "ascending")])
+    blocks = [held.filter(pa.compute.equal(held.column("key"), k)).combine_chunks() for k in sorted(set(held.column("key").to_pylist()))]
+
+    def pairs(columns):
+        return [p for block in blocks for batch in lsh_forest._search_blocks(80)(block.select(columns).to_batches())
+                for p in zip(*(c.to_pylist() for c in batch.columns))]
+
+    names = ["key", "part", "side", "id", "comp", "size", "fine"]
+    once, often = pairs([*names, "before"]), pairs(names)
+    assert len(once) == len(set(once)) and set(once) == set(often)
+    assert len(once) > 3 and len(often) > 3 * len(once)  # so many before
+
+
+@pytest.mark.parametrize("carried", [1, 3])
+def test_carried_keys_lose_no_pair(spark, monkeypatch, carried):
+    monkeypatch.setattr(lsh_forest, "CARRIED", carried)
+    rows = _template(random.Random(29), 60)
+    rows += [(i, rows[i][1]) for i in range(0, 40, 3)] + [(500 + i, rows[i][1]) for i in range(5)]  # rows given twice, copies
+    assert found(frame(spark, rows), region=2, trees=1, depth=3, shallow=1, tile=16) == expected(rows)
+
+
+def test_keys_travel_with_ids_alone():
+    # Their components are looked up once a key has met another; a digest and the keys as lists were shuffled before.
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 4, 5]), pa.array(["a b c", None, "d"])], names=["id", "text"])
+    got, = lsh_forest._keyed(2, 80, 0)([batch])
+    assert got.schema.names == ["id", "keys"] and got.column("id").to_pylist() == [3, 5]
+    assert all(got.column("keys").to_pylist())
