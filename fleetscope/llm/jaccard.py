@@ -354,7 +354,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     common = (facts.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
               .filter(F.col("times") >= common_from).orderBy(F.desc("times"), "shingle").limit(max_common).select("shingle"))
-    late = np.sort(np.asarray([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
+    late = np.sort(np.fromiter((r[0] for r in common.toLocalIterator()), np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(late)
     one_each = semi_join(docs.filter("id is not null"), others, "id", max_broadcast, "left_anti")
     keys = (one_each.mapInArrow(tidy(_prefixes(n, percent, shared)), f"id {id_type}, keys array<long>")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import release, table, tidy
 from .tokens import batches_of, texts_of
 
 ORDERS = (4, 6)
@@ -112,7 +112,11 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float = 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     share = {1.0: len(y) / (2 * n_pos), -1.0: len(y) / (2 * (len(y) - n_pos))}
     diag = np.asarray([0.5 / (cost * share[s]) for s in y])
-    value = [(ratio[b] / _length(b)).astype(np.float32) for b in rows]
+    at = np.concatenate([[0], np.cumsum([len(b) for b in rows])]).tolist()
+    flat = np.empty(at[-1], np.float32)  # one array: many small ones would leave holes that the driver keeps
+    value = [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+    for v, b in zip(value, rows):
+        v[:] = ratio[b] / _length(b)
     square = np.asarray([float(v @ v) + 1.0 for v in value]) + diag
     w, bias, dual = np.zeros(size), 0.0, np.zeros(len(y))
     order, active = np.random.default_rng(0), np.arange(len(y))
@@ -173,9 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Repeated rows of the sample count once, and only the sample's features reach the driver.
     got = (text.join(F.broadcast(ids), ["id", "key"]).groupBy("id", "label").agg(F.max("text").alias("text"))
            .select("id", "label", "text").mapInArrow(tidy(features), f"{ids.schema[0].simpleString().replace(':', ' ')}, label int, buckets binary"))
-    rows = {r["id"]: (np.frombuffer(r["buckets"], "<i4"), r["label"]) for r in got.toLocalIterator()}
-    ordered = [rows[k] for k in sorted(rows)]
-    return fit([b for b, _ in ordered], np.asarray([x for _, x in ordered]), bits)
+    flat, place = bytearray(), {}
+    for r in got.toLocalIterator():
+        place[r["id"]] = (len(flat) // 4, len(r["buckets"]) // 4, r["label"])
+        flat += r["buckets"]
+    sample = np.frombuffer(flat, "<i4")
+    ordered = [place[k] for k in sorted(place)]
+    model = fit([sample[at:at + n] for at, n, _ in ordered], np.asarray([x for *_, x in ordered]), bits)
+    del sample, flat, place, ordered, drawn, chosen
+    release()  # the driver works on for long; what the sample took would stay with it
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetscope.llm import decontaminate, fingerprints, jaccard, sharding, substring, toxicity, url_rules
+from fleetscope.llm import common, decontaminate, fingerprints, jaccard, sharding, substring, toxicity, url_rules
 from fleetscope.llm.common import workers_import
 from tests.llm import corpus
 
@@ -270,6 +270,23 @@ def test_a_very_long_text_does_not_empty_the_sample(spark):
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
 
 
+def test_training_leaves_no_sample_in_the_drivers_memory(spark):
+    workers_import(spark)
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) / 1024
+
+    text = "concat_ws(' ', transform(sequence(1, 600), i -> hex(xxhash64(id, i))))"  # about 80 KB of features each
+    docs = spark.range(0, 1500, 1, 8).select(F.col("id").alias("doc_id"), F.expr(text).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    toxicity.train(docs.limit(20), labels)  # what the first training loads stays
+    common.release()
+    before = held()
+    model = toxicity.train(docs, labels)
+    assert model.weights.any() and held() - before < 40
+
+
 @pytest.mark.parametrize("options", [{}, {"max_broadcast": 0, "tile": 3, "common_from": 2}])
 def test_similar_components(docs, empty, options):
     known = [(i, t) for i, t in PLAIN if i is not None]
