@@ -2,8 +2,9 @@
 
 For a tokenizer that drops white space, a text's ids are its words' ids in a
 row, so each distinct word is encoded once per worker and looked up afterwards.
-The memo is bounded (``max_words``) and starts anew when full: results never
-depend on it.  Other tokenizers encode whole texts.
+The memo is bounded (``max_words``) and has two halves: when the new one is
+full the old one goes, and of that only words met again since are kept.  Results
+never depend on it.  Other tokenizers encode whole texts.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ _PLAIN = re.compile(rb"(" + _MARKS + rb"*)((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-
 class TextEncoder:
     """``encode(text: bytes) -> bytes``: ids as little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, max_words: int = 900_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_words = max_words
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         pair, one, two = (self._ids(x) for x in ("ab cd", "ab", "cd"))
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -50,10 +52,13 @@ class TextEncoder:
             return [self._pack(self._ids(t.decode())) for t in texts]
         # A-Z may be lower-cased first: the tokenizer does so, but not inside its special tokens.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        memo = self.memo
-        if len(memo) > self.max_words:
-            memo.clear()
+        if len(self.memo) > self.max_words // 2:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
         missing = set().union(*split).difference(memo)
+        again = {w: old[w] for w in missing if w in old}
+        memo.update(again)
+        missing.difference_update(again)
         if missing:
             self._learn(missing)
         return [b"".join([memo[w] for w in words]) for words in split]

@@ -1,5 +1,6 @@
 """Token files (op1) and packing (op6): exact round trips against the tokenizer."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -34,6 +35,17 @@ def test_word_memo_gives_the_tokenizers_ids(ids):
     assert not whole.by_word and np.frombuffer(whole.encode(b"a  b"), whole.dtype).tolist() == whole._ids("a  b")
 
 
+def test_word_memo_keeps_words_met_again_and_stays_bounded(ids):
+    enc, learned = TextEncoder(PATH, max_words=100), []
+    learn = enc._learn
+    enc._learn = lambda words: (learned.extend(words), learn(words))
+    for k in range(20):
+        text = "again " + " ".join(corpus.prose(random.Random(k), 400).split()[:30]) + " " + " ".join(f"w{k}x{i}" for i in range(30))
+        assert np.frombuffer(enc.encode(text.encode()), enc.dtype).tolist() == ids(text)
+        assert len(enc.memo) + len(enc.old) <= 100 + 4 * 61  # each half and what one text may add: a word, its core and marks
+    assert learned.count(b"again") == 1 and learned.count(b"w0x0") == 1
+
+
 def test_token_files_round_trip(spark, ids):
     workers_import(spark)
     folder = new_path(spark, "tokens-test")
