@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import encoder, texts_of
+from .tokens import encoder
 from .wordhash import slices
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
@@ -172,8 +172,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         for whole in batches:
             kind = whole.schema.field(0).type
             for batch in slices(whole, 1):
-                texts = enc.encode_all(texts_of(batch.column(1)))
-                prompts = enc.encode_all(texts_of(batch.column(2))) if prompt_col else repeat(b"")
+                texts = enc.encode_column(batch.column(1))
+                prompts = enc.encode_column(batch.column(2)) if prompt_col else repeat(b"")
                 for doc_id, prompt, data in zip(batch.column(0).to_pylist(), prompts, texts):
                     rows += packer.add(doc_id, np.frombuffer(prompt + data + end, enc.dtype), len(prompt) // enc.dtype.itemsize)
                     if len(packer.pool) >= pool:

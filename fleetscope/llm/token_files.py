@@ -30,7 +30,7 @@ from pyspark.sql.window import Window as W
 
 from .common import n_partitions, new_path, stored, table
 from .files import committed, open_readable
-from .tokens import encoder, texts_of
+from .tokens import encoder
 from .wordhash import slices
 
 MANIFEST = "part int, tokens string, docs string, n_docs long, n_tokens long"
@@ -105,7 +105,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
             for whole in _chain(first, batches):
                 for batch in slices(whole, 1):
                     counts = []
-                    for data in enc.encode_all(texts_of(batch.column(1))):
+                    for data in enc.encode_column(batch.column(1)):
                         ids = np.frombuffer(data + end, enc.dtype)
                         out.add(ids)
                         counts.append(len(ids))

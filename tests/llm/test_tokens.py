@@ -46,6 +46,29 @@ def test_word_memo_keeps_words_met_again_and_stays_bounded(ids):
     assert learned.count(b"again") == 1 and learned.count(b"w0x0") == 1
 
 
+def test_words_share_their_letters_whatever_marks_stand_beside(ids):
+    text = 'word, Word. (WORD) "word" -word- word!! word;a,b:word Éa éa, ÉA.'
+    enc = TextEncoder(PATH)
+    assert np.frombuffer(enc.encode(text.encode()), enc.dtype).tolist() == ids(text)
+    assert {w for w in enc.memo if w.decode().isalpha()} == {b"word", b"a", b"b", "éa".encode()}
+    assert all(w.decode().isalpha() or not any(c.isalnum() for c in w.decode()) for w in enc.memo)
+
+
+def test_a_unit_is_looked_up_once_in_a_block_and_blocks_may_cut_texts(ids):
+    import pyarrow as pa
+
+    texts = [None, "", "same words, " * 200, " \t", "x" * 50 + " <|endoftext|> <|ENDOFTEXT|> it's 42 中文 É", "é", "end"]
+    want = [ids(t) for t in texts]
+    for block in (1, 7, 100, 1 << 20):
+        enc, seen = TextEncoder(PATH, block=block), []
+        look = enc._look_up
+        enc._look_up = lambda units: (seen.extend(units), look(units))[1]
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array(["before", *texts], kind).slice(1)
+            assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_column(column)] == want
+    assert seen.count(b"same") == seen.count(b"words") == seen.count(b",") == 2  # one block in each of two columns
+
+
 def test_token_files_round_trip(spark, ids):
     workers_import(spark)
     folder = new_path(spark, "tokens-test")
