@@ -171,7 +171,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
         for whole in batches:
             kind = whole.schema.field(0).type
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 21):
                 texts = enc.encode_column(batch.column(1))
                 prompts = enc.encode_column(batch.column(2)) if prompt_col else repeat(b"")
                 for doc_id, prompt, data in zip(batch.column(0).to_pylist(), prompts, texts):

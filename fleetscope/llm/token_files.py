@@ -103,7 +103,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
         with committed(tokens) as stream, committed(docs) as beside:
             out, listed = _Writer(stream, enc.dtype, length, rows_per_batch), pa.ipc.new_file(beside, index)
             for whole in _chain(first, batches):
-                for batch in slices(whole, 1):
+                for batch in slices(whole, 1, 1 << 21):
                     counts = []
                     for data in enc.encode_column(batch.column(1)):
                         ids = np.frombuffer(data + end, enc.dtype)

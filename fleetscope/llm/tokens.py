@@ -3,8 +3,8 @@
 For a tokenizer that drops white space, a text's ids are its words' ids in a
 row, and a word of letters and marks is its runs of either in a row.  Texts are
 cut into such units in array operations, a block of some hundred kilobytes at a
-time; of a block each distinct unit is looked up once, and each distinct unit is
-encoded once per worker while the memo holds it.
+time; of some blocks together each distinct unit is looked up once, and each
+distinct unit is encoded once per worker while the memo holds it.
 The memo is bounded (``max_words``) and has two halves: when the new one is
 full the old one goes, and of that only units met again since are kept.  Results
 never depend on it.  Other tokenizers encode whole texts.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from codecs import charmap_decode
+from itertools import islice
 
 import numpy as np
 
@@ -46,12 +47,12 @@ _BYTE_CHARS = _byte_chars()
 class TextEncoder:
     """``encode(text: bytes) -> bytes``: ids as little-endian integers of ``dtype``."""
 
-    def __init__(self, path: str, max_words: int = 300_000, block: int = 1 << 18):
+    def __init__(self, path: str, max_words: int = 300_000, block: int = 1 << 18, blocks: int = 8):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.max_words, self.block = max_words, block
+        self.max_words, self.block, self.blocks = max_words, block, blocks
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
@@ -93,13 +94,19 @@ class TextEncoder:
             return [self._pack(self._ids(t.decode())) for t in texts_of(column)]
         raw, at = raw_bytes(column)
         parts: list[list[bytes]] = [[] for _ in range(len(column))]
-        for begin, end in self._blocks(raw, at):
-            low, high = int(np.searchsorted(at, begin, side="right")) - 1, int(np.searchsorted(at, end))
-            edges = np.clip(at[low:high + 1], begin, end) - begin
-            data, cuts = self._encode_block(raw[begin:end], edges)
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), low):
-                if a < b:
-                    parts[k].append(data[a:b])
+        ranges = self._blocks(raw, at)
+        while some := list(islice(ranges, self.blocks)):
+            cut = []
+            for begin, end in some:
+                low, high = int(np.searchsorted(at, begin, side="right")) - 1, int(np.searchsorted(at, end))
+                units, first = _units(raw[begin:end], np.clip(at[low:high + 1], begin, end) - begin)
+                if len(units):
+                    cut.append((low, units, first))
+            for (low, _, first), (data, offsets) in zip(cut, self._encode_units([units for _, units, _ in cut])):
+                cuts = offsets[first].tolist()
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]), low):
+                    if a < b:
+                        parts[k].append(data[a:b])
         return [p[0] if len(p) == 1 else b"".join(p) for p in parts]
 
     def _blocks(self, raw: np.ndarray, at: np.ndarray):
@@ -116,17 +123,15 @@ class TextEncoder:
             yield begin, end
             begin = end
 
-    def _encode_block(self, raw: np.ndarray, edges: np.ndarray) -> tuple[bytes, list[int]]:
-        """(ids of all texts in a row, byte offsets of the texts in them)."""
+    def _encode_units(self, blocks: list):
+        """Of each block the ids of its units in a row, and the byte offset of each unit in them."""
         import pyarrow as pa
 
-        units, first = _units(raw, edges)
-        if not len(units):
-            return b"", [0] * len(edges)
-        distinct = units.dictionary_encode()
-        found = pa.array(self._look_up(distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(distinct.indices)
-        _, offsets, data = found.buffers()
-        return data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int64)[first].tolist()
+        coded = pa.chunked_array(blocks, pa.binary()).dictionary_encode().chunks  # they share one dictionary
+        found = pa.array(self._look_up(coded[0].dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        for block in coded:
+            _, offsets, data = found.take(block.indices).buffers()
+            yield (data.to_pybytes() if data else b""), np.frombuffer(offsets, np.int64, len(block) + 1)
 
     def _look_up(self, units: list[bytes]) -> list[bytes]:
         if len(self.memo) > self.max_words // 2:

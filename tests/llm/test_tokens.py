@@ -54,19 +54,19 @@ def test_words_share_their_letters_whatever_marks_stand_beside(ids):
     assert all(w.decode().isalpha() or not any(c.isalnum() for c in w.decode()) for w in enc.memo)
 
 
-def test_a_unit_is_looked_up_once_in_a_block_and_blocks_may_cut_texts(ids):
+def test_a_unit_is_looked_up_once_in_some_blocks_and_blocks_may_cut_texts(ids):
     import pyarrow as pa
 
     texts = [None, "", "same words, " * 200, " \t", "x" * 50 + " <|endoftext|> <|ENDOFTEXT|> it's 42 中文 É", "é", "end"]
     want = [ids(t) for t in texts]
-    for block in (1, 7, 100, 1 << 20):
-        enc, seen = TextEncoder(PATH, block=block), []
+    for block, blocks in ((1, 1), (7, 3), (1 << 20, 1), (100, 1000)):
+        enc, seen = TextEncoder(PATH, block=block, blocks=blocks), []
         look = enc._look_up
         enc._look_up = lambda units: (seen.extend(units), look(units))[1]
         for kind in (pa.string(), pa.large_string()):
             column = pa.array(["before", *texts], kind).slice(1)
             assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_column(column)] == want
-    assert seen.count(b"same") == seen.count(b"words") == seen.count(b",") == 2  # one block in each of two columns
+    assert seen.count(b"same") == seen.count(b"words") == seen.count(b",") == 2  # once in each of two columns
 
 
 def test_token_files_round_trip(spark, ids):
